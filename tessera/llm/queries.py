@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, quality, telephony
-from .common import table
+from . import bpe, licenses, mixing, quality, telephony, toxicity
+from .common import table, written
 
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,20 @@ def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.read_telephony(telephony.store_telephony(docs, "doc_id", "text"), "doc_id")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    narrow = written(docs.select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("n_tokens")), "mix-docs")
+    plan = mixing.mixing_plan(narrow, "doc_id", "source", "n_tokens", entropy_ratio=0.97, seed=17)
+    return mixing.mixed(narrow, "doc_id", "source", plan, seed=17).select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "epoch", "block", "order_key")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = table(spark, sf_dir, "labels").where(toxicity.fold("doc_id", 5) > 0)
+    scores = toxicity.score_toxicity(docs, "doc_id", "text", toxicity.train_toxicity(docs, learn, "doc_id", "text", "toxic"))
+    return scores.select("doc_id", (toxicity.fold("doc_id", 5) <= 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rules = quality.train_rules(docs, labels, "doc_id", "text", "quality")
@@ -52,9 +66,30 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sen
 FROM documents d LEFT JOIN named USING (doc_id)"""
 
 
+_MIXING_SQL = """
+WITH RECURSIVE docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n FROM documents),
+src AS (SELECT source, sum(n)::BIGINT AS t, count(*) AS docs FROM docs GROUP BY source),
+p AS (SELECT list(t / total ORDER BY t) AS p, any_value(total) AS total, 0.97::DOUBLE * ln(count(*)::DOUBLE) AS target FROM (SELECT t::DOUBLE AS t, sum(t::DOUBLE) OVER () AS total FROM src WHERE t > 0)),
+bis AS (SELECT 0 AS k, 0::DOUBLE AS lo, 1::DOUBLE AS hi, p, total, target FROM p
+  UNION ALL
+  SELECT k + 1, CASE WHEN h >= target THEN mid ELSE lo END, CASE WHEN h >= target THEN hi ELSE mid END, p, total, target FROM
+  (SELECT *, ln(list_sum(list_transform(p, lambda x: pow(x, mid)))) - mid * list_sum(list_transform(p, lambda x: pow(x, mid) * ln(x))) / list_sum(list_transform(p, lambda x: pow(x, mid))) AS h
+   FROM (SELECT *, (lo + hi) / 2 AS mid FROM bis WHERE k < 50))),
+a AS (SELECT round(CASE WHEN -list_sum(list_transform(p, lambda x: x * ln(x))) >= target THEN 1 ELSE lo END, 9) AS a, p, total FROM bis WHERE k = 50),
+w AS (SELECT source, t, docs, total, CASE WHEN t > 0 THEN pow(t / total, a) / list_sum(list_transform(p, lambda x: pow(x, a))) ELSE 0 END AS weight FROM src, a),
+e AS (SELECT *, CASE WHEN t > 0 THEN floor(total * weight / t + 1e-9) ELSE 1 END::BIGINT AS epochs, ceil(docs / 4096)::BIGINT AS blocks FROM w),
+r AS (SELECT *, CASE WHEN t > 0 THEN greatest(0, round(total * weight - epochs * t))::BIGINT ELSE 0 END AS rest FROM e),
+x AS (SELECT d.doc_id, d.source, d.n, r.weight, r.epochs, r.rest, r.blocks, unnest(range(0, r.epochs + 1)) AS epoch FROM docs d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+y AS (SELECT *, md5('17:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')) AS order_key FROM x),
+z AS (SELECT *, ('0x' || substr(order_key, 1, 8))::BIGINT % blocks AS block FROM y),
+c AS (SELECT *, sum(n) OVER (PARTITION BY source, epoch ORDER BY block, order_key, n ROWS UNBOUNDED PRECEDING) - n AS before FROM z)
+SELECT doc_id, source, n AS n_tokens, round(weight, 6) AS weight, epoch, block, order_key FROM c WHERE epoch < epochs OR before < rest
+"""
+
+
 def queries() -> dict:
-    return {"op1_telephony": op1_telephony, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op10_licenses": op10_licenses}
+    return {"op1_telephony": op1_telephony, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_licenses": _licenses_sql()}
+    return {"op2_mixing": _MIXING_SQL, "op10_licenses": _licenses_sql()}
