@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, quality, secrets, telephony, toxicity
+from . import bpe, licenses, mixing, quality, secrets, suffixes, telephony, toxicity
 from .common import table, written
 
 
@@ -46,6 +46,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"), "doc_id", "text", secrets.train_forest(spark))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -92,7 +96,7 @@ SELECT doc_id, source, n AS n_tokens, round(weight, 6) AS weight, epoch, block,
 
 
 def queries() -> dict:
-    return {"op1_telephony": op1_telephony, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op8_secrets": op8_secrets, "op10_licenses": op10_licenses}
+    return {"op1_telephony": op1_telephony, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op8_secrets": op8_secrets, "op9_repeats": op9_repeats, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
