@@ -33,7 +33,7 @@ EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 #: Subsequences are hashed into so many cells.
 CELLS = 1 << 18
 #: Symbols of a word that are looked at per call, to bound memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def subsequences(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,18 +73,17 @@ def word_scores(words: Sequence[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
-def nystrom(words: Sequence[str], landmarks: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(kernel of each word with each landmark, one dense column of cells for each landmark)."""
-    dense = np.zeros((len(landmarks), CELLS), np.float32)
+def nystrom(words: Sequence[str], landmarks: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kernel of each word with each landmark, the cells that landmarks have, a column of their weights for each landmark)."""
     word, cell, weight = subsequences(landmarks)
-    np.add.at(dense, (word, cell), weight)
-    used = np.flatnonzero(dense.any(0))
-    place = np.full(CELLS, -1)
+    used, rows = np.unique(cell, return_inverse=True)
+    narrow = np.zeros((len(used), len(landmarks)), np.float32)
+    np.add.at(narrow, (rows, word), weight)
+    place = np.full(CELLS, -1, np.int32)
     place[used] = np.arange(len(used))
-    narrow = np.ascontiguousarray(dense[:, used].T)
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for a in range(0, len(words), 2000):
-        word, cell, weight = subsequences(words[a : a + 2000])
+    for a in range(0, len(words), 500):
+        word, cell, weight = subsequences(words[a : a + 500])
         hit = place[cell] >= 0
         word, rows, weight = word[hit], place[cell[hit]], weight[hit]
         order = np.argsort(word, kind="stable")
@@ -92,7 +91,7 @@ def nystrom(words: Sequence[str], landmarks: Sequence[str]) -> tuple[np.ndarray,
         if len(word):
             first = np.flatnonzero(np.diff(word, prepend=-1))
             out[a + word[first]] = np.add.reduceat(narrow[rows] * weight[:, None], first, axis=0)
-    return out, dense
+    return out, used, narrow
 
 
 def squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -187,13 +186,14 @@ def train(texts: Sequence[str], toxic: Sequence[bool], landmarks: int = 256) ->
     words, label = words + virtual, np.concatenate((label, np.ones(len(virtual))))
     others = [w for w, v in zip(words, label, strict=True) if v < 0]
     chosen += others[:: max(1, len(others) // (landmarks - len(chosen)))][: landmarks - len(chosen)]
-    kernel, dense = nystrom(words, chosen)
-    values, vectors = np.linalg.eigh(kernel_of(dense) + 1e-3 * np.eye(len(chosen)))
+    kernel, used, narrow = nystrom(words, chosen)
+    values, vectors = np.linalg.eigh((narrow.T @ narrow).astype(np.float64) + 1e-3 * np.eye(len(chosen)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     z = np.hstack([kernel @ root, np.ones((len(words), 1))])
     cost = np.where(label > 0, 8.0, 1.0)
     w = squared_hinge(z, label, cost)
-    table = ((root @ w[:-1]) @ dense).astype(np.float32)
+    table = np.zeros(CELLS, np.float32)
+    table[used] = narrow @ (root @ w[:-1])
     model = ToxicModel(table, float(w[-1]), np.zeros(5))
     ids: dict[str, int] = {}
     rows = [np.fromiter((ids.setdefault(v, len(ids)) for v in _words(t)), np.int64) for t in texts]
@@ -202,10 +202,6 @@ def train(texts: Sequence[str], toxic: Sequence[bool], landmarks: int = 256) ->
     return ToxicModel(table, model.bias, logistic(x, y.astype(float)))
 
 
-def kernel_of(dense: np.ndarray) -> np.ndarray:
-    return (dense @ dense.T).astype(np.float64)
-
-
 def fold(key: str, folds: int) -> Column:
     """crc32 of the key as text modulo `folds`; -1 for a null key."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds, F.lit(-1))
