@@ -69,20 +69,18 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-BASE = 0x9E3779B97F4A7C15 | 1
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of each word of a byte array; words end at 0x20 and 0x09-0x0D."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    word = ~space
+    word = (data != 32) & ((data < 9) | (data > 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return starts, np.empty(0, np.uint64)
-    rank = np.arange(len(data), dtype=np.int64)
-    own = np.repeat(np.arange(len(starts)), ends - starts)
-    at = rank[word] - starts[own]
-    values = (data[word].astype(np.uint64) + np.uint64(1)) * powers(BASE, int((ends - starts).max()))[at]
-    sums = np.add.reduceat(values, np.concatenate(([0], np.cumsum(ends - starts)[:-1])))
-    return starts, mix64(sums ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
+    back = powers(INVERSE, len(data))
+    return starts, mix64((sums[ends] - sums[starts]) * back[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))

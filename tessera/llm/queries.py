@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, quality, secrets, suffixes, telephony, toxicity
+from . import bpe, licenses, lm, mixing, quality, secrets, suffixes, telephony, toxicity
 from .common import table, written
 
 
@@ -42,6 +42,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text", folds=7, fold=2)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"), "doc_id", "text", secrets.train_forest(spark))
 
@@ -96,7 +100,7 @@ SELECT doc_id, source, n AS n_tokens, round(weight, 6) AS weight, epoch, block,
 
 
 def queries() -> dict:
-    return {"op1_telephony": op1_telephony, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op8_secrets": op8_secrets, "op9_repeats": op9_repeats, "op10_licenses": op10_licenses}
+    return {"op1_telephony": op1_telephony, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op7_lm": op7_lm, "op8_secrets": op8_secrets, "op9_repeats": op9_repeats, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

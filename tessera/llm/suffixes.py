@@ -28,13 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import BASE, mix64, powers, written
+from .common import BASE, INVERSE, mix64, powers, written
 
 WINDOW = 100
 # A difference cover; each remainder modulo PERIOD is the difference of two of COVER.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 SEED = WINDOW - PERIOD + 1
-INVERSE = pow(BASE, -1, 1 << 64)
 #: A run is cut after about so many places.
 CUT = 63
 
