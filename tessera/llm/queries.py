@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lm, mixing, quality, secrets, suffixes, telephony, toxicity
+from . import bpe, jaccard, licenses, lm, mixing, quality, secrets, suffixes, telephony, toxicity
 from .common import table, written
 
 
@@ -36,6 +36,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select(*columns, quality.base_failed().alias("base_failed"), quality.verdict(rules).cast("int").alias("rule")).select(*columns, "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -100,7 +104,7 @@ SELECT doc_id, source, n AS n_tokens, round(weight, 6) AS weight, epoch, block,
 
 
 def queries() -> dict:
-    return {"op1_telephony": op1_telephony, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op7_lm": op7_lm, "op8_secrets": op8_secrets, "op9_repeats": op9_repeats, "op10_licenses": op10_licenses}
+    return {"op1_telephony": op1_telephony, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_ngram_join": op5_ngram_join, "op6_bpe": op6_bpe, "op7_lm": op7_lm, "op8_secrets": op8_secrets, "op9_repeats": op9_repeats, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
