@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, quality
+from tessera.llm import bpe, jaccard, mixing, quality, secrets
 from tessera.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,6 +18,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_rows(docs, "text", kept)
 
 
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that near-duplicate links connect."""
+    return jaccard.first_of_classes(docs, "doc_id", "text").select(*COLUMNS)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts and n_chars brought up to date where one was."""
+    masked = docs.withColumn("masked", secrets.mask_secrets(F.col("text"), secrets.train_forest(spark)))
+    changed = F.col("masked") != F.col("text")
+    return masked.withColumn("n_chars", F.when(changed, F.length("masked").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("masked")).select(*COLUMNS)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents once for each epoch of their source: each at least once, no source more than twice."""
+    return mixing.mix_documents(docs, "doc_id", "source", "text", max_repeats=2.0, budget="cover").select(*COLUMNS)
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document row: its tokens, encoded and decoded again."""
     import public_tokenizers
@@ -25,7 +42,13 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality rules", quality_rules), ("byte-level BPE", byte_bpe)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_join),
+    ("secret scans", secret_scans),
+    ("source mixing", source_mixing),
+    ("byte-level BPE", byte_bpe),
+]
 
 #: SQL can express neither the learned rules nor the tokenizer.
 ORACLE_SQL = None
