@@ -34,6 +34,8 @@ WINDOW = 100
 # A difference cover; each remainder modulo PERIOD is the difference of two of COVER.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 SEED = WINDOW - PERIOD + 1
+#: Buckets of a later round are numbered from 1 << ROUND up.
+ROUND = 26
 #: A run is cut after about so many places.
 CUT = 63
 
@@ -41,35 +43,47 @@ CUT = 63
 class Text:
     """Prefix hashes of a block, from which any string's hash follows."""
 
+    #: Powers of the hash's base and of its inverse, kept from block to block.
+    kept: dict[str, np.ndarray] = {}
+
     def __init__(self, block: packed.Block):
         self.block, self.size = block, len(block.data)
+        if len(self.kept.get("up", ())) <= self.size:
+            self.kept.update(up=powers(BASE, self.size + 1), down=powers(INVERSE, self.size + 1))
         self.sums = np.zeros(self.size + 1, np.uint64)
-        np.cumsum((block.data.astype(np.uint64) + np.uint64(1)) * powers(BASE, self.size), out=self.sums[1:])
-        self.back = powers(INVERSE, self.size + 1)
-        self.place = np.arange(self.size, dtype=np.int32) - np.repeat(block.starts, block.lengths).astype(np.int32) if self.size < 1 << 31 else np.arange(self.size) - np.repeat(block.starts, block.lengths)
-        self.left = np.repeat(block.lengths, block.lengths).astype(self.place.dtype) - self.place
+        values = block.data.astype(np.uint64)
+        values += np.uint64(1)
+        values *= self.kept["up"][: self.size]
+        np.cumsum(values, out=self.sums[1:])
+        on = np.zeros(PERIOD, bool)
+        on[list(COVER)] = True
+        pattern = np.resize(on, int(block.lengths.max(initial=0)))
+        covered, self.whole = np.zeros(self.size, bool), np.zeros(self.size, bool)
+        for start, n in zip(block.starts.tolist(), block.lengths.tolist(), strict=True):
+            if n >= SEED:
+                covered[start : start + n - SEED + 1] = pattern[: n - SEED + 1]
+            if n >= WINDOW:
+                self.whole[start : start + n - WINDOW + 1] = True
+        #: Places of the cover sample; places where a window of one document starts.
+        self.cover = np.flatnonzero(covered)
 
     def hashes(self, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-        h = (self.sums[at + length] - self.sums[at]) * self.back[at]
+        h = (self.sums[at + length] - self.sums[at]) * self.kept["down"][at]
         return mix64(h if np.isscalar(length) else h ^ (length.astype(np.uint64) << np.uint64(40)))
 
-    def cover(self) -> np.ndarray:
-        on = np.zeros(PERIOD, bool)
-        on[list(COVER)] = True
-        return np.flatnonzero(on[self.place % PERIOD] & (self.left >= SEED))
-
     def candidates(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, count) of runs of places that have a shared cover string at a shift below PERIOD."""
         n = self.size - WINDOW + 1
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        many = np.zeros(self.size + 1, np.int32)
-        many[self.cover()[shared] + 1] = 1
-        many = np.cumsum(many, dtype=np.int32)
-        ok = (many[PERIOD : n + PERIOD] > many[:n]) & (self.left[:n] >= WINDOW)
+        # a sample is within reach of the PERIOD places up to it
+        many = self.cover[shared]
+        steps = np.bincount(np.maximum(many - PERIOD + 1, 0), minlength=self.size + 1).astype(np.int32)
+        steps[many + 1] -= 1
+        ok = (np.cumsum(steps[:n], dtype=np.int32) > 0) & self.whole[:n]
         edge = np.diff(np.concatenate(([False], ok, [False])).view(np.int8))
         starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        # runs of two documents never meet: the last places of a document are no candidates
+        # runs of two documents never meet: the last places of a document start no window
         return starts, stops - starts
 
     def cuts(self, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,8 +120,9 @@ def block_of(row: dict) -> packed.Block:
     return packed.Block(row["ids"], row["known"], row["lengths"], row["data"])
 
 
-def bits_of(row: dict) -> np.ndarray:
-    parts = [packed.unpack_bits(n["keys"]) for n in row["notes"] or () if n["bucket"] >= 0]
+def bits_of(row: dict, round_: int) -> np.ndarray:
+    """Answers of a round, in the order of the keys that were asked about."""
+    parts = [packed.unpack_bits(n["keys"]) for n in row["notes"] or () if n["bucket"] >> ROUND == round_]
     return np.concatenate(parts) if parts else np.empty(0, bool)
 
 
@@ -125,42 +140,34 @@ def remove_repeats(df: DataFrame, key: str, text: str) -> DataFrame:
     def ask_cover(batches):
         for row in rows_of(batches):
             t = Text(block_of(row))
-            keys = np.unique(t.hashes(t.cover(), SEED))
+            keys = np.unique(t.hashes(t.cover, SEED))
             if len(keys):
                 short = packed.low(keys, bits, 4)
                 yield packed.notes([(b, row["block"], packed.pack(short[s], True), None) for b, s in packed.messages(keys, bits)])
 
-    def asked(block: int, t: Text, keys: np.ndarray, at: np.ndarray, state: bytes, more: bytes) -> pa.RecordBatch:
-        """Messages about sorted keys that are first at the places `at`, and the block's state."""
+    def asked(block: int, t: Text, keys: np.ndarray, at: np.ndarray, round_: int) -> list[tuple]:
+        """Messages about sorted keys that are first at the places `at`."""
         ranks = t.block.order()[np.searchsorted(t.block.starts, at, "right") - 1] if len(at) else np.empty(0, np.uint64)
         short = packed.low(keys, bits)
-        out = [(-1, block, state, more)]
-        for b, s in packed.messages(keys, bits):
-            out.append((b, block, packed.pack(short[s], True), packed.pack(ranks[s])))
-        return packed.notes(out)
+        return [(round_ << ROUND | b, block, packed.pack(short[s], True), packed.pack(ranks[s])) for b, s in packed.messages(keys, bits)]
 
     def ask_cuts(batches):
         for row in rows_of(batches):
             t = Text(block_of(row))
-            keys, counts = np.unique(t.hashes(t.cover(), SEED), return_counts=True)
-            shared = (counts > 1) | bits_of(row)
-            shared = shared[np.searchsorted(keys, t.hashes(t.cover(), SEED))]
-            starts, sizes = t.candidates(shared)
+            _, own, counts = np.unique(t.hashes(t.cover, SEED), return_inverse=True, return_counts=True)
+            starts, sizes = t.candidates(((counts > 1) | bits_of(row, 0))[own])
             _, at, count = t.cuts(starts, sizes)
             own, first = first_places(t.hashes(at, count + WINDOW - 1))
-            yield asked(row["block"], t, own, at[first], packed.pack(starts, True), packed.pack(sizes))
-
-    def runs_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        state = row["notes"][0]
-        return packed.unpack(state["keys"]).astype(np.int64), packed.unpack(state["extra"]).astype(np.int64)
+            yield packed.notes([(-1, row["block"], packed.pack(starts, True), packed.pack(sizes)), *asked(row["block"], t, own, at[first], 1)])
 
     def settled(t: Text, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places, their window hashes, whether their cut is the first of its kind)."""
-        starts, sizes = runs_of(row)
+        """(candidate places, their window hashes, whether their cut is the first of its kind)."""
+        state = row["notes"][0]
+        starts, sizes = packed.unpack(state["keys"]).astype(np.int64), packed.unpack(state["extra"]).astype(np.int64)
         windows, at, count = t.cuts(starts, sizes)
         _, first = first_places(t.hashes(at, count + WINDOW - 1))
         open_ = np.zeros(len(at), bool)
-        open_[first] = ~bits_of(row)
+        open_[first] = ~bits_of(row, 1)
         return spread(starts, sizes), windows, np.repeat(open_, count)
 
     def ask_windows(batches):
@@ -168,34 +175,27 @@ def remove_repeats(df: DataFrame, key: str, text: str) -> DataFrame:
             t = Text(block_of(row))
             at, windows, open_ = settled(t, row)
             own, first = first_places(windows[open_])
-            # the state keeps which places are open
-            starts, sizes = runs_of(row)
-            yield asked(row["block"], t, own, at[open_][first], packed.pack(starts, True), packed.pack(sizes) + packed.pack_bits(open_))
+            if len(own):
+                yield packed.notes(asked(row["block"], t, own, at[open_][first], 2))
 
     def finish(batches):
         for row in rows_of(batches):
-            block = block_of(row)
-            gone = np.zeros(len(block.data), bool)
-            if row["notes"]:
-                t, state = Text(block), row["notes"][0]
-                starts = packed.unpack(state["keys"]).astype(np.int64)
-                split = packed.packed_size(state["extra"])
-                sizes, open_ = packed.unpack(state["extra"][:split]).astype(np.int64), packed.unpack_bits(state["extra"][split:])
-                at = spread(starts, sizes)
-                later = np.ones(len(at), bool)
-                place = np.flatnonzero(open_)
-                _, first = first_places(t.hashes(at[place], WINDOW))
-                later[place[first]] = bits_of(row)
-                depth = np.zeros(len(gone) + 1, np.int32)
-                np.add.at(depth, at[later], 1)
-                np.subtract.at(depth, at[later] + WINDOW, 1)
-                gone = np.cumsum(depth[:-1]) > 0
-            yield digests(block, gone)
+            t = Text(block_of(row))
+            at, windows, open_ = settled(t, row)
+            later = np.ones(len(at), bool)
+            place = np.flatnonzero(open_)
+            _, first = first_places(windows[place])
+            later[place[first]] = bits_of(row, 2)
+            depth = np.zeros(t.size + 1, np.int32)
+            depth[at[later]] += 1
+            depth[at[later] + WINDOW] -= 1
+            yield digests(t.block, np.cumsum(depth[:-1]) > 0)
 
     cover = packed.answered(blocks.mapInArrow(ask_cover, packed.NOTE), packed.elsewhere, states=False)
     cuts = written(packed.with_notes(blocks, cover).mapInArrow(ask_cuts, packed.NOTE), "repeats-cuts")
-    windows = written(packed.with_notes(blocks, packed.answered(cuts, packed.earlier)).mapInArrow(ask_windows, packed.NOTE), "repeats-windows")
-    out = packed.with_notes(blocks, packed.answered(windows, packed.earlier)).mapInArrow(finish, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cuts = written(packed.answered(cuts, packed.earlier), "repeats-first-cuts")
+    windows = packed.answered(packed.with_notes(blocks, cuts).mapInArrow(ask_windows, packed.NOTE), packed.earlier, states=False)
+    out = packed.with_notes(blocks, cuts.unionByName(windows)).mapInArrow(finish, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("key", key)
 
 
