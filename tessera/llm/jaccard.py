@@ -143,6 +143,11 @@ def link_documents(df: DataFrame, key: str, text: str, words: int = WORDS, thres
     class_id: least key of all rows that links connect with it; n_links: other rows whose similarity
     reaches the threshold, copies included; n_linked_texts: different sets of n-grams among these.
     """
+    return _linked(df, key, text, words, threshold, tolerance).drop("spare")
+
+
+def _linked(df: DataFrame, key: str, text: str, words: int, threshold: float, tolerance: float) -> DataFrame:
+    """link_documents with `spare`: the text's MD5 where the key is null, by which such rows are told apart."""
     kind = df.schema[key].dataType.simpleString()
     fewest = {n: least_matches(n, threshold, tolerance) for n in range(BATCH, COMPARED + 1, BATCH)}
 
@@ -154,11 +159,12 @@ def link_documents(df: DataFrame, key: str, text: str, words: int = WORDS, thres
                 columns = [
                     b.column(0)[i:j], pa.array(node.view(np.int64)), pa.array(sizes, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64))), pa.array([x.tobytes() for x in values], pa.binary()),
+                    pa.array([None if k else hashlib.md5(x).hexdigest() for k, x in zip(b.column(0)[i:j].is_valid().to_pylist(), data[i:j], strict=True)], pa.string()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "n", "bands", "compared"])
+                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "n", "bands", "compared", "spare"])
 
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sketched = written(docs.mapInArrow(sketch, f"key {kind}, node long, n long, bands array<long>, compared binary"), "jaccard-sketches")
+    sketched = written(docs.mapInArrow(sketch, f"key {kind}, node long, n long, bands array<long>, compared binary, spare string"), "jaccard-sketches")
     # rows of one node have equal sketches
     nodes = written(sketched.groupBy("node").agg(F.count("*").alias("copies"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("compared").alias("compared")), "jaccard-nodes")
 
@@ -239,16 +245,17 @@ def link_documents(df: DataFrame, key: str, text: str, words: int = WORDS, thres
     told = nodes.select("node", "key", "copies").join(classes, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = told.groupBy("root").agg(F.min("key").alias("class_id"))
     told = told.join(least, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_linked_texts"))
-    return sketched.select("key", "node").join(told, "node").select(F.col("key").alias(key), "class_id", "n_links", "n_linked_texts")
+    return sketched.select("key", "node", "spare").join(told, "node").select(F.col("key").alias(key), "class_id", "n_links", "n_linked_texts", "spare")
 
 
-def first_of_classes(df: DataFrame, key: str, text: str, **how) -> DataFrame:
+def first_of_classes(df: DataFrame, key: str, text: str, words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """df's rows without those that a link connects to a row of a smaller key; of equal rows one stays.
 
     Rows with a null key go if their class has another key; otherwise one of each text stays.
     """
-    links = link_documents(df, key, text, **how)
-    kept = links.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("kept_key")).distinct()
-    stay = df.join(kept, F.col(key).eqNullSafe(F.col("kept_key")), "left_semi")
-    same = W.Window.partitionBy(key, text).orderBy(*(c for c in df.columns if c not in (key, text)))
+    links = _linked(df, key, text, words, threshold, tolerance)
+    kept = links.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.struct(F.col(key).alias("key"), "spare").alias("__kept")).distinct()
+    spare = F.when(F.col(key).isNull(), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    stay = df.join(kept, F.col(key).eqNullSafe(F.col("__kept.key")) & spare.eqNullSafe(F.col("__kept.spare")), "left_semi")
+    same = W.Window.partitionBy(key, text).orderBy(key, *(f.name for f in df.schema if f.name not in (key, text) and f.dataType.simpleString().split("<")[0] not in ("map", "variant")))
     return stay.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__copy")

@@ -11,8 +11,8 @@ What each source needs is one row; that table is written, and Spark joins it by
 if its size is below the session's threshold. Documents are only read and projected.
 
 A null source is a source of its own. Null and empty texts have no tokens, take no budget and stay once in
-each whole epoch; a source without tokens stays once. Repeated rows are rows of their own: those equal
-in key and tokens are cut or kept together.
+each whole epoch; a source without tokens stays once. Repeated rows are rows of their own, but those
+that share a key are cut or kept together.
 """
 
 from __future__ import annotations
@@ -128,22 +128,25 @@ def mixing_plan(docs: DataFrame, doc: str, source: str, tokens: str, entropy_rat
     cut = sums.where("before < rest and before + n >= rest").groupBy(F.col("s").alias("s3")).agg(F.min("block").alias("cut_block"), F.min(F.col("rest") - F.col("before")).alias("left"))
     cut = written(cut, "mix-cuts")
     inside = own.join(cut, F.col("s").eqNullSafe(F.col("s3")) & (F.col("block") == F.col("cut_block")))
-    rows = W.Window.partitionBy("s").orderBy("key", "n")
+    rows = W.Window.partitionBy("s").orderBy("key", "n").rowsBetween(W.Window.unboundedPreceding, 0)
     inside = inside.withColumn("before", F.sum("n").over(rows) - F.col("n")).where(F.col("before") < F.col("left"))
     ends = inside.groupBy("s", "cut_block").agg(F.max("key").alias("cut_key"))
     return sources.join(ends.withColumnRenamed("s", "s4"), F.col(source).eqNullSafe(F.col("s4")), "left").drop("s4")
 
 
+#: Columns that mixed() adds.
+ADDED = ("weight", "epoch", "block", "order_key")
+
+
 def mixed(df: DataFrame, doc: str, source: str, plan: DataFrame, seed: int = 17) -> DataFrame:
-    """df's rows once for each epoch that takes them, with epoch, block and order_key; they are read by epoch, block, order_key."""
-    plan = written(plan.select(F.col(source).alias("mix_source"), "weight", "epochs", "blocks", "cut_block", "cut_key"), "mix-plan")
-    out = df.join(plan, F.col(source).eqNullSafe(F.col("mix_source")))
-    last = F.sequence(F.lit(0).cast("long"), F.col("epochs").cast("long"))
-    out = out.withColumn("epoch", F.explode(last))
-    out = out.withColumn("order_key", order_key(F.col(doc), F.col("epoch"), seed)).withColumn("block", block_of(F.col("order_key"), F.col("blocks")))
-    cut = (F.col("block") < F.col("cut_block")) | (F.col("block") == F.col("cut_block")) & (F.col("order_key") <= F.col("cut_key"))
-    taken = (F.col("epoch") < F.col("epochs")) | F.coalesce(cut, F.lit(False))
-    return out.where(taken).drop("mix_source", "blocks", "cut_block", "cut_key", "epochs")
+    """df's rows once for each epoch that takes them, with ADDED, which replace columns of these names; they are read by epoch, block, order_key."""
+    p = written(plan.select(F.struct(F.col(source).alias("source"), "weight", "epochs", "blocks", "cut_block", "cut_key").alias("p")), "mix-plan")
+    out = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row")).join(p, F.col("row")[source].eqNullSafe(F.col("p.source")))
+    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.epochs").cast("long"))))
+    out = out.withColumn("order_key", order_key(F.col("row")[doc], F.col("epoch"), seed)).withColumn("block", block_of(F.col("order_key"), F.col("p.blocks")))
+    cut = (F.col("block") < F.col("p.cut_block")) | (F.col("block") == F.col("p.cut_block")) & (F.col("order_key") <= F.col("p.cut_key"))
+    out = out.where((F.col("epoch") < F.col("p.epochs")) | F.coalesce(cut, F.lit(False)))
+    return out.select(*(F.col("row")[c].alias(c) for c in df.columns if c not in ADDED), F.col("p.weight").alias("weight"), "epoch", "block", "order_key")
 
 
 def mix_documents(df: DataFrame, doc: str, source: str, text: str, seed: int = 17, **target) -> DataFrame:

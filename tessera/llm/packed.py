@@ -117,6 +117,8 @@ def bucket_bits(text_size: int) -> int:
 
 def messages(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """(bucket, its part) of sorted 64-bit hashes, without empty ones."""
+    if not len(keys):
+        return
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):

@@ -37,7 +37,7 @@ CHUNK = 1 << 18
 
 
 def subsequences(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, cell, weight) of each subsequence; a word is lower-cased and has marks at its ends. Weights have length 1 for each word."""
+    """(word, cell, weight) of each subsequence; a word is lower-cased and has marks at its ends. A word's weights are scaled to length 1 as if all of its subsequences differed."""
     marked = ["\x02" + (EDGES.sub("", w.lower()) or w) + "\x03" for w in words]
     symbols = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     own = np.repeat(np.arange(len(words)), [len(w) for w in marked])
