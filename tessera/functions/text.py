@@ -20,6 +20,12 @@ def tokens(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(r"(?U)\S+"), F.lit(0))
 
 
+def numbered_tokens(line: Column) -> Column:
+    """Structs (pos, token, is_last) of a line's tokens. The array of one element names the tokens, so that they are found once."""
+    each = lambda ts: F.transform(ts, lambda t, i: F.struct(i.alias("pos"), t.alias("token"), (i == F.size(ts) - 1).alias("is_last")))
+    return F.element_at(F.transform(F.array(tokens(line)), each), 1)
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

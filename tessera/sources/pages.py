@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .. import schemas
-from ..functions.text import stripped, title_of, tokens
+from ..functions.text import numbered_tokens, stripped, title_of
 
 # File names of a page, best first.
 AUDIO = ("mp3", "wav", "ogg", "flac", "m4a")
@@ -64,18 +64,18 @@ def ref_tokens(lines: DataFrame, key: str = "page_id") -> DataFrame:
     w = W.Window.partitionBy(key).orderBy("line_no")
     marked = lines.withColumn("blank", stripped(F.col("line")) == "").withColumn("after_blank", F.coalesce(F.lag("blank").over(w), F.lit(False)))
     marked = marked.withColumn("full_before", F.coalesce(F.sum(F.when(F.col("blank"), 0).otherwise(1)).over(w.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))).where("NOT blank")
-    each = marked.select(key, "line_no", "after_blank", "full_before", F.size(tokens(F.col("line"))).alias("n"), F.posexplode(tokens(F.col("line"))).alias("pos_in_line", "token"))
+    each = marked.select(key, "line_no", "after_blank", "full_before", F.explode(numbered_tokens(F.col("line"))).alias("t")).select("*", F.col("t.pos").alias("pos_in_line"), F.col("t.token").alias("token"))
     order = W.Window.partitionBy(key).orderBy("line_no", "pos_in_line")
     return each.select(
-        key, (F.row_number().over(order) - 1).alias("ref_idx"), "line_no", "pos_in_line", "token", (F.col("full_before") == 0).alias("is_title"), (F.col("pos_in_line") == F.col("n") - 1).alias("is_line_end"),
+        key, (F.row_number().over(order) - 1).alias("ref_idx"), "line_no", "pos_in_line", "token", (F.col("full_before") == 0).alias("is_title"), F.col("t.is_last").alias("is_line_end"),
         (F.col("after_blank") & (F.col("full_before") > 0) & (F.col("pos_in_line") == 0)).alias("is_section_start"),
     )
 
 
 def unspoken_titles(titles: DataFrame) -> DataFrame:
     """Title words that aren't in the audio, as words without times. titles: (page_id, title)."""
-    each = titles.select("page_id", F.size(tokens(F.col("title"))).alias("n"), F.posexplode(tokens(F.col("title"))).alias("word_idx", "word"))
-    return each.select("page_id", "word_idx", "word", F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.lit(1.0).alias("confidence"), (F.col("word_idx") == F.col("n") - 1).alias("line_break_after"), F.lit(True).alias("is_title"))
+    each = titles.select("page_id", F.explode(numbered_tokens(F.col("title"))).alias("t"))
+    return each.select("page_id", F.col("t.pos").alias("word_idx"), F.col("t.token").alias("word"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.lit(1.0).alias("confidence"), F.col("t.is_last").alias("line_break_after"), F.lit(True).alias("is_title"))
 
 
 def prepended(front: DataFrame, words: DataFrame) -> DataFrame:
