@@ -109,3 +109,16 @@ def pass_through(words: DataFrame) -> DataFrame:
     c = F.col
     sure = F.when(untimed_title(c("start"), c("end"), c("is_title")), 1.0).otherwise(c("confidence"))
     return words.withColumn("final_start", c("start")).withColumn("final_end", c("end")).withColumn("final_confidence", sure).withColumn("matched", F.lit(False))
+
+
+def validate(words: DataFrame, second: DataFrame | None = None) -> DataFrame:
+    """Pages that a second source has timings for are cross-validated; the others get heuristic confidences and keep their times."""
+    c = F.col
+    own = heuristic_confidence(words).withColumns({"final_start": c("start"), "final_end": c("end"), "final_confidence": c("checked"), "deviation_start_ms": F.lit(0.0), "deviation_end_ms": F.lit(0.0), "matched": F.lit(False)}).drop("checked")
+    if second is None:
+        return own
+    from .joins import nearest_position_join
+
+    told = second.select("page_id").distinct()
+    crossed = cross_validate(nearest_position_join(words.join(told, "page_id", "left_semi"), second))
+    return own.join(told, "page_id", "left_anti").unionByName(crossed, allowMissingColumns=True)

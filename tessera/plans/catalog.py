@@ -272,6 +272,51 @@ def pass_through(spark, sf_dir):
     return checks.pass_through(I.token_words(spark, sf_dir)).select("page_id", "word_idx", "final_confidence")
 
 
+@query(rf"""{VALID}, hu AS (SELECT *, (e - s) * 1000::DOUBLE AS ms, s - lag(e) OVER o AS gap, lag(word) OVER o AS pw FROM words WINDOW o AS (PARTITION BY page_id ORDER BY word_idx)),
+hc AS (SELECT page_id, word_idx, greatest(0.1, least(1.0, (CASE WHEN ms < 50 THEN 0.7 ELSE 1 END)::DOUBLE * (CASE WHEN ms > 2000 THEN 0.8 ELSE 1 END)::DOUBLE * (CASE WHEN {ROUND('s', '0.25', '0.01', '0.24')} AND {ROUND('e', '0.25', '0.01', '0.24')} THEN 0.9 ELSE 1 END)::DOUBLE
+ * (CASE WHEN gap < 0 THEN 0.5 ELSE 1 END)::DOUBLE * (CASE WHEN gap > 1 AND NOT regexp_matches(pw, '[.!?;:]\s*$') THEN 0.8 ELSE 1 END)::DOUBLE * (CASE WHEN confidence < 1 THEN confidence ELSE 1 END)::DOUBLE)) AS checked FROM hu)
+SELECT page_id, word_idx, CASE WHEN page_id % 2 = 0 THEN matched ELSE false END AS matched, round(CASE WHEN page_id % 2 = 0 THEN fc ELSE checked END, 6) AS final_confidence FROM validated JOIN hc USING (page_id, word_idx)""")
+def validation_dispatch(spark, sf_dir):
+    """Even pages have a second source, odd ones don't."""
+    words = I.token_words(spark, sf_dir)
+    out = checks.validate(words, I.second_timing(words).where("page_id % 2 = 0"))
+    return out.select("page_id", "word_idx", "matched", r6("final_confidence").alias("final_confidence"))
+
+
+VERIFIED = """z AS (SELECT page_id, word_idx, word_idx % 4 = 1 AS gone, CASE WHEN word_idx % 4 = 1 THEN 0 ELSE s END AS s, CASE WHEN word_idx % 4 = 1 THEN 0 ELSE e END AS e, word_idx % 8 = 1 AS told, word_idx % 16 = 1 AS open FROM words)"""
+
+
+@query(f"{TOK}, {VERIFIED} SELECT page_id, word_idx, round(CASE WHEN told THEN 1.5 ELSE s END, 6) AS start, round(CASE WHEN told AND open THEN 1.5 + 0.3 WHEN told THEN 2 ELSE e END, 6) AS \"end\", CASE WHEN told THEN 'verified' WHEN gone THEN 'needs_verification' ELSE 'matched' END AS status FROM z")
+def apply_verifications(spark, sf_dir):
+    """A check of every second missing word, some without an end, some unsure or unspoken."""
+    i = F.col("word_idx")
+    gone = i % 4 == 1
+    words = I.token_words(spark, sf_dir).withColumns({"ref_idx": i, "start": F.when(gone, 0.0).otherwise(F.col("start")), "end": F.when(gone, 0.0).otherwise(F.col("end")), "status": F.when(gone, "needs_verification").otherwise("matched")})
+    told = words.where(gone).select("page_id", "ref_idx", (i % 8 == 1).alias("is_spoken"), F.lit(1.5).alias("start_time"), F.when(i % 16 != 1, 2.0).alias("end_time"), F.lit(0.8).alias("confidence"))
+    unsure = words.where(i % 8 == 3).select("page_id", "ref_idx", F.lit(True).alias("is_spoken"), F.lit(9.0).alias("start_time"), F.lit(9.5).alias("end_time"), F.lit(0.7).alias("confidence"))
+    out = joins.apply_verifications(words, told.unionByName(unsure))
+    return out.select("page_id", "word_idx", r6("start").alias("start"), r6("end").alias("end"), "status")
+
+
+@query(f"{TOK} SELECT page_id, word_idx, round(CASE WHEN word_idx < 3 AND word_idx <> 1 AND page_id % 2 = 0 THEN 0.5::DOUBLE + word_idx * 0.4::DOUBLE ELSE s END, 6) AS start, round(CASE WHEN word_idx < 3 AND word_idx <> 1 AND page_id % 2 = 0 THEN 0.5::DOUBLE + word_idx * 0.4::DOUBLE + 0.4::DOUBLE ELSE e END, 6) AS \"end\" FROM words")
+def spread_title(spark, sf_dir):
+    """Titles of three words; the second was recognised, and only even pages' titles are sure to be spoken."""
+    words = I.token_words(spark, sf_dir).withColumns({"op": F.when((F.col("word_idx") < 3) & (F.col("word_idx") != 1), "deletion").otherwise("match"), "status": F.lit("matched")})
+    even = F.col("page_id") % 2 == 0
+    titles = words.select("page_id").distinct().select("page_id", F.lit(3).alias("title_len"), F.lit(True).alias("is_spoken"), F.lit(0.5).alias("start_time"), F.lit(1.7).alias("end_time"), F.when(even, 0.9).otherwise(0.6).alias("confidence"))
+    return joins.spread_title(words, titles).select("page_id", "word_idx", r6("start").alias("start"), r6("end").alias("end"))
+
+
+@query(f"{TOK}, {I.PROSODY_SQL} SELECT page_id, gap_index AS pg_idx, CASE WHEN page_id % 3 = 0 THEN 'model' ELSE recommendation END AS recommendation FROM prosody WHERE page_id % 3 <> 0 OR gap_index % 2 = 0")
+def prosody_dispatch(spark, sf_dir):
+    """Every third page has advice of a model on every second gap."""
+    advice = _prosody(spark, sf_dir)[1]
+    told = advice.where("page_id % 3 = 0 AND pg_idx % 2 = 0").withColumn("recommendation", F.lit("model"))
+    # a page whose positive gaps are all odd has no answer
+    lost = advice.where("page_id % 3 = 0").join(told.select("page_id").distinct(), "page_id", "left_anti").select("page_id").distinct()
+    return gaps.prosody_dispatch(told, advice.join(lost, "page_id", "left_anti")).select("page_id", "pg_idx", "recommendation")
+
+
 CORRECTIONS = """g AS (SELECT page_id, word_idx, (word_idx / 3)::INTEGER AS seq, CASE WHEN word_idx % 5 = 0 THEN 'other' ELSE upper(word) END AS w, s + 0.01::DOUBLE AS cs, e + 0.02::DOUBLE AS ce, ((word_idx * 13) % 10)::DOUBLE / 10::DOUBLE AS conf FROM words WHERE word_idx % 3 = 0),
 h AS (SELECT page_id, word_idx, (word_idx / 4)::INTEGER AS seq, word AS w, s + 0.05::DOUBLE AS cs, e + 0.06::DOUBLE AS ce, 0.85::DOUBLE AS conf FROM words WHERE word_idx % 4 = 0)"""
 
