@@ -122,3 +122,20 @@ def low_confidence_gaps(classified: DataFrame, threshold: float = 0.7) -> DataFr
 
 def review_gaps(classified: DataFrame) -> DataFrame:
     return classified.where(F.col("action") == "review")
+
+
+def with_advice(prosody: DataFrame, *kinds: str) -> DataFrame:
+    """Advice of the kinds named: keep, fill, analyze."""
+    return prosody.where(F.col("recommendation").isin(*kinds))
+
+
+def events_of(events: DataFrame, kind: str) -> DataFrame:
+    return events.where(F.col("event_type") == kind)
+
+
+def prosody_summary(prosody: DataFrame, events: DataFrame) -> DataFrame:
+    """A page's advice in all, to keep and to fill, and its events in all, breaths and pitch resets."""
+    told = prosody.groupBy("page_id").agg(F.count("*").alias("gaps"), F.count_if(F.col("recommendation") == "keep").alias("to_keep"), F.count_if(F.col("recommendation") == "fill").alias("to_fill"))
+    seen = events.groupBy("page_id").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "breath_pause").alias("breaths"), F.count_if(F.col("event_type") == "pitch_reset").alias("pitch_resets"))
+    out = told.join(seen, "page_id", "left")
+    return out.select("page_id", "gaps", "to_keep", "to_fill", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("events", "breaths", "pitch_resets")))

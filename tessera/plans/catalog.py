@@ -105,6 +105,17 @@ def prosody_events(spark, sf_dir):
     return gaps.prosody_events(_prosody(spark, sf_dir)[1]).withColumn("start", r6("start"))
 
 
+@query(f"{TOK}, {I.PROSODY_SQL} SELECT page_id, count(*) AS gaps, count(*) FILTER (recommendation = 'keep') AS to_keep, count(*) FILTER (recommendation = 'fill') AS to_fill, (count(*) FILTER (has_pitch_reset) + count(*) FILTER (is_sentence_boundary))::BIGINT AS events, 0::BIGINT AS breaths, count(*) FILTER (has_pitch_reset) AS pitch_resets FROM prosody GROUP BY page_id")
+def prosody_summary(spark, sf_dir):
+    advice = _prosody(spark, sf_dir)[1]
+    return gaps.prosody_summary(advice, gaps.prosody_events(advice))
+
+
+@query(f"{TOK}, {I.PROSODY_SQL} SELECT page_id, gap_index AS pg_idx FROM prosody WHERE recommendation IN ('keep', 'fill')")
+def decided_advice(spark, sf_dir):
+    return gaps.with_advice(_prosody(spark, sf_dir)[1], "keep", "fill").select("page_id", "pg_idx")
+
+
 @query(f"{TOK}, {I.PROSODY_SQL}, {I.SHIFTED_SQL} SELECT page_id, gap_index, pg_idx FROM advised")
 def prosody_band_match(spark, sf_dir):
     rows, advice = _prosody(spark, sf_dir)
@@ -464,6 +475,18 @@ def quality_bands(spark, sf_dir):
     return quality.bands(_quality(spark, sf_dir))
 
 
+@query(f"{QUALITY}, b AS (SELECT * FROM q) SELECT page_id, metric, round(value, 6) AS value, status FROM (SELECT page_id, 'confidence' AS metric, av AS value, CASE WHEN av >= 0.9 THEN 'OK' WHEN av >= 0.8 THEN 'WARN' ELSE 'LOW' END AS status FROM q "
+       "UNION ALL SELECT page_id, 'timing precision (ms)', tp, CASE WHEN tp <= 50 THEN 'OK' WHEN tp <= 100 THEN 'WARN' ELSE 'HIGH' END FROM q UNION ALL SELECT page_id, 'gaps for review', gaps_review::DOUBLE, CASE WHEN gaps_review = 0 THEN 'OK' ELSE 'REVIEW' END FROM q "
+       "UNION ALL SELECT page_id, 'word accuracy', av, CASE WHEN av >= 0.95 THEN 'OK' WHEN av >= 0.9 THEN 'WARN' ELSE 'LOW' END FROM q)")
+def quality_report(spark, sf_dir):
+    return quality.report(_quality(spark, sf_dir)).withColumn("value", r6("value"))
+
+
+@query(f"{TOK} SELECT page_id, word_idx, word, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY word_idx)::INTEGER AS rank FROM words WHERE confidence < 0.8) WHERE rank <= 10")
+def worst_words(spark, sf_dir):
+    return quality.worst_words(I.token_words(spark, sf_dir)).select("page_id", "word_idx", "word", "rank")
+
+
 @query(f"{TOK} SELECT page_id, string_agg(word, ' ' ORDER BY word_idx) AS low FROM words WHERE confidence < 0.8 GROUP BY page_id")
 def low_confidence_words(spark, sf_dir):
     return quality.low_confidence_words(I.token_words(spark, sf_dir)).select("page_id", F.array_join("low_confidence_words", " ").alias("low"))

@@ -62,3 +62,15 @@ def html_pages(words: DataFrame, header: DataFrame, logo: str = "logo") -> DataF
         F.lit("</div><audio src=\"audio/"), escape_html(F.col("audio_file")), F.lit("\"></audio><span id=\"duration\">"), clock(F.col("duration")), F.lit("</span>"), cited, F.lit("</body></html>"),
     ]
     return out.select("page_id", F.concat(*parts).alias("html"))
+
+
+def build_site(words: DataFrame, header: DataFrame, index: DataFrame, path: str) -> None:
+    """All pages, their stored results and the index, in one job each: path/html, path/json, path/index."""
+    html_pages(words, header).repartition("page_id").write.partitionBy("page_id").mode("overwrite").text(f"{path}/html")
+    write_documents(documents(words, header.select("page_id", "title", "full_text", "audio_file", "duration")), f"{path}/json")
+    index.write.mode("overwrite").json(f"{path}/index")
+
+
+def copy_assets(files: DataFrame, path: str) -> None:
+    """Binary files (page_id, name, content) into a folder for each page, as rows of a table; storage keeps the bytes as they are."""
+    files.repartition("page_id").write.partitionBy("page_id").mode("overwrite").parquet(f"{path}/assets")

@@ -94,3 +94,14 @@ def test_sync(spark):
     assert w[4].line_break_after and w[1].is_title and out["quality"].first().word_count == 5
     assert schemas.RESULT
     assert pytest
+
+
+def test_site(spark, words, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = words({"p": [("a", 0, 1)], "q": [("b", 0, 1)]}).withColumn("line_break_after", F.lit(False))
+    head = spark.createDataFrame([(p, "T", "T", "livro3.mp3", 2.0, None) for p in "pq"], "page_id string, title string, full_text string, audio_file string, duration double, citation string")
+    sinks.build_site(df, head, head.select("page_id", "title"), str(tmp_path))
+    assert spark.read.text(str(tmp_path / "html")).count() == 2 and spark.read.json(str(tmp_path / "index")).count() == 2
+    sinks.copy_assets(spark.createDataFrame([("p", "audio.mp3", b"x")], "page_id string, name string, content binary"), str(tmp_path))
+    assert bytes(spark.read.parquet(str(tmp_path / "assets")).first().content) == b"x"
