@@ -103,7 +103,10 @@ def as_blocks(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES
 
 
 def stored_blocks(blocks: DataFrame, text_size: int) -> DataFrame:
-    """Blocks in a table bucketed by block, so that answers come to the blocks and no text is shuffled."""
+    """Blocks in a table bucketed by block, so that answers come to the blocks and no text is shuffled.
+
+    The table stays in the warehouse as long as results may be read from it (see drop_stored_blocks).
+    """
     spark = blocks.sparkSession
     name = f"tessera_blocks_{uuid.uuid4().hex}"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), text_size // STORED_BYTES)
@@ -111,6 +114,13 @@ def stored_blocks(blocks: DataFrame, text_size: int) -> DataFrame:
     return spark.table(name)
 
 
+def drop_stored_blocks(spark) -> None:
+    """Drops the tables that stored_blocks left; what reads them must have run."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("tessera_blocks_"):
+            spark.sql(f"DROP TABLE {t.name}")
+
+
 def bucket_bits(text_size: int) -> int:
     return max(4, (max(1, text_size // BUCKET_BYTES) - 1).bit_length())
 
