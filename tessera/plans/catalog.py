@@ -409,8 +409,8 @@ def prose_flag(spark, sf_dir):
     return I.table(spark, sf_dir, "documents").select("doc_id", text.is_prose(F.col("text")).alias("prose"))
 
 
-PAIRS = r"""e AS (SELECT DISTINCT regexp_replace(lower(t), '[^a-z]', '', 'g') AS w FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS t FROM benchmark) WHERE regexp_full_match(t, '[ -~]+')), n AS (SELECT w, row_number() OVER (ORDER BY w) AS k FROM e WHERE w <> ''),
-p AS (SELECT a.w AS a, b.w AS b FROM n a JOIN n b ON b.k BETWEEN a.k + 1 AND a.k + 9)"""
+PAIRS = r"""e AS (SELECT DISTINCT regexp_replace(lower(t), '[^a-z]', '', 'g') AS w FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS t FROM benchmark) WHERE regexp_full_match(t, '[ -~]+')), n AS (SELECT w, left(w, 1) AS c, row_number() OVER (PARTITION BY left(w, 1) ORDER BY w) AS k FROM e WHERE w <> ''),
+p AS (SELECT a.w AS a, b.w AS b FROM n a JOIN n b ON a.c = b.c AND b.k BETWEEN a.k + 1 AND a.k + 9)"""
 SOUND = lambda c: "replace(" * len(similarity.SOUNDS) + c + "".join(f", '{x}', '{y}')" for x, y in similarity.SOUNDS)
 
 
@@ -421,8 +421,8 @@ SOUND = lambda c: "replace(" * len(similarity.SOUNDS) + c + "".join(f", '{x}', '
 def word_similarity(spark, sf_dir):
     tokens = I.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("t")).where("t rlike '^[ -~]+$'")
     words = tokens.select(F.regexp_replace(F.lower("t"), "[^a-z]", "").alias("w")).where("w <> ''").distinct()
-    # each word with the nine after it in order
-    near = W.Window.orderBy("w")
+    # each word with the nine after it, in order, of the same initial
+    near = W.Window.partitionBy(F.substring("w", 1, 1)).orderBy("w")
     following = words.select(F.col("w").alias("a"), F.array(*(F.lead("w", k).over(near) for k in range(1, 10))).alias("next"))
     pairs = following.select("a", F.explode("next").alias("b")).where("b IS NOT NULL")
     s = similarity.word_similarity(F.col("a"), F.col("b"))
