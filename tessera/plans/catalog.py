@@ -172,7 +172,16 @@ def neighbour_fill(spark, sf_dir):
     return out.select("page_id", "word_idx", r6("prev_end").alias("prev_end"), r6("next_start").alias("next_start"), "run_id")
 
 
-@query()
+INTERPOLATED = rf"""{EV.replace("WITH ", "WITH RECURSIVE ", 1)}, {MISSING},
+a AS (SELECT page_id, word_idx, missing, s1, e1, confidence, greatest(1, len(regexp_extract_all(regexp_replace(lower(word), '[^a-z]', '', 'g'), '[aeiou]+')))::DOUBLE AS syl, lag(e1) OVER o AS pe, CASE WHEN missing THEN sum(CASE WHEN missing THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY word_idx ROWS UNBOUNDED PRECEDING) END AS run,
+ coalesce(first_value(CASE WHEN s1 > 0 THEN s1 END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY word_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 99999)::DOUBLE AS nx FROM m WINDOW o AS (PARTITION BY page_id ORDER BY word_idx)),
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id, run ORDER BY word_idx) - 1 AS k, count(*) OVER (PARTITION BY page_id, run) AS n, sum(syl) OVER (PARTITION BY page_id, run) AS tot, first_value(coalesce(pe, 0)) OVER (PARTITION BY page_id, run ORDER BY word_idx)::DOUBLE AS p0 FROM a WHERE missing),
+f AS (SELECT page_id, run, word_idx, k, p0 AS st, p0 + greatest(0.15::DOUBLE, syl * (CASE WHEN nx - p0 > 0 THEN nx - p0 ELSE 0.3::DOUBLE * n END) / tot) AS en, (CASE WHEN nx - p0 > 0 THEN nx - p0 ELSE 0.3::DOUBLE * n END) / tot AS rate, tot - syl AS lft FROM b WHERE k = 0
+ UNION ALL SELECT page_id, run, word_idx, k, st, st + greatest(0.15::DOUBLE, syl * rate), rate, lft - syl FROM (SELECT b.page_id, b.run, b.word_idx, b.k, b.syl, f.en AS st, f.lft, (CASE WHEN b.k = b.n - 1 THEN CASE WHEN b.nx - f.en > 0 THEN b.nx - f.en ELSE 0.3::DOUBLE END ELSE greatest(0.15::DOUBLE, b.syl * f.rate) END) / f.lft AS rate FROM f JOIN b ON b.page_id = f.page_id AND b.run = f.run AND b.k = f.k + 1))
+SELECT a.page_id, a.word_idx, round(coalesce(f.st, a.s1), 6) AS start, round(coalesce(f.en, a.e1), 6) AS "end", CASE WHEN missing THEN 0.3 ELSE confidence END::DOUBLE AS confidence FROM a LEFT JOIN f USING (page_id, word_idx)"""
+
+
+@query(INTERPOLATED)
 def interpolate(spark, sf_dir):
     words = _missing(spark, sf_dir).withColumn("syllables", text.syllables(F.col("word"))).withColumn("duration", F.lit(99999.0))
     return ordered.interpolate(words).select("page_id", "word_idx", r6("start").alias("start"), r6("end").alias("end"), "confidence")
