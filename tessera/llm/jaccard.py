@@ -184,7 +184,9 @@ def _linked(df: DataFrame, key: str, text: str, words: int, threshold: float, to
         some = roots != np.arange(len(roots))
         return pa.table({"a": pa.array(node[some]), "b": pa.array(node[roots[some]])})
 
-    alike = entries.groupBy("band", "low", "high").applyInArrow(bucket, "a long, b long")
+    # comparing takes long for its bytes, so tasks stay as many as shuffle partitions
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alike = entries.repartition(tasks, "band", "low", "high").groupBy("band", "low", "high").applyInArrow(bucket, "a long, b long")
     clusters = written(components(alike.distinct()), "jaccard-clusters")
 
     # the sets of clustered nodes, one text for each node
@@ -239,7 +241,7 @@ def _linked(df: DataFrame, key: str, text: str, words: int, threshold: float, to
         roots = forest.roots()
         return pa.table({"node": pa.array(node), "peer": pa.array(node[roots]), "links": pa.array(links), "texts": pa.array(texts)})
 
-    verified = written(full.groupBy("root", "low", "high").applyInArrow(verify, "node long, peer long, links long, texts long"), "jaccard-links")
+    verified = written(full.repartition(tasks, "root", "low", "high").groupBy("root", "low", "high").applyInArrow(verify, "node long, peer long, links long, texts long"), "jaccard-links")
     classes = components(verified.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     counts = verified.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     told = nodes.select("node", "key", "copies").join(classes, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
