@@ -1,9 +1,10 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits kept, one blank
-between words) and mapped to the identifier of a known licence sentence. Identifiers in text order
-form a sequence; ordered rules, each a run of identifiers, are matched against it, and the first
-rule that matches names the licence.
+A text is normalised (lower case, letters and digits kept, one blank between words) with marks
+where a sentence may end: line breaks, blank lines and marks of punctuation. Known licence
+sentences that stand between two marks, over single line breaks too, become identifiers.
+Identifiers in text order form a sequence; ordered rules, each a run of identifiers, are matched
+against it, and the first rule that matches names the licence.
 
 The knowledge tables are parameters of fixed size and become one map literal, so the plan is a
 projection: no join, no shuffle. Null and empty texts have no sentences and no licence.
@@ -62,24 +63,48 @@ RULES = [
     ("MIT", ["mit-short"]),
     ("MIT", ["mit-grant"]),
 ]
-#: Sentences end at a line break that a blank line or list mark follows, or at .!? before white space. A line break alone also ends one.
-ENDS = r"\n+|(?<=[.!?])[ \t]+"
-NOT_WORD = "[^a-z0-9]+"
+# A text becomes lower-case words with one separator between neighbours: a blank inside a line, SOFT where a sentence may end, HARD where one must.
+SOFT, HARD = "\x02", "\x01"
+#: What lies between two words, looked at once from its start: a blank line, also one of comment marks only; a line break; a mark that ends a sentence, a clause or an abbreviation.
+_START, _LINE = "(?=[^a-z0-9])(?<![^a-z0-9])[^a-z0-9\n]*+\n", "[^a-z0-9\n]*+"
+BREAKS = [(f"{_START}{_LINE}\n[^a-z0-9]*+", HARD), (f"{_START}{_LINE}", SOFT), (r"(?=[^a-z0-9])(?<![^a-z0-9])[^a-z0-9\n]*[.!?;:][ \t][^a-z0-9\n]*+", SOFT)]
+NOT_WORD = f"[^a-z0-9{SOFT}{HARD}]+"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), NOT_WORD, " "))
+def marked_words(text: Column) -> Column:
+    """Lower-case words of a text with blanks, SOFT and HARD between them, HARD at both ends."""
+    out = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), rf"\r\n?|[{SOFT}{HARD}]", "\n"))
+    out = F.concat(F.lit("\n\n"), out, F.lit("\n\n"))
+    for pattern, mark in BREAKS:
+        out = F.regexp_replace(out, pattern, mark)
+    return F.regexp_replace(out, NOT_WORD, " ")
+
+
+def _one_of(sentences: Sequence[str]) -> list[str]:
+    """Words of which each sentence holds one at least: a text without any of them needs no regular expression."""
+    out, rest = [], list(sentences)
+    while rest:
+        words = {w for s in rest for w in s.split()}
+        best = max(sorted(words), key=lambda w: (sum(w in s for s in rest if len(w) > 4), len(w)))
+        out.append(best)
+        rest = [s for s in rest if best not in s]
+    return out
 
 
 def known_sentences(text: Column, sentences: Mapping[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in its order.
 
-    Only sentences of a length that a known one can have are normalised: normalising never lengthens.
+    A known sentence starts after a mark and ends before one, and may go on over SOFT marks inside:
+    wrapped lines, comment prefixes and abbreviations don't hide it, and a notice on a line of its
+    own needs no full stop. Where several start at one place, the longest holds.
     """
     table = F.create_map(*(F.lit(x) for name, s in sentences.items() for x in (s, name)))
-    least = min(map(len, sentences.values()))
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), ENDS), lambda s: F.length(s) >= least)
-    return F.filter(F.transform(parts, lambda s: F.try_element_at(table, normalised(s))), lambda x: x.isNotNull())
+    longest = sorted(sentences.values(), key=lambda s: (-len(s), s))
+    known = "|".join(s.replace(" ", f"[ {SOFT}]") for s in longest)
+    found = F.regexp_extract_all(marked_words(text), F.lit(f"(?<=[{SOFT}{HARD}])(?:{known})(?=[{SOFT}{HARD}])"), F.lit(0))
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    may = F.exists(F.array(*map(F.lit, _one_of(longest))), lower.contains)
+    return F.transform(F.when(may, found).otherwise(F.array().cast("array<string>")), lambda s: F.try_element_at(table, F.translate(s, SOFT, " ")))
 
 
 def first_rule(sequence: Column, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> Column:

@@ -131,3 +131,75 @@ def test_licenses(spark):
     got = {r.doc_id: (r.license, r.rule, r.n_sentences) for r in licenses.scan_licenses(df, "doc_id", "text").collect()}
     assert got == {1: ("Apache-2.0", 16, 1), 2: ("MIT", 3, 2), 3: ("MIT", 18, 2), 4: (None, None, 0), 5: (None, None, 0), 6: ("MIT", 17, 2), 7: (None, None, 0), 8: (None, None, 1)}
     assert licenses.scan_licenses(df.limit(0), "doc_id", "text").count() == 0
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL"""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+ISC = """Copyright (c) 2020 Someone
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may
+not use this file except in compliance with the License. You may obtain a
+copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+def test_wrapped_licenses(spark):
+    want = {
+        "MIT": (MIT, "mit-grant|mit-notice|mit-as-is"), "GPL-2.0-or-later": (GPL, "gpl2-free|gpl-hope"), "BSD-2-Clause": (BSD, "bsd-head|bsd-source|bsd-binary"), "ISC": (ISC, "isc-grant"),
+        "MPL-2.0": (MPL, "mpl2-head"), "Apache-2.0": (APACHE, "apache-head|apache-comply|apache-copy|apache-basis"),
+    }
+    rows = []
+    for name, (body, ids) in want.items():
+        for prefix in ("", "// ", " * ", "# ", ";; ", "    "):
+            for end in ("\n", "\r\n"):
+                rows.append((len(rows), ("/*\n" if prefix == " * " else "") + end.join((prefix + line).rstrip() for line in body.split("\n")) + "\nint x = 1", name, ids))
+    rows.append((len(rows), MPL.replace("\n", " "), "MPL-2.0", "mpl2-head"))
+    # one-line notices among other lines, repeated sentences, a sentence over a blank line, and one inside a longer sentence
+    rows.append((len(rows), "Copyright 2020\nReleased under the MIT license\nsome words", "MIT", "mit-short"))
+    rows.append((len(rows), "Released under\nthe MIT license. Released under the MIT license.", "MIT", "mit-short|mit-short"))
+    rows.append((len(rows), "Released under\n\nthe MIT license.", None, ""))
+    rows.append((len(rows), "It was never released under the MIT license before.", None, ""))
+    rows.append((len(rows), "Licensed under the Apache License, Version 2.0\n(the \"License\");\nYou may not use this file except in compliance with the\nLicense.", "Apache-2.0", "apache-head|apache-comply"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, want string, ids string")
+    got = {r.doc_id: (r.license, r.sentence_ids, r.n_sentences) for r in licenses.scan_licenses(df, "doc_id", "text").collect()}
+    for i, _, name, ids in rows:
+        assert got[i] == (name, ids, len(ids.split("|")) if ids else 0), rows[i]
