@@ -2,7 +2,9 @@
 
 The kernel of two words sums, over subsequences of four symbols that span at most six, a weight
 that halves with each skipped symbol, so an insult with a character put in or left out still has
-most of its subsequences. Landmark words give the Nyström map K(w, landmarks) K(landmarks)^-1/2,
+most of its subsequences. A word that holds marks, every second symbol the same, or letters that
+stand apart ("i d i o t") is also read by its letters only, a mark or blank between two counting as
+one skipped symbol; the higher of the two scores holds. Landmark words give the Nyström map K(w, landmarks) K(landmarks)^-1/2,
 and the machine's weights on it fold into one table of subsequence weights: a word is scored
 without visiting the landmarks again. Sentences of toxic texts teach through the words that they
 hold and clean texts don't. A text's score is a logistic function of what its words score.
@@ -29,6 +31,11 @@ from pyspark.sql import functions as F
 
 LENGTH, SPAN, DECAY = 4, 6, 0.5
 PATTERNS = [((0, *p), DECAY ** (p[-1] + 1 - LENGTH)) for p in itertools.combinations(range(1, SPAN), LENGTH - 1)]
+#: Words that have letters apart: by marks, or by one symbol at every second place.
+APART, SECOND = re.compile(r"[^\W_][\W_]+[^\W_]"), re.compile(r"(?s)^.(.)(?:.\1){2,}.?$")
+MARKS = re.compile(r"[\W_]+")
+#: Words of at most SHORT letters next to each other are joined, WINDOW at a time; single letters over the whole run.
+SHORT, WINDOW = 2, 4
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 #: Subsequences are hashed into so many cells.
 CELLS = 1 << 18
@@ -36,9 +43,26 @@ CELLS = 1 << 18
 CHUNK = 1 << 18
 
 
-def subsequences(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, cell, weight) of each subsequence; a word is lower-cased and has marks at its ends. A word's weights are scaled to length 1 as if all of its subsequences differed."""
-    marked = ["\x02" + (EDGES.sub("", w.lower()) or w) + "\x03" for w in words]
+def _letters(word: str) -> tuple[str, list[int]]:
+    """A word's letters and digits and their places, where marks between two of them count as one place."""
+    if SECOND.search(word):
+        return word[::2], list(range(1, len(word) + 1, 2))
+    parts = [x for x in MARKS.split(word) if x]
+    return "".join(parts), [i + k for i, k in enumerate((k for k, x in enumerate(parts) for _ in x), 1)]
+
+
+def subsequences(words: Sequence[str], apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, cell, weight) of each subsequence; a word is lower-cased and has marks at its ends. A word's weights are scaled to length 1 as if all of its subsequences differed.
+
+    With `apart`, marks inside a word are skipped and never symbols, so six letters with a mark after each span eleven.
+    """
+    marked = [EDGES.sub("", w.lower()) or w for w in words]
+    place = None
+    if apart:
+        split = [_letters(w) for w in marked]
+        marked = [w for w, _ in split]
+        place = np.fromiter((p for _, at in split for p in (0, *at, at[-1] + 1 if at else 1)), np.int64)
+    marked = ["\x02" + w + "\x03" for w in marked]
     symbols = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     own = np.repeat(np.arange(len(words)), [len(w) for w in marked])
     parts = []
@@ -51,7 +75,7 @@ def subsequences(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         for o in offsets:
             code = (code ^ symbols[at + o]) * np.uint64(0x9E3779B97F4A7C15)
             code ^= code >> np.uint64(29)
-        parts.append((own[at], (code >> np.uint64(20)).astype(np.int64) & (CELLS - 1), np.full(len(at), weight, np.float32)))
+        parts.append((own[at], (code >> np.uint64(20)).astype(np.int64) & (CELLS - 1), np.full(len(at), weight, np.float32) if place is None else (DECAY ** (place[at + offsets[-1]] - place[at] + 1 - LENGTH)).astype(np.float32)))
     if not parts:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
     word, cell, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -60,20 +84,28 @@ def subsequences(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def word_scores(words: Sequence[str], table: np.ndarray) -> np.ndarray:
-    """Sum of the table over each word's subsequences."""
+    """Sum of the table over each word's subsequences; of the two ways to read a word with letters apart, the higher one."""
+    out = _sums(words, table, False)
+    apart = [k for k, w in enumerate(words) if APART.search(w) or SECOND.search(EDGES.sub("", w))]
+    if apart:
+        out[apart] = np.maximum(out[apart], _sums([words[k] for k in apart], table, True))
+    return out
+
+
+def _sums(words: Sequence[str], table: np.ndarray, apart: bool) -> np.ndarray:
     out, start = np.zeros(len(words)), 0
     while start < len(words):
         stop, size = start, 0
         while stop < len(words) and (stop == start or size + len(words[stop]) < CHUNK):
             size += len(words[stop])
             stop += 1
-        word, cell, weight = subsequences(words[start:stop])
+        word, cell, weight = subsequences(words[start:stop], apart)
         out[start:stop] = np.bincount(word, weight * table[cell], stop - start)
         start = stop
     return out
 
 
-def nystrom(words: Sequence[str], landmarks: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nystrom(words: Sequence[str], landmarks: Sequence[str], apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(kernel of each word with each landmark, the cells that landmarks have, a column of their weights for each landmark)."""
     word, cell, weight = subsequences(landmarks)
     used, rows = np.unique(cell, return_inverse=True)
@@ -83,7 +115,7 @@ def nystrom(words: Sequence[str], landmarks: Sequence[str]) -> tuple[np.ndarray,
     place[used] = np.arange(len(used))
     out = np.zeros((len(words), len(landmarks)), np.float32)
     for a in range(0, len(words), 500):
-        word, cell, weight = subsequences(words[a : a + 500])
+        word, cell, weight = subsequences(words[a : a + 500], apart)
         hit = place[cell] >= 0
         word, rows, weight = word[hit], place[cell[hit]], weight[hit]
         order = np.argsort(word, kind="stable")
@@ -139,7 +171,7 @@ class ToxicModel:
 
     def texts(self, texts: Sequence[str | None]) -> list[float]:
         ids: dict[str, int] = {}
-        rows = [np.fromiter((ids.setdefault(w, len(ids)) for w in _words(t)), np.int64) for t in texts]
+        rows = [np.fromiter((ids.setdefault(w, len(ids)) for w in _units(t)), np.int64) for t in texts]
         scores = word_scores(list(ids), self.table) + self.bias if ids else np.zeros(0)
         return self.score([scores[r] for r in rows])
 
@@ -148,6 +180,28 @@ def _words(text: str | None) -> list[str]:
     return [w.decode() for w in (text or "").encode("utf-8", "ignore").split()]
 
 
+def _units(text: str | None) -> list[str]:
+    """The words of a text, and what short words next to each other spell."""
+    words = _words(text)
+    size = [len(w) if len(w) <= SHORT else len(EDGES.sub("", w)) for w in words]
+    out, start = list(words), 0
+    while start < len(words):
+        stop, single = start, start
+        while stop < len(words) and size[stop] <= SHORT:
+            if size[stop] > 1:
+                if stop - single > WINDOW:
+                    out.append(" ".join(words[single:stop]))
+                single = stop + 1
+            stop += 1
+        if stop - single > WINDOW:
+            out.append(" ".join(words[single:stop]))
+        for k in range(start, max(start + 1, stop - WINDOW + 1)):
+            if sum(size[k : min(k + WINDOW, stop)]) >= LENGTH and stop - start > 1:
+                out.append(" ".join(words[k : min(k + WINDOW, stop)]))
+        start = stop + 1
+    return out
+
+
 def teach_words(texts: Sequence[str], toxic: np.ndarray, most: int = 20000) -> tuple[list[str], np.ndarray]:
     """Words with labels: 1 where toxic texts hold a word far more often than clean ones do, -1 for words of clean texts."""
     bad, good = Counter(), Counter()
@@ -171,6 +225,16 @@ def varied(words: Sequence[str], marks: str = "*.-x1") -> list[str]:
     return out
 
 
+def spelled(words: Sequence[str], marks: str = " *.-_") -> list[str]:
+    """Each word with a mark after every letter, and with one after every second."""
+    out = []
+    for k, w in enumerate(words):
+        w, mark = EDGES.sub("", w), marks[k % len(marks)]
+        if len(w) >= LENGTH:
+            out += [mark.join(w), mark.join(w[i : i + 2] for i in range(0, len(w), 2))]
+    return out
+
+
 def train(texts: Sequence[str], toxic: Sequence[bool], landmarks: int = 256) -> ToxicModel:
     seen = dict(zip(texts, toxic, strict=True))
     texts, y = list(seen), np.array(list(seen.values()), bool)
@@ -183,20 +247,26 @@ def train(texts: Sequence[str], toxic: Sequence[bool], landmarks: int = 256) ->
         return flat
     chosen = [w for w, v in zip(words, label, strict=True) if v > 0][: landmarks // 2]
     virtual = varied(chosen)
+    letters = spelled(chosen)
     words, label = words + virtual, np.concatenate((label, np.ones(len(virtual))))
     others = [w for w, v in zip(words, label, strict=True) if v < 0]
     chosen += others[:: max(1, len(others) // (landmarks - len(chosen)))][: landmarks - len(chosen)]
     kernel, used, narrow = nystrom(words, chosen)
     values, vectors = np.linalg.eigh((narrow.T @ narrow).astype(np.float64) + 1e-3 * np.eye(len(chosen)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    z = np.hstack([kernel @ root, np.ones((len(words), 1))])
+    # read by their letters: insults spelled out, and what clean texts hold of joined words and spelled-out ones
+    runs = Counter(u for t, bad in zip(texts, y, strict=True) if not bad for u in {x.lower() for x in _units(t) if " " in x})
+    clean = [u for u, _ in sorted(runs.items(), key=lambda x: (-x[1], x[0]))[: len(others)]] + spelled(chosen[-landmarks // 2 :]) + [""]
+    kernel = np.vstack([kernel, nystrom(letters + clean, chosen, True)[0]])
+    label = np.concatenate((label, np.ones(len(letters)), -np.ones(len(clean))))
+    z = np.hstack([kernel @ root, np.ones((len(label), 1))])
     cost = np.where(label > 0, 8.0, 1.0)
     w = squared_hinge(z, label, cost)
     table = np.zeros(CELLS, np.float32)
     table[used] = narrow @ (root @ w[:-1])
     model = ToxicModel(table, float(w[-1]), np.zeros(5))
     ids: dict[str, int] = {}
-    rows = [np.fromiter((ids.setdefault(v, len(ids)) for v in _words(t)), np.int64) for t in texts]
+    rows = [np.fromiter((ids.setdefault(v, len(ids)) for v in _units(t)), np.int64) for t in texts]
     scores = word_scores(list(ids), table) + model.bias
     x = np.array([pooled(scores[r]) for r in rows])
     return ToxicModel(table, model.bias, logistic(x, y.astype(float)))

@@ -172,6 +172,29 @@ def test_toxicity(spark, odd):
     assert all(zlib.crc32(str(i).encode()) % 5 == f for i, f in folds.items())
 
 
+def test_toxicity_letters_apart():
+    """Insults with a mark or blank after each letter keep most of the kernel, and are found in texts."""
+    for gapped in ("i*d*i*o*t", "i d i o t", "i..d..i..o..t", "ixdxixoxt", "id io t"):
+        assert toxicity.nystrom([gapped], ["idiot"], True)[0][0, 0] > 0.5, gapped
+    assert toxicity.nystrom(["i*d*i*o*t"], ["pathetic"], True)[0][0, 0] < 0.1
+    # without marks both readings are the same
+    for a, b in zip(toxicity.subsequences(["stupid", "shore"]), toxicity.subsequences(["stupid", "shore"], True), strict=True):
+        assert a == pytest.approx(b)
+    assert toxicity._letters("i**d*io") == ("idio", [1, 3, 5, 6]) and toxicity._units("an i d i o t shore") == ["an", "i", "d", "i", "o", "t", "shore", "i d i o t", "an i d i", "i d i o", "d i o t"]
+    r = random.Random(8)
+    known = ["a", "an", "or", "in", "it", "the", *("".join(r.choices(["the", "an", "or", "in", "sh", "re"], k=r.randint(2, 4))) for _ in range(150))]
+    plain = lambda n: r.choices(known, k=n)
+    insults = ["stupid", "worthless", "moron", "pathetic", "idiot"]
+    texts = [" ".join([*plain(30), *(r.choices(insults, k=2) if i % 5 == 0 else []), *plain(30)]) for i in range(600)]
+    model = toxicity.train(texts, [i % 5 == 0 for i in range(600)])
+    for w in insults:
+        gapped = [" ".join(w), "*".join(w), ".".join(w), "-".join(w), "_".join(w), "~".join(w), "x".join(w), " ".join(w[i : i + 2] for i in range(0, len(w), 2)), ". ".join(w)]
+        for g, score in zip(gapped, model.texts([" ".join([*plain(30), g, *plain(30)]) for g in gapped]), strict=True):
+            assert score > 0.5, (g, score)
+    clean = [" ".join(plain(60)) for _ in range(40)] + ["or a a in a b c d e f or", "state-of-the-art e.g. a/b/c re-in-sh 1.2.3.4.5", "a " * 50, "", "* . -"]
+    assert sum(x > 0.5 for x in model.texts(clean)) <= 1
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     P = pytest.importorskip("public_tokenizers")
