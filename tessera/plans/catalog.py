@@ -439,9 +439,9 @@ def word_similarity(spark, sf_dir):
 
 
 def _turns(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A conversation's first turn as the reference, its words in other order of halves as what was heard."""
-    conv = I.table(spark, sf_dir, "conversations").where("turn = 0").groupBy("conv_id").agg(F.min("text").alias("text"))
-    ref = conv.select(F.col("conv_id").alias("page_id"), F.posexplode(text.tokens(F.col("text"))).alias("ref_idx", "token"))
+    """Each turn of a conversation as a reference page `conversation/turn`; what was heard are its words without some, others changed."""
+    conv = I.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    ref = conv.select(F.concat_ws("/", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit(""))).alias("page_id"), F.posexplode(text.tokens(F.col("text"))).alias("ref_idx", "token"))
     heard = ref.where("ref_idx % 9 <> 5").select("page_id", F.col("ref_idx").alias("word_idx"), F.when(F.col("ref_idx") % 4 == 1, F.concat(F.lower("token"), F.lit("s"))).otherwise(F.col("token")).alias("word"), (F.col("ref_idx") * 0.4).alias("start"), (F.col("ref_idx") * 0.4 + 0.3).alias("end"), F.lit(0.9).alias("confidence"))
     return ref, heard
 

@@ -45,3 +45,14 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_all_turns_are_aligned(spark, con):
+    """Alignment and synchronisation have a page for each turn that has words, and each of its tokens."""
+    want = {p: n for p, n in con.execute(r"SELECT conv_id || '/' || turn, len(regexp_extract_all(text, '\S+')) FROM conversations WHERE regexp_matches(text, '\S')").fetchall()}
+    assert any(not p.endswith("/0") for p in want)
+    tokens = {r.page_id: r.n for r in catalog.queries()["align_turns"](spark, SF).where("ref_idx IS NOT NULL").groupBy("page_id").agg({"ref_idx": "count"}).toDF("page_id", "n").collect()}
+    assert tokens == want
+    assert {r.page_id for r in catalog.queries()["align_stats"](spark, SF).collect()} == set(want)
+    assert {r.page_id for r in catalog.queries()["sync"](spark, SF).collect()} == set(want)
+    assert {r.page_id for r in catalog.queries()["aligned_words"](spark, SF).select("page_id").distinct().collect()} == set(want)
