@@ -2,8 +2,8 @@
 
 A text longer than a chunk is cut into overlapping chunks. Each chunk is split into pre-tokens on
 its own; neighbours are stitched at a place where both see a boundary: a pre-token that starts
-in the overlap at least ``GUARD`` characters after the later chunk's start, and that both found. From there on
-both agree, as a pre-token depends only on what stands before its own start through the boundary.
+in the overlap at least ``GUARD`` characters after the later chunk's start, that both found, and
+that no white space stands before, as a pattern may look ahead from there. From there on both agree, as a pre-token depends only on what stands before its own start through the boundary.
 Pieces between stitches are then encoded. Where an overlap holds no such place (one pre-token
 fills it), the chunk grows until it has one. Decoding concatenates the raw bytes of the ids.
 
@@ -48,7 +48,8 @@ class Codec:
                 # what the earlier chunk finds in the overlap, read on from a boundary of its own
                 late = {m.start() for m in self.pattern.finditer(text, over, min(n, stop + width)) if guard <= m.start() < stop}
                 early = {m.start() for m in self.pattern.finditer(text, start, stop) if m.start() >= guard and m.end() < stop}
-                cut = min(late & early, default=0)
+                # a piece is encoded alone, and white space at its end would be split another way there
+                cut = min((c for c in late & early if not text[c - 1].isspace()), default=0)
                 width *= 2
             out.append(cut)
             start = cut

@@ -216,6 +216,22 @@ def test_bpe_cuts(tokenizer):
             assert ids == want.encode_ordinary(text) and codec.decode(ids) == text.encode()
 
 
+def test_bpe_cuts_after_white_space(tokenizer):
+    """No piece ends in white space, which the pattern splits by what follows it."""
+    path, pattern, want = tokenizer
+    codec = bpe.Codec(bpe.rank_lines(path), pattern)
+    r = random.Random(9)
+    for gap in (" \u00a0", "\u00a0\u00a0", " \u2003", "\n\n", "\t\t", " \n\t", "\u3000 \u00a0"):
+        for _ in range(20):
+            text = "".join(gap + "".join(r.choices("abé日", k=r.randint(1, 6))) for _ in range(400))
+            at = codec.cuts(text, 64, 16)
+            assert len(at) > 3 and not any(text[c - 1].isspace() for c in at[1:-1])
+            ids = [i for a, b in zip(at, at[1:], strict=False) for i in codec.core.encode_ordinary(text[a:b])]
+            assert ids == want.encode_ordinary(text) and codec.decode(ids) == text.encode()
+    text = " \u00a0word" * 6000
+    assert len(text) > bpe.CHUNK and codec.encode(text) == want.encode_ordinary(text)
+
+
 def test_bpe(spark, odd, tokenizer):
     path, pattern, want = tokenizer
     got = collections.Counter(tuple(r) for r in bpe.bpe_digests(odd, "doc_id", "text", path, pattern).collect())
