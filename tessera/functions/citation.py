@@ -1,160 +1,130 @@
 """Bibliographic citations as HTML, with the title of the cited work emphasised.
 
-A citation is tried against kinds of work in order; the first kind that claims it names the pieces
-to emphasise. The rules read like a bibliographer's and don't reduce to SQL, so they run in a pandas
-function over Arrow batches.
+A citation is cut into segments at its full stops. Each segment has a type (headline, body, name part
+that goes on, surname, plain), and the types say where the title begins. Imprints and
+locators say where it ends. Everything is a Column expression on one row.
 """
 
 from __future__ import annotations
 
-import html
-import re
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import PandasUDFType
+
+from .text import escape_html
 
 # Letters of names, and the phrases of Brazilian citations.
 UP, LOW = "A-ZÀ-Ú", "a-zà-ú"
 NAME = f"[{UP}][{LOW}]+"
-UNPUBLISHED = re.compile(r"\.\s*Texto não publicado")
-WITHIN = re.compile(r"\.\s*In:\s*")
-ONLINE = "Disponível em:"
+UNPUBLISHED, WITHIN, ONLINE = "Texto não publicado", "In:", "Disponível em:"
 LITERALS = ("cultura popular", "sem referência.")
-PARTICLES = ("de", "da", "das", "dos", "do")
-AUTHORS_WITHIN = re.compile(rf"((?:[{UP}]{{2,}}(?:,\s*[^.]+)?\.\s*)+)")
-ENDS_WITHIN = re.compile(rf"\.\s+(?=\d+\.\s*ed\.)|\.\s+(?=s\.\s*p\.)|\.\s+(?=\d+\s+CD\b)|\.\s+(?={NAME}(?:\s+{NAME})*\s*:)|,\s+(?=p\.\s*\d)|,\s+(?={NAME}(?:\s+{NAME})*\s*,)|\.\s*$")
-PUBLISHED_ONLINE = re.compile(rf"[.,;!?]\s*{NAME}\s*:\s*[{UP}]")
-PUBLISHED = re.compile(rf"{NAME}\s*:\s*[{UP}]")
-PUBLISHED_BOOK = re.compile(rf"[.,;!?]\s*(?:\d+\.\s*ed\.\s+)?{NAME}(?:\s+(?:de|da|do|dos|das|[{UP}])[{LOW}]*)*\s*:\s*[{UP}]")
-ISSUE_OF = re.compile(r"\b(?:ano|n\.|p\.|v\.)\s*\d|(?:jan|fev|mar|abr|maio|jun|jul|ago|set|out|nov|dez)\b", re.IGNORECASE)
-NO_AUTHOR = re.compile(rf"(?:\d+\s+)?[{UP}]+\s+[{LOW}]|[{UP}]\s+[{UP}]+\s+[{LOW}]")
-INSTITUTION = re.compile(rf"[{UP}]{{2,}}\.\s+")
-SURNAME = re.compile(rf"[{UP}]{{2,}}[,.\s;]")
-
-
-def _inside_name(text: str, dot: int) -> bool:
-    """Whether the full stop at `dot` belongs to an initial or a particle of a name."""
-    before = text[:dot]
-    if before and before[-1].isalpha() and (len(before) < 2 or before[-2] in " ,;"):
-        return True
-    word = re.search(r"(\w+)\s*$", before)
-    return bool(word) and word.group(1).lower() in PARTICLES
-
-
-def _stops(text: str, start: int = 0) -> Iterable[int]:
-    return (m.start() for m in re.compile(r"\. ").finditer(text, start))
-
-
-def authors_end(text: str) -> int:
-    """Where the authors end and the title begins; 0 without authors."""
-    if NO_AUTHOR.match(text):
-        return 0
-    body = INSTITUTION.match(text)
-    if body:
-        at = body.end()
-        # departments of the institution: further capitalised segments
-        while (segment := re.compile(r"([^.]+)\.\s*").match(text, at)) and re.match(f"[{UP}][{LOW}]", segment.group(1).strip()):
-            at = segment.end()
-        return at
-    inner = -1
-    for dot in _stops(text):
-        if not _inside_name(text, dot) and not SURNAME.match(text[dot + 2 :]):
-            return dot + 2
-        inner = dot
-    for last in [m.end() for m in re.finditer(rf";\s*[{UP}]{{2,}}", text)][-1:]:
-        for dot in _stops(text, last):
-            if not _inside_name(text, dot):
-                return dot + 2
-    if inner >= 0:
-        return inner + 2
-    dot = text.rfind(".")
-    return 0 if dot <= 0 else dot + 2 if text[dot + 1 : dot + 2] == " " else dot + 1
-
-
-def _title_in(text: str) -> str:
-    return text[authors_end(text) :].strip().rstrip(".")
-
-
-def _unpublished(text: str) -> list[str] | None:
-    found = UNPUBLISHED.search(text)
-    return [_title_in(text[: found.start()])] if found else None
-
-
-def _within(text: str) -> list[str] | None:
-    found = WITHIN.search(text)
-    if not found:
-        return None
-    rest = text[found.end() :]
-    authors = AUTHORS_WITHIN.match(rest)
-    rest = rest[authors.end() :] if authors else rest
-    end = ENDS_WITHIN.search(rest)
-    title = (rest[: end.start()] if end else rest).strip().rstrip(".")
+PARTICLES = "de|da|das|dos|do"
+MONTHS = "jan|fev|mar|abr|maio|jun|jul|ago|set|out|nov|dez"
+SHORTEST, LONGEST_PERIODICAL, LONGEST_LAST_PART = 15, 50, 30
+
+#: Places: of one or more plain names, or with particles between them.
+CITY, CITY_OF = f"{NAME}(?: +{NAME})*", rf"{NAME}(?:\s+(?:{PARTICLES}|[{UP}])[{LOW}]*)*"
+#: What follows a host's title: edition, unpaged, carrier or publisher; or pages or a place after a comma.
+IMPRINT, LOCATOR = rf"\d+\.\s*ed\.|s\.\s*p\.|\d+\s+CD\b|{CITY}\s*:", rf"p\.\s*\d|{CITY}\s*,"
+ISSUE = rf"(?i)\b(?:(?:ano|n\.|p\.|v\.)\s*\d|(?:{MONTHS})\b)"
+#: Segment types, by how a segment starts or ends.
+TYPES = {
+    "headline": rf"^(?:(?:\d+\s+)?[{UP}]+|[{UP}]\s+[{UP}]+)\s+[{LOW}]",
+    "body": rf"^[{UP}]{{2,}}\.$",
+    "department": rf"^{NAME[: len(NAME) - 1]}",
+    "goes_on": rf"(?i)(?:^|[ ,;])(?:\p{{L}}|{PARTICLES})\s*\.$",
+    "surname": rf"^[{UP}]{{2,}}[,.\s;]",
+}
+
+
+def _is(segment: Column, kind: str) -> Column:
+    return segment.rlike(TYPES[kind])
+
+
+def segments(text: Column) -> Column:
+    return F.split(text, r"(?<=\.) ")
+
+
+def title_segment(parts: Column) -> Column:
+    """Number, from 1, of the segment that the title begins with; 1 where no author stands before it.
+
+    A body's departments go on to the last segment, or to one that isn't a name. A person's name
+    goes on over initials and particles, and while surnames follow; without an end the last segment is the title.
+    """
+    n, first = F.size(parts), F.element_at(parts, 1)
+    found = lambda test: F.array_position(F.transform(parts, lambda p, i: (i > 0) & test(p, i)), True)
+    other = found(lambda p, i: ~_is(p, "department"))
+    fresh = found(lambda p, i: ~_is(F.get(parts, i - 1), "goes_on") & ~_is(p, "surname"))
+    begin = F.when(_is(first, "body"), other).otherwise(fresh)
+    return F.when((n == 1) | _is(first, "headline"), 1).otherwise(F.coalesce(F.nullif(begin, F.lit(0)), n)).cast("int")
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(F.trim(text), r"\.+$", "")
+
+
+def title_of(text: Column) -> Column:
+    """The title of a citation that ends with it."""
+    parts = segments(text)
+    return _bare(F.array_join(F.slice(parts, title_segment(parts), F.size(parts)), " "))
+
+
+def _before(text: Column, pattern: str) -> Column:
+    """The text up to the first place where the pattern starts; null if there is none."""
+    return F.when(text.rlike(pattern), F.regexp_extract(text, rf"(?s)^(.*?)(?:{pattern})", 1))
+
+
+def _host(text: Column) -> Column:
+    """Title of the work that a part stands in: what its own authors leave, up to imprint or locator."""
+    rest = F.regexp_replace(text, rf"^(?:[{UP}]{{2,}}(?:,\s*[^.]+)?\.\s*)+", "")
+    title = _bare(F.coalesce(_before(rest, rf"\.\s+(?:{IMPRINT})|,\s+(?:{LOCATOR})|\.\s*$"), rest))
     # an article's title before a short last part: the part is the periodical
-    for mark in ("? ", ". "):
-        part = title.rsplit(mark, 1)[-1].strip() if mark in title else ""
-        if part and len(part) < 30:
-            title = part
-            break
-    return [found.group().strip(), title] if title else []
-
-
-def _online(text: str) -> list[str] | None:
-    if ONLINE not in text:
-        return None
-    before = text[: text.index(ONLINE)].rstrip()
-    bare = before.rstrip(".?! ")
-    place = PUBLISHED_ONLINE.search(bare)
-    title = _title_in(bare[: place.start()] if place else bare)
-    mark = before[-1:]
-    return [title + mark if mark and mark in "?!" and not title.endswith(mark) else title] if title or mark in ("?", "!") else []
-
-
-def _periodical(text: str) -> list[str] | None:
-    if PUBLISHED.search(text):
-        return None
-    names = []
-    for m in re.finditer(r"[.?!]\s+", text):
-        name, comma, rest = text[m.end() :].partition(",")
-        # the comma must not come first
-        if comma and name and name.strip()[:1].isupper() and len(name.strip()) <= 50 and ISSUE_OF.search(rest):
-            names.append(name.strip())
-    return names[-1:] or None
-
-
-def _book(text: str) -> list[str] | None:
-    place = PUBLISHED_BOOK.search(text)
-    if not place:
-        return None
-    mark = text[place.start()]
-    before = text[: place.start()] + (mark if mark in "!?" else "")
-    title = _title_in(before)
-    if title.find(";") > 0:
-        title = title.partition(";")[0].strip()
-    title = re.split(r"\.\s+[Ii]lustra", title, maxsplit=1)[0].strip() if re.search(r"\.\s+[Ii]lustra", title) else title
-    if authors_end(before) == 0 and ". " in title:
-        title = title.rsplit(". ", 1)[-1]
-    return [title]
-
-
-KINDS = (_unpublished, _within, _online, _periodical, _book)
-
-
-def format_citation(text: str | None) -> str | None:
-    """HTML of a citation; null stays null."""
-    if text is None:
-        return None
-    bare = text.strip()
-    safe = html.escape(bare)
-    if len(bare) < 15 or bare.lower() in LITERALS:
-        return safe
-    pieces = next((found for kind in KINDS if (found := kind(bare)) is not None), [])
-    for piece in filter(None, pieces):
-        safe = safe.replace(html.escape(piece), f"<em>{html.escape(piece)}</em>", 1)
-    return safe
+    last = lambda mark: F.trim(F.substring_index(title, mark, -1))
+    short = lambda mark: F.contains(title, F.lit(mark)) & F.length(last(mark)).between(1, LONGEST_LAST_PART - 1)
+    return F.when(short("? "), last("? ")).when(short(". "), last(". ")).otherwise(title)
+
+
+def _online(text: Column) -> Column:
+    before = F.rtrim(F.substring_index(text, ONLINE, 1))
+    bare = F.regexp_replace(before, r"[.?! ]+$", "")
+    title, mark = title_of(F.coalesce(_before(bare, rf"[.,;!?]\s*{NAME}\s*:\s*[{UP}]"), bare)), F.regexp_extract(before, r"[?!]$", 0)
+    return F.when(F.endswith(title, mark), title).otherwise(F.concat(title, mark))
+
+
+def _periodical(text: Column) -> Column:
+    """The last sentence start up to a comma that issue data follow, in a citation without a publisher."""
+    parts = F.split(text, r"(?<=[.?!])\s+")
+    rest = F.transform(parts, lambda p, i: F.when((i > 0) & F.contains(F.array_join(F.slice(parts, i + 1, F.size(parts)), " "), F.lit(",")), F.array_join(F.slice(parts, i + 1, F.size(parts)), " ")))
+    named = F.transform(rest, lambda r: F.struct(F.trim(F.substring_index(r, ",", 1)).alias("name"), F.regexp_replace(r, "^[^,]*,", "").alias("issue")))
+    fits = lambda x: x["name"].rlike(rf"^\p{{Lu}}.{{0,{LONGEST_PERIODICAL - 1}}}$") & x["issue"].rlike(ISSUE)
+    return F.when(~text.rlike(rf"{NAME}\s*:\s*[{UP}]"), F.try_element_at(F.filter(named, fits), F.lit(-1))["name"])
+
+
+def _book(text: Column) -> Column:
+    place = rf"[.,;!?]\s*(?:\d+\.\s*ed\.\s+)?{CITY_OF}\s*:\s*[{UP}]"
+    head = _before(text, place)
+    # a question or exclamation mark belongs to the title
+    head = F.concat(head, F.regexp_replace(F.substring(F.regexp_extract(text, place, 0), 1, 1), "[^!?]", ""))
+    title = F.regexp_replace(F.trim(F.regexp_replace(title_of(head), r"(?<=.);.*$", "")), r"\.\s+[Ii]lustra.*$", "")
+    return F.when(title_segment(segments(head)) == 1, F.substring_index(title, ". ", -1)).otherwise(title)
+
+
+def emphasised(html: Column, piece: Column) -> Column:
+    """The text with the first occurrence of a piece emphasised; null and empty pieces change nothing."""
+    safe = escape_html(piece)
+    at = F.instr(html, safe)
+    marked = F.concat(F.substring(html, F.lit(1), at - 1), F.lit("<em>"), safe, F.lit("</em>"), F.substring(html, at + F.length(safe), F.length(html)))
+    return F.when((F.length(safe) > 0) & (at > 0), marked).otherwise(html)
 
 
 def citation_html(text: Column) -> Column:
-    """format_citation of a column, in Arrow batches."""
-    return F.pandas_udf(lambda texts: texts.map(format_citation), "string", functionType=PandasUDFType.SCALAR)(text)
+    """HTML of a citation; null stays null. The first kind of work that claims a citation names what to emphasise."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    html = escape_html(bare)
+    within = rf"\.\s*{WITHIN}\s*"
+    host = emphasised(emphasised(html, F.trim(F.regexp_extract(bare, within, 0))), _host(F.regexp_replace(bare, rf"(?s)^.*?{within}", "")))
+    unpublished = rf"\.\s*{UNPUBLISHED}"
+    out = F.when((F.length(bare) < SHORTEST) | F.lower(bare).isin(*LITERALS), html)
+    out = out.when(bare.rlike(unpublished), emphasised(html, title_of(_before(bare, unpublished))))
+    out = out.when(bare.rlike(within), host)
+    out = out.when(F.contains(bare, F.lit(ONLINE)), emphasised(html, _online(bare)))
+    return out.otherwise(emphasised(html, F.coalesce(_periodical(bare), _book(bare))))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity, text
-from tessera.functions.citation import authors_end, format_citation
+from tessera.functions.citation import citation_html, title_of
 from tessera.operators import align
 
 
@@ -63,12 +63,25 @@ def test_scores(spark):
     ("REIS, Ana. Por que chove? Folhinha, São Paulo, p. 3, 2 maio 1999.", "REIS, Ana. Por que chove? <em>Folhinha</em>, São Paulo, p. 3, 2 maio 1999."),
     ("COSTA, A. B. Mar. Disponível em: http://x.org.", "COSTA, A. B. <em>Mar</em>. Disponível em: http://x.org."),
     ("DIAS, Eva. Sol. In: MELO, Rui. Poemas do dia. 2. ed. Recife: Norte, 1990.", "DIAS, Eva. Sol<em>. In:</em> MELO, Rui. <em>Poemas do dia</em>. 2. ed. Recife: Norte, 1990."),
+    ("6 IDEIAS sobre o mar. Disponível em: http://x.org.", "<em>6 IDEIAS sobre o mar</em>. Disponível em: http://x.org."),
+    ("TELES, Rita. Por que venta? Disponível em: http://x.org.", "TELES, Rita. <em>Por que venta?</em> Disponível em: http://x.org."),
+    ("BRASIL. Ministério da Cultura. Cantigas. Brasília: MEC/X, 2020. Disponível em: http://x.org.", "BRASIL. Ministério da Cultura. <em>Cantigas</em>. Brasília: MEC/X, 2020. Disponível em: http://x.org."),
+    ("PAZ, Gil. Nuvem. In: QUE DIA é hoje? Gazeta, p. 7., 26 abr. 2014", "PAZ, Gil. Nuvem<em>. In:</em> QUE DIA é hoje? <em>Gazeta</em>, p. 7., 26 abr. 2014"),
+    ("VAMOS correr. Agenda 2022. São Paulo: Sol; Lua, 2022.", "VAMOS correr. <em>Agenda 2022</em>. São Paulo: Sol; Lua, 2022."),
+    ("VIDAL, Rui M. O livro do menino; ilustrações Eva Sá; 1.ª ed. São Paulo: Sol, 2019. p. 12.", "VIDAL, Rui M. <em>O livro do menino</em>; ilustrações Eva Sá; 1.ª ed. São Paulo: Sol, 2019. p. 12."),
+    ("LEAL, Ana M.; DIAS, Neide. Jogos de rua. Ilustrações Ivo. São Paulo: Sol, 2009, p. 17.", "LEAL, Ana M.; DIAS, Neide. <em>Jogos de rua</em>. Ilustrações Ivo. São Paulo: Sol, 2009, p. 17."),
+    ("GOMES, Caio. O que é? Adivinhe já! São Paulo: Sol, 1996. p. 13.", "GOMES, Caio. <em>O que é? Adivinhe já!</em> São Paulo: Sol, 1996. p. 13."),
+    ("PRADO, Eva D. de; PRADO, Luiz G. de; LUZ, Bia. Povos: 500 anos. 6. ed. Rio de Janeiro: Sol, 1982.", "PRADO, Eva D. de; PRADO, Luiz G. de; LUZ, Bia. <em>Povos: 500 anos</em>. 6. ed. Rio de Janeiro: Sol, 1982."),
+    ("COSTA, Lia R. da. O papagaio. Folha do Sul, Recife, 2 nov. 2002. Folhinha, Mitos, p. F6.", "COSTA, Lia R. da. O papagaio. <em>Folha do Sul</em>, Recife, 2 nov. 2002. Folhinha, Mitos, p. F6."),
     ("CONHEÇA bichos raros. Ciência, Rio de Janeiro, n. 4, 2001.", "CONHEÇA bichos raros. <em>Ciência</em>, Rio de Janeiro, n. 4, 2001."),
 ])
-def test_citations(raw, shown):
-    assert format_citation(raw) == shown
+def test_citations(spark, raw, shown):
+    assert one(spark, citation_html(F.col("t")), t=raw) == shown
 
 
-@pytest.mark.parametrize("raw, end", [("PAPO de gato. X", 0), ("SILVA, J. A. Título longo", 0 + len("SILVA, J. A. ")), ("BRASIL. Ministério. Guia", len("BRASIL. Ministério. ")), ("sem ponto", 0)])
-def test_authors_end(raw, end):
-    assert authors_end(raw) == end
+@pytest.mark.parametrize("raw, title", [
+    ("PAPO de gato. X", "PAPO de gato. X"), ("SILVA, J. A. Título longo", "Título longo"), ("BRASIL. Ministério. Guia", "Guia"), ("sem ponto", "sem ponto"),
+    ("LIMA, Ana A.; REIS, Eva S. de. Cantos", "Cantos"), ("NUNES. RAMOS, Eva. Ondas", "Ondas"), ("MATOS. 10 contos. Fim", "10 contos. Fim"), ("", ""),
+])
+def test_titles_of_citations(spark, raw, title):
+    assert one(spark, title_of(F.col("t")), t=raw) == title
