@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, with_total, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -16,22 +16,22 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
     """(node, root) of every node that has an edge (a, b) to another; root is the least node of its component.
 
-    Each round is written to shared storage, so a lost executor costs no earlier round. No node's neighbours are gathered: a
-    round takes their least by aggregation and joins it to the edges.
+    Each round is written to shared storage, so a lost executor costs no earlier round. No node's neighbours
+    are gathered: a round takes their least by aggregation, part by part of a hub's edges (see with_total).
     """
     ordered = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    least = lambda e: with_total(e, "a", "b", F.min("b"), F.min, "m")
     edges = written(ordered(edges), "edges")
     mark = _mark(edges)
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        # large star: greater neighbours go to the least of the neighbourhood
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
-        large = ordered(large.unionByName(edges.join(least.withColumnRenamed("a", "n"), edges.b == F.col("n")).where("m > b").select("a", "b")))
+        # large star: greater neighbours go to the least of the neighbourhood, or to the node itself
+        large = ordered(least(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")))
         # small star: a node and its smaller neighbours go to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = written(ordered(small), "edges")
+        small = least(large).select("a", "b", "m")
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
+        done, edges = edges, written(ordered(small), "edges")
+        discard(done)
         now = _mark(edges)
         if now == mark:
             break

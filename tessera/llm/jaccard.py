@@ -3,16 +3,18 @@
 Texts with equal sets of n-grams become one node. Nodes whose MinHash values agree on a band are
 compared value by value: after each batch a pair is dropped as soon as the posterior probability
 that its similarity reaches the threshold (uniform prior, so a binomial tail) is below TOLERANCE. What
-remains is joined into clusters, and every pair within a cluster whose sizes allow it is verified
-on the whole sets. Nothing is emitted for a pair: a bucket gives a spanning forest, verification gives each node
-its count of links and a root.
+remains is joined into clusters. Within a cluster the pairs whose sizes allow a link are compared and dropped in the
+same way, and all that survive are verified on the whole sets. Nothing is emitted for a pair: a bucket
+gives a spanning forest, verification gives each node its count of links and a root.
 
 A bucket or cluster larger than a part is dealt into parts, and each two parts meet in a task of
-their own, so no task holds a group of any size and no link is lost.
+their own, so no task holds a group of any size and no link is lost. Joins on a band, a cluster or a node
+deal hot keys first (see spread_join).
 
 A text of fewer than n words has one n-gram, all of its words; a text without words has none and
-is linked to texts of the same bytes only. Null is the empty text. Repeated rows are copies. Extra columns are left
-out. Nodes are told apart by 64-bit fingerprints of their sets.
+is linked to texts of the same bytes only. Null is the empty text. Repeated rows are copies; a similarity
+of exactly the threshold is a link. Extra columns are left out. A long text is hashed step by step, so
+beside it memory holds some tens of bytes for each of its words. Nodes are told apart by 64-bit fingerprints of their sets.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import mix64, slices, text_bytes, word_hashes, written
+from .common import discard, mix64, slices, spread_join, text_bytes, with_total, word_hashes, written
 from .components import components
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -89,7 +91,16 @@ def sketches(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     bands = np.zeros((len(texts), BANDS), np.uint64)
     for r in range(ROWS):
         bands = mix64(bands * np.uint64(0x9E3779B97F4A7C15) + values[:, r::ROWS].astype(np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64))
-    return node, sizes, bands, (values[:, :COMPARED] >> np.uint32(16)).astype(np.uint8)
+    return node, sizes, bands, low_bytes(values[:, :COMPARED])
+
+
+def low_bytes(values: np.ndarray) -> np.ndarray:
+    """A mixed byte of each MinHash value: minima of large sets are small numbers, so their own high bits would tell nothing apart."""
+    x = values ^ (values >> np.uint32(16))
+    x = x * np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x = x * np.uint32(0xC2B2AE35)
+    return (x >> np.uint32(24)).astype(np.uint8)
 
 
 class Forest:
@@ -113,20 +124,34 @@ class Forest:
         return np.array([self.root(x) for x in range(len(self.up))], np.int64)
 
 
+def surviving(values: np.ndarray, i: int, others: np.ndarray, fewest: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(those of others that no batch of values drops as partners of i, their matches)."""
+    matches = np.zeros(len(others), np.int64)
+    for n in range(BATCH, COMPARED + 1, BATCH):
+        if not len(others):
+            break
+        matches += (values[others, n - BATCH : n] == values[i, n - BATCH : n]).sum(1)
+        kept = matches >= fewest[n]
+        others, matches = others[kept], matches[kept]
+    return others, matches
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All places of runs that hold one place at least, in order."""
+    out = np.ones(int(counts.sum()), np.int64)
+    ends = np.cumsum(counts)
+    out[0] = starts[0]
+    out[ends[:-1]] = starts[1:] - (starts[:-1] + counts[:-1] - 1)
+    return np.cumsum(out)
+
+
 def matched_roots(values: np.ndarray, left: np.ndarray, right: np.ndarray, fewest: dict[int, int]) -> np.ndarray:
     """Roots of the forest that pairs (one of left, one of right) make which no batch drops."""
     forest = Forest(len(values))
     for i in left:
         # the pairs of two halves that are one are looked at once
         others = right[right > i] if left is right else right
-        matches = np.zeros(len(others), np.int64)
-        for n in range(BATCH, COMPARED + 1, BATCH):
-            matches += (values[others, n - BATCH : n] == values[i, n - BATCH : n]).sum(1)
-            kept = matches >= fewest[n]
-            others, matches = others[kept], matches[kept]
-            if not len(others):
-                break
-        forest.join(int(i), others)
+        forest.join(int(i), surviving(values, i, others, fewest)[0])
     return forest.roots()
 
 
@@ -170,8 +195,8 @@ def _linked(df: DataFrame, key: str, text: str, words: int, threshold: float, to
 
     # buckets of two nodes or more
     banded = nodes.where("n > 0").select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    entries = banded.join(shared, "band").join(nodes.select("node", "compared"), "node")
+    shared = with_total(banded, "band", "node", F.count("*"), F.sum, "members").where("members > 1")
+    entries = shared.join(nodes.select("node", "compared"), "node")
     parts = F.ceil(F.col("members") / BUCKET_PART)
     entries = dealt(entries.select("band", "node", "compared", "members"), "band", parts, F.xxhash64("node"))
 
@@ -190,9 +215,8 @@ def _linked(df: DataFrame, key: str, text: str, words: int, threshold: float, to
     clusters = written(components(alike.distinct()), "jaccard-clusters")
 
     # the sets of clustered nodes, one text for each node
-    members = clusters.join(nodes.select("node", "key", "n", "copies"), "node")
-    sums = members.groupBy("root").agg(F.sum("n").alias("total"))
-    members = written(members.join(sums, "root"), "jaccard-members")
+    members = clusters.join(nodes.select("node", "key", "n", "copies", "compared"), "node")
+    members = written(with_total(members, "root", "node", F.sum("n"), F.sum, "total"), "jaccard-members")
 
     def sets(batches):
         for b in batches:
@@ -205,16 +229,17 @@ def _linked(df: DataFrame, key: str, text: str, words: int, threshold: float, to
 
     wanted = docs.join(members.select(F.col("key").alias("k")).distinct(), F.col("key").eqNullSafe(F.col("k")), "left_semi")
     full = wanted.select("key", "text").mapInArrow(sets, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
-    full = members.select("root", "node", "copies", "total").join(full, "node")
+    full = members.select("root", "node", "copies", "total", "compared").join(full, "node")
     full = dealt(full, "root", F.ceil(F.col("total") / CLUSTER_PART), F.xxhash64("node"))
 
     def verify(group):
         own, node, copies = np.array(group["own"]), np.array(group["node"]), np.array(group["copies"])
         grams = [np.frombuffer(x, np.uint64) for x in group["grams"].to_pylist()]
+        values = np.frombuffer(b"".join(group["compared"].to_pylist()), np.uint8).reshape(-1, COMPARED)
         low, high = group["low"][0].as_py(), group["high"][0].as_py()
         sizes = np.array([len(g) for g in grams])
         order = np.argsort(sizes, kind="stable")
-        sizes, grams, own, node, copies = sizes[order], [grams[k] for k in order], own[order], node[order], copies[order]
+        sizes, grams, own, node, copies, values = sizes[order], [grams[k] for k in order], own[order], node[order], copies[order], values[order]
         _, ids = np.unique(np.concatenate(grams), return_inverse=True)
         ends = np.cumsum(sizes)
         starts = ends - sizes
@@ -225,14 +250,16 @@ def _linked(df: DataFrame, key: str, text: str, words: int, threshold: float, to
             stop = int(np.searchsorted(sizes, np.floor(sizes[i] / threshold + 1e-9), "right"))
             if stop <= i + 1:
                 continue
+            at = np.arange(i + 1, stop)
+            # of two parts only pairs across them; pairs inside a part meet where it is alone
+            at = surviving(values, i, at[own[at] != own[i]] if low != high else at, fewest)[0]
+            if not len(at):
+                continue
             mine = ids[starts[i] : ends[i]]
             flag[mine] = 1
-            common = np.add.reduceat(flag[ids[starts[i + 1] : ends[stop - 1]]], starts[i + 1 : stop] - starts[i + 1])
+            common = np.add.reduceat(flag[ids[spread(starts[at], sizes[at])]], np.cumsum(sizes[at]) - sizes[at])
             flag[mine] = 0
-            good = common / (sizes[i] + sizes[i + 1 : stop] - common) >= threshold
-            # of two parts only pairs across them; pairs inside a part meet where it is alone
-            good &= (own[i + 1 : stop] != own[i]) if low != high else True
-            at = i + 1 + np.flatnonzero(good)
+            at = at[common / (sizes[i] + sizes[at] - common) >= threshold]
             links[i] += copies[at].sum()
             texts[i] += len(at)
             links[at] += copies[i]
@@ -245,9 +272,11 @@ def _linked(df: DataFrame, key: str, text: str, words: int, threshold: float, to
     classes = components(verified.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     counts = verified.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     told = nodes.select("node", "key", "copies").join(classes, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = told.groupBy("root").agg(F.min("key").alias("class_id"))
-    told = told.join(least, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_linked_texts"))
-    return sketched.select("key", "node", "spare").join(told, "node").select(F.col("key").alias(key), "class_id", "n_links", "n_linked_texts", "spare")
+    told = with_total(told, "root", "node", F.min("key"), F.min, "class_id")
+    told = told.select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_linked_texts"))
+    # copies of one node are dealt by their keys
+    rows = sketched.select("key", "node", "spare", F.coalesce(F.col("key").cast("string"), "spare").alias("_item"))
+    return spread_join(rows, told, "node", "_item").select(F.col("key").alias(key), "class_id", "n_links", "n_linked_texts", "spare")
 
 
 def first_of_classes(df: DataFrame, key: str, text: str, words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -256,8 +285,12 @@ def first_of_classes(df: DataFrame, key: str, text: str, words: int = WORDS, thr
     Rows with a null key go if their class has another key; otherwise one of each text stays.
     """
     links = _linked(df, key, text, words, threshold, tolerance)
-    kept = links.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.struct(F.col(key).alias("key"), "spare").alias("__kept")).distinct()
+    kept = links.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy(F.struct(F.col(key).alias("key"), "spare").alias("__kept")).agg(F.count("*").alias("__times"))
     spare = F.when(F.col(key).isNull(), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    stay = df.join(kept, F.col(key).eqNullSafe(F.col("__kept.key")) & spare.eqNullSafe(F.col("__kept.spare")), "left_semi")
-    same = W.Window.partitionBy(key, text).orderBy(key, *(f.name for f in df.schema if f.name not in (key, text) and f.dataType.simpleString().split("<")[0] not in ("map", "variant")))
-    return stay.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__copy")
+    rows = df.select(F.struct(*df.columns).alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__text"), spare.alias("__spare"))
+    rows = rows.join(kept, F.col("__key").eqNullSafe(F.col("__kept.key")) & F.col("__spare").eqNullSafe(F.col("__kept.spare")))
+    # only rows whose key stands in several are looked at together
+    others = [F.col(f"__row.{f.name}") for f in df.schema if f.name not in (key, text) and f.dataType.simpleString().split("<")[0] not in ("map", "variant")]
+    same = W.Window.partitionBy("__key", "__text").orderBy("__key", *others)
+    repeated = rows.where("__times > 1").withColumn("__copy", F.row_number().over(same)).where("__copy = 1")
+    return rows.where("__times = 1").select("__row.*").unionByName(repeated.select("__row.*"))
