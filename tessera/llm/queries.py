@@ -11,7 +11,8 @@ from .common import table, written
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return telephony.read_telephony(telephony.store_telephony(docs, "doc_id", "text"), "doc_id")
+    stored = telephony.expand_media(telephony.store_telephony(docs, "doc_id", "text"), "doc_id")
+    return telephony.media_features(stored, "doc_id")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

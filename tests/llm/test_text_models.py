@@ -53,12 +53,69 @@ def test_codecs():
         wide[::up] = x
         slow = np.convolve(wide, h)[len(h) // 2 :][::down][: len(y)]
         assert len(y) == -(-400 * up // down) and np.abs(np.clip(np.rint(slow), -32768, 32767) - y).max() <= 1
-    assert telephony.parse_wav(telephony.wav(b"abc", 7, 8000)) == (7, 8000, b"abc")
+    assert telephony.parse_wav(telephony.wav(b"abc", 7, 8000)) == (7, 1, 8000, 1, b"abc")
+
+
+def slow_resample(x, up, down):
+    h = telephony.lowpass(up, down)
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x
+    return np.convolve(wide, h)[len(h) // 2 :][::down][: -(-len(x) * up // down)]
+
+
+@pytest.mark.parametrize("up, down, n", [(2, 1, 5000), (320, 441, 900), (3, 2, 1), (16000, 11025, 700), (1, 3, 4000), (2, 1, 0)])
+def test_resampling_in_pieces(monkeypatch, up, down, n):
+    monkeypatch.setattr(telephony, "PIECE", 700)
+    x = np.random.default_rng(3).integers(-9000, 9000, n).astype(np.int16)
+    y = telephony.resample(x, up, down)
+    g = np.gcd(up, down)
+    want = slow_resample(x, up // g, down // g) if n else np.empty(0)
+    assert len(y) == len(want) and (not n or np.abs(want - y).max() <= 0.51)
+
+
+def slow_feature(payload):
+    """The feature of a stored mu-law payload, sample by sample."""
+    def levels(name, x):
+        return f"{name}_n={len(x)} {name}_sum={sum(x)} {name}_energy={sum(v * v for v in x)} {name}_flips={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))} {name}_peak={max(map(abs, x))}"
+
+    mu, a = ([int(v) for v in telephony.TABLES[tag][np.frombuffer(payload, np.uint8)]] for tag in (7, 6))
+    loud = [abs(v) for k in range(0, len(payload), 192) for v in slow_adpcm(payload[k : k + 192])]
+    pcm = [int(v) for v in np.clip(np.rint(slow_resample(np.array(mu), 2, 1)), -32768, 32767)]
+    return f"tag=7 rate=8000 {levels('mu', mu)} {levels('a', a)} adpcm_abs={sum(loud)} adpcm_peak={max(loud)} {levels('pcm', pcm)}"
+
+
+def test_media_files_of_all_formats(spark, monkeypatch):
+    monkeypatch.setattr(telephony, "PIECE", 500)
+    raw = [bytes(np.random.default_rng(k).integers(0, 256, n, dtype=np.uint8)) for k, n in enumerate((0, 1, 191, 192, 193, 3000))]
+    rows = [(k, x, "a", "b") for k, x in enumerate(raw)] + [(9, None, "a", "b"), (5, raw[5], "c", "d")]
+    df = spark.createDataFrame(rows, "k int, samples binary, pcm string, n_bytes string")
+    for tag in (6, 7, 17):
+        stored = telephony.store_telephony(df, "k", "samples", tag)
+        got = telephony.expand_media(stored, "k").collect()
+        for r in got:
+            data = telephony.padded(bytes(rows[[x[0] for x in rows].index(r.k)][1] or b""))
+            assert telephony.parse_wav(r.media)[0] == tag and telephony.parse_wav(r.media)[4] == data and r.problem is None
+            if tag == 17:
+                x = [v for k in range(0, len(data), 192) for v in slow_adpcm(data[k : k + 192])]
+            else:
+                x = telephony.TABLES[tag][np.frombuffer(data, np.uint8)].tolist()
+            y = telephony.samples_of(r.pcm)
+            assert y[:2] == (1, 16000) and np.abs(np.clip(slow_resample(np.array(x), 2, 1), -32768, 32767) - y[2]).max() <= 0.51
+    # its own result, 8-bit PCM, odd rates, a cut block, stereo, noise and null are read or named
+    odd = [telephony.wav(bytes(100), 1, 11025), telephony.wav(bytes(90), 1, 44100, 16), telephony.wav(bytes(500), 17, 8000, block=256), telephony.wav(bytes(8), 2, 8000), b"RIFF", None]
+    odd.append(odd[0][:22] + b"\x02" + odd[0][23:])
+    table = spark.createDataFrame([(k, x, 5) for k, x in enumerate(odd)], "k int, media binary, n_bytes long")
+    got = {r.k: r for r in telephony.expand_media(table, "k").collect()}
+    assert [got[k].pcm is not None for k in range(7)] == [True, True, True, False, False, False, False]
+    assert [got[k].problem is None for k in range(7)] == [True, True, True, False, False, True, False]
+    assert len(telephony.samples_of(got[2].pcm)[2]) == 2 * (505 + (244 - 4) * 2 + 1)
+    read = {r.k: r for r in telephony.media_features(telephony.expand_media(table.where("k < 3 or k = 5"), "k"), "k").collect()}
+    assert read[0].payload_bytes == 100 and read[5].media_sha256 is None and read[5].feature is None and read[1].pcm_bytes == 44 + 14 + 2 * 17 * 2 - 2 * 17 * 2 + len(telephony.samples_of(got[1].pcm)[2]) * 2
 
 
 def test_telephony(spark, odd):
     stored = telephony.store_telephony(odd, "doc_id", "text")
-    got = telephony.read_telephony(stored, "doc_id").collect()
+    got = telephony.media_features(telephony.expand_media(stored, "doc_id"), "doc_id").collect()
     want = collections.Counter()
     for i, t in ODD:
         raw = (t or "").encode()
@@ -66,9 +123,11 @@ def test_telephony(spark, odd):
         want[i, len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:])] += 1
     assert collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
     assert {hashlib.sha256(r.media).hexdigest() for r in stored.collect()} == {r.media_sha256 for r in got}
-    pcm = telephony.resampled_pcm(stored.where("doc_id = 1"), "doc_id").first().pcm
-    assert telephony.parse_wav(pcm)[:2] == (1, 16000) and len(telephony.parse_wav(pcm)[2]) == 192 * 2 * 2
-    assert telephony.read_telephony(telephony.store_telephony(odd.limit(0), "doc_id", "text"), "doc_id").count() == 0
+    for r in got:
+        pay = telephony.padded((dict(ODD[::-1])[r.doc_id] or "").encode())
+        assert r.feature.startswith(slow_feature(pay) + " pcm_crc=") and r.pcm_bytes > 4 * len(pay)
+    none = odd.limit(0)
+    assert telephony.media_features(telephony.expand_media(telephony.store_telephony(none, "doc_id", "text"), "doc_id"), "doc_id").count() == 0
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
