@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import sizes_of, slices, text_bytes
 
 RATE, PCM_RATE = 8000, 16000
 #: Bytes of an ADPCM block, to which payloads are padded.
@@ -180,10 +179,6 @@ def samples_of(media: bytes) -> tuple[int, int, np.ndarray]:
     raise ValueError(f"format {tag} of {block} bytes")
 
 
-def sizes_of(column: pa.Array) -> list[int]:
-    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
-
-
 def padded(data: bytes, block: int = BLOCK) -> bytes:
     return data.ljust(max(1, -(-len(data) // block)) * block, bytes([PAD]))
 

@@ -269,9 +269,10 @@ def test_bpe_cuts(tokenizer):
     for size in (0, 1, 40, 900, 4000):
         for alphabet in ("ab c", " \n", "a", "é日 's1!\t", "it's don't 12 \n\n  x"):
             text = "".join(r.choices(alphabet, k=size))
-            at = codec.cuts(text, 64, 16)
-            assert at[0] == 0 and at[-1] == len(text) and (size < 900 or alphabet in ("a", " \n") or len(at) > 3)
-            ids = [i for a, b in zip(at, at[1:], strict=False) for i in codec.core.encode_ordinary(text[a:b])]
+            parts = list(codec.pre_tokens(text, 64, 16))
+            assert size < 900 or alphabet in ("a", " \n") or len(parts) > 3
+            assert [t for p in parts for t in p] == codec.pattern.findall(text)
+            ids = codec.encode(text)
             assert ids == want.encode_ordinary(text) and codec.decode(ids) == text.encode()
 
 
@@ -283,17 +284,16 @@ def test_bpe_cuts_after_white_space(tokenizer):
     for gap in (" \u00a0", "\u00a0\u00a0", " \u2003", "\n\n", "\t\t", " \n\t", "\u3000 \u00a0"):
         for _ in range(20):
             text = "".join(gap + "".join(r.choices("abé日", k=r.randint(1, 6))) for _ in range(400))
-            at = codec.cuts(text, 64, 16)
-            assert len(at) > 3 and not any(text[c - 1].isspace() for c in at[1:-1])
-            ids = [i for a, b in zip(at, at[1:], strict=False) for i in codec.core.encode_ordinary(text[a:b])]
-            assert ids == want.encode_ordinary(text) and codec.decode(ids) == text.encode()
-    text = " \u00a0word" * 6000
-    assert len(text) > bpe.CHUNK and codec.encode(text) == want.encode_ordinary(text)
+            parts = list(codec.pre_tokens(text, 64, 16))
+            assert len(parts) > 3 and not any(p[-1].isspace() for p in parts[:-1])
+            assert [t for p in parts for t in p] == codec.pattern.findall(text)
+    for text in (" \u00a0word" * 6000, "x" * 50_000 + " y" * 9000 + " " * 40_000, "ab1 " * 100_000):
+        assert len(text) > bpe.CHUNK and codec.encode(text) == want.encode_ordinary(text)
 
 
 def test_bpe(spark, odd, tokenizer):
     path, pattern, want = tokenizer
-    got = collections.Counter(tuple(r) for r in bpe.bpe_digests(odd, "doc_id", "text", path, pattern).collect())
+    got = collections.Counter(tuple(r) for r in bpe.encode_bpe(odd, "doc_id", "text", path, pattern).drop("ids").collect())
     expected = collections.Counter()
     for i, t in ODD:
         ids = want.encode_ordinary(t or "")
@@ -301,7 +301,7 @@ def test_bpe(spark, odd, tokenizer):
     assert got == expected
     back = bpe.decode_bpe(bpe.encode_bpe(odd, "doc_id", "text", path, pattern), "doc_id", "ids", path)
     assert sorted(r.data.decode() for r in back.collect()) == sorted(t or "" for _, t in ODD)
-    assert bpe.bpe_digests(odd.limit(0), "doc_id", "text", path, pattern).count() == 0
+    assert bpe.encode_bpe(odd.limit(0), "doc_id", "text", path, pattern).count() == 0
 
 
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=50), st.binary(max_size=3))
