@@ -53,7 +53,7 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents"), "doc_id", "text", secrets.train_forest(spark))
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"), "doc_id", "text", secrets.train_forest(spark), path="source")
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
