@@ -119,6 +119,27 @@ STEP = 1 << 16
 _UP, _DOWN = powers(BASE, STEP + 1), powers(INVERSE, STEP + 1)
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """sums[k] of the first k bytes, each times its power of BASE; string_hashes takes any string's hash from them."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    total, up, mask = 0, 1, (1 << 64) - 1
+    for at in range(0, len(data), STEP):
+        part = data[at : at + STEP]
+        n = len(part)
+        own = sums[at + 1 : at + n + 1]
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _UP[:n], out=own)
+        own *= np.uint64(up)
+        own += np.uint64(total)
+        total, up = int(own[-1]), up * int(_UP[n]) & mask
+    return sums
+
+
+def string_hashes(sums: np.ndarray, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+    """Hashes of strings by their places and lengths, before mixing; equal strings have equal ones wherever they stand."""
+    whole = powers(int(_DOWN[STEP]), len(sums) // STEP + 1)
+    return (sums[at + length] - sums[at]) * _DOWN[at % STEP] * whole[at // STEP]
+
+
 def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of each word of a byte array; words end at 0x20 and 0x09-0x0D."""
     word = np.zeros(len(data) + 2, bool)

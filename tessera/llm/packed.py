@@ -5,7 +5,10 @@ hashes it has to ask about, sorted, and sends each hash bucket one message with
 A bucket's task sees every message for its range of hashes and answers each in the same order, a
 few bits per hash. So a shuffle moves a few bytes for each distinct hash of a block, a frequent
 hash weighs as much as a rare one, and no task holds more than its bucket. Empty messages
-aren't sent: there are never more messages than hashes.
+aren't sent: there are never more messages than hashes, so at any size the work is in proportion to the
+distinct hashes of blocks.
+
+Keys may be of any type that Spark sorts. Blocks of one key column's whole numbers carry these as ranks; other keys get ranks by one sort of the keys.
 """
 
 from __future__ import annotations
@@ -19,16 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import sizes_of, slices, text_bytes, written
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text for each bucket of hashes.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 #: Bytes of text for each stored bucket of blocks, which one task reads.
 STORED_BYTES = 64 << 20
-LAST = np.iinfo(np.int64).max
-BLOCK_SCHEMA = "block long, ids binary, known binary, lengths binary, data binary"
+#: The rank of null keys, after all others.
+LAST = 2**64 - 1
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def pack(values: np.ndarray, ascending: bool = False) -> bytes:
@@ -65,41 +69,55 @@ def unpack_bits(data: bytes) -> np.ndarray:
 
 
 class Block:
-    """The documents of a block in key order (null keys last), their bytes end to end."""
+    """The documents of a block in order of rank, their bytes end to end."""
 
-    def __init__(self, ids: bytes, known: bytes, lengths: bytes, data: bytes):
-        self.ids, self.known, self.lengths = np.frombuffer(ids, np.int64), np.frombuffer(known, np.bool_), np.frombuffer(lengths, np.int64)
-        self.data = np.frombuffer(data, np.uint8)
+    def __init__(self, row: dict):
+        self.keys, self.ranks, self.lengths = row["keys"], np.frombuffer(row["ranks"], np.uint64), np.frombuffer(row["lengths"], np.int64)
+        self.data = np.frombuffer(row["data"], np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def keys(self) -> pa.Array:
-        return pa.array(self.ids, pa.int64(), mask=~self.known)
 
-    def order(self) -> np.ndarray:
-        """Ranks of the documents in the whole corpus: their keys from 0 up, null last."""
-        return np.where(self.known, self.ids.astype(np.uint64) ^ np.uint64(1 << 63), np.uint64(2**64 - 1))
+def rows_of(batches) -> Iterator[dict]:
+    for b in batches:
+        for k in range(b.num_rows):
+            row = {n: b.column(i)[k] for i, n in enumerate(b.schema.names)}
+            yield {n: v.values if n == "keys" else v.as_py() for n, v in row.items()}
+
 
-    def documents(self) -> np.ndarray:
-        """The document of each byte."""
-        return np.repeat(np.arange(len(self.ids)), self.lengths)
+def ranked(df: DataFrame, key: str) -> DataFrame:
+    """df with __rank, by which rows are ordered as by their keys; null for null keys, and null everywhere if keys are whole numbers."""
+    if df.schema[key].dataType.simpleString() in WHOLE:
+        return df.withColumn("__rank", F.lit(None).cast("long"))
+    keys = df.select(F.col(key).alias("__key")).where("__key IS NOT NULL").distinct().orderBy("__key")
+    ranks = written(keys.withColumn("__rank", F.monotonically_increasing_id()), "key-ranks")
+    return df.join(ranks, df[key] == ranks["__key"], "left").drop("__key")
 
 
-def as_blocks(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of neighbouring rows; key is a whole number. Null texts are empty."""
+def as_blocks(df: DataFrame, key: str, text: str, block_bytes: int | None = None) -> DataFrame:
+    """Blocks of neighbouring rows. Null texts are empty; null keys come last."""
+    kind = df.schema[key].dataType.simpleString()
+    whole, most = kind in WHOLE, block_bytes or BLOCK_BYTES
 
     def run(batches):
         at, part = 0, TaskContext.get().partitionId()
         for b in batches:
-            data, keys = text_bytes(b.column(1)), b.column(0)
-            known = np.array(keys.is_valid())
-            ids = np.array(keys.fill_null(LAST))
-            for i, j in slices([len(x) for x in data], block_bytes):
-                order = i + np.argsort(ids[i:j], kind="stable")
-                row = [part << 32 | at, ids[order].tobytes(), known[order].tobytes(), np.array([len(data[k]) for k in order], np.int64).tobytes(), b"".join(data[k] for k in order)]
+            keys = b.column(0)
+            given = keys if whole else b.column(2)
+            ranks = np.array(given.cast(pa.int64()).fill_null(0)).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+            ranks = np.where(np.array(keys.is_valid()), ranks, np.uint64(LAST))
+            for i, j in slices(sizes_of(b.column(1)), most):
+                data = text_bytes(b.column(1)[i:j])
+                order = np.argsort(ranks[i:j], kind="stable")
+                lengths = np.array([len(data[k]) for k in order], np.int64)
+                own = keys[i:j].take(pa.array(order))
+                row = [
+                    pa.array([part << 32 | at], pa.int64()), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), own), pa.array([ranks[i:j][order].tobytes()], pa.binary()),
+                    pa.array([lengths.tobytes()], pa.binary()), pa.array([b"".join(data[k] for k in order)], pa.binary()),
+                ]
                 at += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["block", "ids", "known", "lengths", "data"])
+                yield pa.RecordBatch.from_arrays(row, ["block", "keys", "ranks", "lengths", "data"])
 
-    return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, BLOCK_SCHEMA)
+    return ranked(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key").mapInArrow(run, f"block long, keys array<{kind}>, ranks binary, lengths binary, data binary")
 
 
 def stored_blocks(blocks: DataFrame, text_size: int) -> DataFrame:
@@ -114,11 +132,11 @@ def stored_blocks(blocks: DataFrame, text_size: int) -> DataFrame:
     return spark.table(name)
 
 
-def drop_stored_blocks(spark) -> None:
-    """Drops the tables that stored_blocks left; what reads them must have run."""
-    for t in spark.catalog.listTables():
-        if t.name.startswith("tessera_blocks_"):
-            spark.sql(f"DROP TABLE {t.name}")
+def drop_stored_blocks(result: DataFrame) -> None:
+    """Drops the tables of blocks that a result is read from; it must have been written or collected."""
+    spark = result.sparkSession
+    for name in {f.partition("tessera_blocks_")[2].partition("/")[0] for f in result.inputFiles() if "tessera_blocks_" in f}:
+        spark.sql(f"DROP TABLE IF EXISTS tessera_blocks_{name}")
 
 
 def bucket_bits(text_size: int) -> int:
@@ -168,7 +186,7 @@ def answered(asked: DataFrame, answer: Callable[[list[np.ndarray], list[bytes |
 def with_notes(blocks: DataFrame, found: DataFrame) -> DataFrame:
     """Blocks with the notes that came for them: array of (bucket, keys, extra)."""
     lists = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "keys", "extra"))).alias("notes"))
-    return blocks.join(lists.hint("shuffle_hash"), "block", "left")
+    return blocks.join(lists, "block", "left")
 
 
 def elsewhere(keys: list[np.ndarray], extra: list[bytes | None], block: np.ndarray) -> list[bytes]:

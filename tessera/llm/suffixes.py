@@ -13,9 +13,10 @@ equal cover string of SEED bytes. Three rounds, each over hash buckets that are
 
 Windows are compared by 64-bit fingerprints, as sorting needs equality only; a wrong match needs a collision of these. Memory is bounded by a block of text and by a bucket of hashes.
 
-Earlier means a smaller key, or the same document and an earlier start; null keys come last; rows with
+Keys may be of any type that Spark sorts. Earlier means a smaller key, or the same document and an earlier start; null keys come last; rows with
 equal keys are ordered as they are stored. Null and empty texts, and texts shorter than a window, keep
-all of their bytes. Long texts are blocks of their own. Extra columns are left out.
+all of their bytes. A long text is a block of its own, and a task holds about 20 bytes for each of its bytes, 40 where
+all of it repeats. Extra columns are left out, whatever their names. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import BASE, INVERSE, mix64, powers, written
+from .common import mix64, prefix_sums, string_hashes, written
 
 WINDOW = 100
 # A difference cover; each remainder modulo PERIOD is the difference of two of COVER.
@@ -43,18 +44,9 @@ CUT = 63
 class Text:
     """Prefix hashes of a block, from which any string's hash follows."""
 
-    #: Powers of the hash's base and of its inverse, kept from block to block.
-    kept: dict[str, np.ndarray] = {}
-
     def __init__(self, block: packed.Block):
         self.block, self.size = block, len(block.data)
-        if len(self.kept.get("up", ())) <= self.size:
-            self.kept.update(up=powers(BASE, self.size + 1), down=powers(INVERSE, self.size + 1))
-        self.sums = np.zeros(self.size + 1, np.uint64)
-        values = block.data.astype(np.uint64)
-        values += np.uint64(1)
-        values *= self.kept["up"][: self.size]
-        np.cumsum(values, out=self.sums[1:])
+        self.sums = prefix_sums(block.data)
         on = np.zeros(PERIOD, bool)
         on[list(COVER)] = True
         pattern = np.resize(on, int(block.lengths.max(initial=0)))
@@ -68,7 +60,7 @@ class Text:
         self.cover = np.flatnonzero(covered)
 
     def hashes(self, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-        h = (self.sums[at + length] - self.sums[at]) * self.kept["down"][at]
+        h = string_hashes(self.sums, at, length)
         return mix64(h if np.isscalar(length) else h ^ (length.astype(np.uint64) << np.uint64(40)))
 
     def candidates(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,16 +102,6 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-def rows_of(batches):
-    for b in batches:
-        for k in range(b.num_rows):
-            yield {n: b.column(i)[k].as_py() for i, n in enumerate(b.schema.names)}
-
-
-def block_of(row: dict) -> packed.Block:
-    return packed.Block(row["ids"], row["known"], row["lengths"], row["data"])
-
-
 def bits_of(row: dict, round_: int) -> np.ndarray:
     """Answers of a round, in the order of the keys that were asked about."""
     parts = [packed.unpack_bits(n["keys"]) for n in row["notes"] or () if n["bucket"] >> ROUND == round_]
@@ -138,8 +120,8 @@ def remove_repeats(df: DataFrame, key: str, text: str) -> DataFrame:
     blocks = packed.stored_blocks(packed.as_blocks(df, key, text), size)
 
     def ask_cover(batches):
-        for row in rows_of(batches):
-            t = Text(block_of(row))
+        for row in packed.rows_of(batches):
+            t = Text(packed.Block(row))
             keys = np.unique(t.hashes(t.cover, SEED))
             if len(keys):
                 short = packed.low(keys, bits, 4)
@@ -147,13 +129,13 @@ def remove_repeats(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def asked(block: int, t: Text, keys: np.ndarray, at: np.ndarray, round_: int) -> list[tuple]:
         """Messages about sorted keys that are first at the places `at`."""
-        ranks = t.block.order()[np.searchsorted(t.block.starts, at, "right") - 1] if len(at) else np.empty(0, np.uint64)
+        ranks = t.block.ranks[np.searchsorted(t.block.starts, at, "right") - 1] if len(at) else np.empty(0, np.uint64)
         short = packed.low(keys, bits)
         return [(round_ << ROUND | b, block, packed.pack(short[s], True), packed.pack(ranks[s])) for b, s in packed.messages(keys, bits)]
 
     def ask_cuts(batches):
-        for row in rows_of(batches):
-            t = Text(block_of(row))
+        for row in packed.rows_of(batches):
+            t = Text(packed.Block(row))
             _, own, counts = np.unique(t.hashes(t.cover, SEED), return_inverse=True, return_counts=True)
             starts, sizes = t.candidates(((counts > 1) | bits_of(row, 0))[own])
             _, at, count = t.cuts(starts, sizes)
@@ -171,16 +153,16 @@ def remove_repeats(df: DataFrame, key: str, text: str) -> DataFrame:
         return spread(starts, sizes), windows, np.repeat(open_, count)
 
     def ask_windows(batches):
-        for row in rows_of(batches):
-            t = Text(block_of(row))
+        for row in packed.rows_of(batches):
+            t = Text(packed.Block(row))
             at, windows, open_ = settled(t, row)
             own, first = first_places(windows[open_])
             if len(own):
                 yield packed.notes(asked(row["block"], t, own, at[open_][first], 2))
 
     def finish(batches):
-        for row in rows_of(batches):
-            t = Text(block_of(row))
+        for row in packed.rows_of(batches):
+            t = Text(packed.Block(row))
             at, windows, open_ = settled(t, row)
             later = np.ones(len(at), bool)
             place = np.flatnonzero(open_)
@@ -191,11 +173,12 @@ def remove_repeats(df: DataFrame, key: str, text: str) -> DataFrame:
             depth[at[later] + WINDOW] -= 1
             yield digests(t.block, np.cumsum(depth[:-1]) > 0)
 
+    kind = df.schema[key].dataType.simpleString()
     cover = packed.answered(blocks.mapInArrow(ask_cover, packed.NOTE), packed.elsewhere, states=False)
     cuts = written(packed.with_notes(blocks, cover).mapInArrow(ask_cuts, packed.NOTE), "repeats-cuts")
     cuts = written(packed.answered(cuts, packed.earlier), "repeats-first-cuts")
     windows = packed.answered(packed.with_notes(blocks, cuts).mapInArrow(ask_windows, packed.NOTE), packed.earlier, states=False)
-    out = packed.with_notes(blocks, cuts.unionByName(windows)).mapInArrow(finish, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = packed.with_notes(blocks, cuts.unionByName(windows)).mapInArrow(finish, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("key", key)
 
 
@@ -207,5 +190,5 @@ def digests(block: packed.Block, gone: np.ndarray) -> pa.RecordBatch:
         removed.append(int(own.sum()))
         spans.append(int(np.count_nonzero(own[1:] & ~own[:-1]) + (n > 0 and own[0])))
         sha.append(hashlib.sha256(block.data[a : a + n][kept[a : a + n]].tobytes()).hexdigest())
-    columns = [block.keys(), pa.array(block.lengths, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
+    columns = [block.keys, pa.array(block.lengths, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
     return pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])

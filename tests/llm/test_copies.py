@@ -123,7 +123,7 @@ def brute_repeats(rows):
 
 @pytest.mark.parametrize("block", [400, 3000, 1 << 22])
 def test_repeats(spark, monkeypatch, block):
-    monkeypatch.setattr(packed.as_blocks, "__defaults__", (block,))
+    monkeypatch.setattr(packed, "BLOCK_BYTES", block)
     r = random.Random(4)
     passage = ["".join(r.choices("abcdé ", k=n)) for n in (99, 100, 101, 160, 400)]
     rows = []
@@ -144,6 +144,16 @@ def test_repeats_edges(spark):
     assert got[1] == 400 > got[0]
 
 
+def test_repeats_with_other_keys(spark):
+    """Keys that aren't whole numbers, in their own order; an extra column with a name used inside; a null in each column."""
+    rows = [("b", "k" * 120 + "m" * 90, 1), ("a10", "k" * 120, None), ("a9", "m" * 130, 2), (None, "k" * 120, 3), ("c", None, 4), ("ç", "k" * 130, 5)]
+    df = spark.createDataFrame(rows, "name string, data string, rank int").repartition(3)
+    order = {k: i for i, (k, _, _) in enumerate(sorted(rows, key=lambda x: (x[0] is None, (x[0] or "").encode())))}
+    want = {k[0]: k[1:] for k in brute_repeats([(order[k], t) for k, t, _ in rows])}
+    got = {x["name"]: tuple(x)[1:] for x in suffixes.remove_repeats(df, "name", "data").collect()}
+    assert {order[k]: v for k, v in got.items()} == want
+
+
 def test_cover():
     assert {(a - b) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.PERIOD))
     assert suffixes.SEED + suffixes.PERIOD - 1 == suffixes.WINDOW

@@ -312,17 +312,53 @@ def test_packing(values, more):
     assert packed.unpack(d + more).tolist() == sorted(values) and packed.packed_size(d) == len(d)
 
 
-def test_lm(spark):
+def slow_scores(rows, out):
+    """Scores of the automaton, by dictionaries of n-grams and one token after the other."""
+    toks = [(i, ["<s>", *re.sub("[A-Z]", lambda m: m.group().lower(), t or "").encode().split(), "</s>"]) for i, t in rows]
+    grams = [collections.Counter(tuple(ws[k - m : k + 1]) for i, ws in toks if not out(i) for k in range(1, len(ws)) if k >= m) for m in range(3)]
+    texts = sum(not out(i) for i, _ in rows)
+    n, v = sum(grams[0].values()), len(grams[0])
+    uni = lambda w: (grams[0][w,] + 1) / (n + v + 1)
+    count = lambda h: texts if h == ("<s>",) else grams[len(h) - 1][h]
+    cells = collections.Counter()
+    place = lambda x: int(np.clip(np.rint(np.log2(x)) + lm.MIDDLE, 1, lm.BINS - 1)) if x > 0 else 0
+    for i, ws in toks:
+        for k in range(1, len(ws)) if not out(i) else ():
+            one, two = count((ws[k - 1],)), count((ws[k - 2], ws[k - 1])) if k > 1 else 0
+            p = grams[0][ws[k],] / (n + v)
+            if one > 1:
+                r2 = place((grams[1][ws[k - 1], ws[k]] - 1) / (one - 1) / p)
+                cells[int(math.log2(one - 1)) * lm.BINS + r2] += 1
+                if two > 1:
+                    r3 = place((grams[2][ws[k - 2], ws[k - 1], ws[k]] - 1) / (two - 1) / p)
+                    cells[64 * lm.BINS + ((int(math.log2(two - 1)) * 64 + int(math.log2(one - 1))) * lm.BINS + r3) * lm.BINS + r2] += 1
+    w = lm.fit_weights(np.array(sorted(cells.items())))
+
+    def prob(h, x):
+        if not h:
+            return uni(x)
+        c = count(h)
+        b = w[len(h) - 1, int(math.log2(c))] if c else 0.0
+        return (b * grams[len(h)][(*h, x)] / c if c else 0.0) + (1 - b) * prob(h[1:], x)
+
+    score = lambda ws: sum(math.log10(prob(tuple(ws[max(0, k - 2) : k]), ws[k])) for k in range(1, len(ws)))
+    base = lambda ws: sum(math.log10(uni(x)) for x in ws[1:])
+    return collections.Counter((i, out(i), len(ws) - 1, sum(grams[0][x,] > 0 for x in ws[1:]), n, round(base(ws), 6), round(score(ws), 6)) for i, ws in toks), w
+
+
+@pytest.mark.parametrize("block, segment, kind", [(1 << 23, 256, "long"), (500, 3, "string")])
+def test_lm(spark, monkeypatch, block, segment, kind):
+    monkeypatch.setattr(packed, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm, "SEGMENT", segment)
     r = random.Random(8)
     rows = [(i, " ".join(r.choices(["the cat", "a DOG", "runs.", "fast", "zebra" + str(i % 50)], k=r.randint(0, 40)))) for i in range(200)] + [(200, None), (201, ""), (201, ""), (None, "the cat")]
-    df = spark.createDataFrame([(i, t, 0.0) for i, t in rows], "doc_id long, text string, score double").repartition(3)
+    if kind == "string":
+        rows = [(None if i is None else f"é{i}", t) for i, t in rows]
+    df = spark.createDataFrame([(i, t, 0.0) for i, t in rows], f"doc_id {kind}, text string, score double").repartition(3)
     got = lm.score_texts(df, "doc_id", "text").collect()
-    toks = [(i, [*re.sub("[A-Z]", lambda m: m.group().lower(), t or "").encode().split(), None]) for i, t in rows]
     out = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
-    c = collections.Counter(w for i, ws in toks if not out(i) for w in ws)
-    n, v = sum(c.values()), len(c)
-    want = collections.Counter((i, out(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in toks)
-    assert collections.Counter((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got) == want
+    want, weights = slow_scores(rows, out)
+    assert collections.Counter((*tuple(x)[:5], round(x.base_score, 6), round(x.score, 6)) for x in got) == want and (weights > 0).sum() > 4
     held = [x for x in got if x.held_out and x.n_tokens > 5]
     assert sum(x.score for x in held) > sum(x.base_score for x in held)
     assert lm.score_texts(df.limit(0), "doc_id", "text").count() == 0
