@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,76 @@ def test_pipeline(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0, name
     assert quality.STATS
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in each column, repeated rows and a very long text, given to each stage itself."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(3)
+    plain = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    long = plain(200_000)
+    secret = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
+    one = plain(80)
+    rows = [
+        (1, one, None, None, None), (2, None, "en", "a", 5), (2, None, "en", "a", 5), (3, "", None, "b", 0), (None, plain(70), "en", "a", 1), (None, plain(70), "en", None, 1),
+        (4, long, "de", "b", 9), (5, f'{plain(60)} token = "{secret}"', None, None, None), (1, one, None, None, None), (6, one, "en", "b", 2),
+    ]
+    sf = str(tmp_path)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    stages, out = dict(corpus_pipeline.STAGES), {}
+    for name, stage in stages.items():
+        out[name] = stage(spark, docs, sf).collect()
+    ids = lambda name: sorted(x.doc_id or 0 for x in out[name])
+    assert ids("quality rules") == [0, 0, 1, 1, 4, 5, 6]
+    # null and empty are the same text, 1 stands for its copies
+    assert ids("n-gram Jaccard join") == [0, 0, 1, 2, 4, 5]
+    assert len(out["secret scans"]) == len(rows) and {x.text is None for x in out["secret scans"] if x.doc_id == 2} == {True} and not any(secret in (x.text or "") for x in out["secret scans"])
+    assert {x.n_chars for x in out["secret scans"] if x.doc_id == 5} == {len(rows[7][1]) - len(secret) + len("[SECRET]")}
+    assert set(ids("source mixing")) == {0, 1, 2, 3, 4, 5, 6} and max(collections.Counter(ids("source mixing")).values()) <= 4
+    text = {x.doc_id: x.text for x in docs.collect()}
+    assert len(out["byte-level BPE"]) == len(rows)
+    for x in out["byte-level BPE"]:
+        want = text[x.doc_id] if x.doc_id else None
+        assert x.n_tokens == len(x.ids) and (not x.doc_id or x.decoded_sha256 == hashlib.sha256((want or "").encode()).hexdigest())
+
+
+def test_mixed_rows_stand_in_order(spark, tmp_path):
+    """The mixing stage writes each block of an epoch whole, in the order of its keys."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(i, f"a b {i}", "en", f"s{i % 3}", 5) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.source_mixing(spark, docs, str(tmp_path)).withColumn("part", F.spark_partition_id()).collect()
+    key = lambda i, e: hashlib.md5(f"17:{e}:{i}".encode()).hexdigest()
+    assert len({x.part for x in rows}) == 1
+    assert [x.doc_id for x in rows] == sorted(range(300), key=lambda i: key(i, 0))
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_recall_of_bands(similarity):
+    """Pairs of sets of an exact similarity share a band and survive the pruning: 0.8 all but one in a thousand at most."""
+    r = random.Random(int(similarity * 100))
+    fewest = {n: jaccard.least_matches(n, jaccard.THRESHOLD, jaccard.TOLERANCE) for n in range(jaccard.BATCH, jaccard.COMPARED + 1, jaccard.BATCH)}
+    found = total = 0
+    for _ in range(40):
+        texts = []
+        for _ in range(25):
+            # texts of 200 n-grams each, the first words of both differ
+            both = round(2 * 200 * similarity / (1 + similarity))
+            tail = [f"t{r.randrange(10**9)}" for _ in range(both + 4)]
+            texts += [" ".join([f"{side}{r.randrange(10**9)}" for _ in range(200 - both)] + tail).encode() for side in "ab"]
+        _, sizes, bands, values = jaccard.sketches(texts)
+        assert set(sizes) == {200}
+        for k in range(0, 50, 2):
+            total += 1
+            found += bool((bands[k] == bands[k + 1]).any()) and len(jaccard.surviving(values, k, np.array([k + 1]), fewest)[0]) == 1
+    print(f"recall at {similarity}: {found} of {total}")
+    assert found >= 0.995 * total
+
+
+def test_unrelated_long_texts_are_dropped():
+    """The compared bytes of unrelated texts of 200 000 words agree as seldom as those of short ones."""
+    r = random.Random(5)
+    texts = [" ".join(f"{r.randrange(10**9)}" for _ in range(200_000)).encode() for _ in range(2)]
+    values = jaccard.sketches(texts)[3]
+    assert (values[0] == values[1]).sum() <= 6
