@@ -12,34 +12,55 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base test nor a learned rule rejects."""
+    """Documents that neither the base test nor a learned rule rejects.
+
+    Null and empty texts have no words, fail the base test and go. Rows that are kept are kept as they are, repeated ones
+    and those with nulls in other columns too. Rules are learned from this stage's own rows with labels; without such rows
+    only the base test rejects.
+    """
     rules = quality.train_rules(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality")
     kept = ~quality.base_failed() & (quality.verdict(rules) == 0)
     return quality.filter_rows(docs, "text", kept)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that near-duplicate links connect."""
+    """One document of each group that near-duplicate links connect: the one with the least doc_id, whole.
+
+    Repeated rows, of one doc_id and text, become one; ties of other columns go to the least values. Rows with a null doc_id stay
+    only where no row with a doc_id is in their group, and then one of each text. Null and empty texts link with their like only.
+    """
     return jaccard.first_of_classes(docs, "doc_id", "text").select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in their texts and n_chars brought up to date where one was."""
-    masked = docs.withColumn("masked", secrets.mask_secrets(F.col("text"), secrets.train_forest(spark)))
+    """All documents, with secrets masked where they were found and n_chars brought up to date in texts that changed.
+
+    Null texts stay null; every row stays, repeated ones too.
+    """
+    masked = docs.withColumn("masked", secrets.mask_secrets(F.col("text"), secrets.train_forest(spark), path=F.col("source")))
     changed = F.col("masked") != F.col("text")
     return masked.withColumn("n_chars", F.when(changed, F.length("masked").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("masked")).select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents once for each epoch of their source: each at least once, no source more than twice."""
-    return mixing.mix_documents(docs, "doc_id", "source", "text", max_repeats=2.0, budget="cover").select(*COLUMNS)
+    """Documents once for each epoch of their source: each at least once, no source more than twice.
+
+    The permutation is the order of the rows: a block of an epoch stands whole in one file, its rows by their order
+    keys. A null source is a source of its own; null and empty texts cost no budget and stay once for each whole epoch.
+    Repeated rows are taken alike.
+    """
+    mixed = mixing.mix_documents(docs, "doc_id", "source", "text", max_repeats=2.0, budget="cover")
+    return mixed.repartition("epoch", "block").sortWithinPartitions("epoch", "block", "order_key").select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document row: its tokens, encoded and decoded again."""
+    """One row per document row, in the order that mixing gave: its token ids, and digests of them and of the bytes that they decode to.
+
+    Null and empty texts have no ids; repeated rows have equal ones.
+    """
     import public_tokenizers
 
-    return bpe.bpe_digests(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_bpe(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
