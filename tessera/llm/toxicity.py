@@ -141,8 +141,15 @@ def squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 3
     w = np.zeros(z.shape[1])
     for _ in range(steps):
         on = y * (z @ w) < 1
-        a = z[on] * cost[on, None]
-        new = np.linalg.solve(np.eye(z.shape[1]) + a.T @ z[on], a.T @ y[on])
+        a = np.eye(z.shape[1])
+        b = np.zeros(z.shape[1])
+        # some thousand rows at a time, so that nothing of the size of z is made
+        for k in range(0, len(z), 4096):
+            own = z[k : k + 4096][on[k : k + 4096]].astype(np.float64)
+            weighed = own * cost[k : k + 4096][on[k : k + 4096], None]
+            a += weighed.T @ own
+            b += weighed.T @ y[k : k + 4096][on[k : k + 4096]]
+        new = np.linalg.solve(a, b)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -255,7 +262,7 @@ def units_of(sentence: str) -> list[Unit]:
 
 def by_sentence(rows: Sequence[list[Unit]], value, width: int) -> np.ndarray:
     """For each row the sum of value(units, apart) over its units, `width` numbers each; equal units are valued once."""
-    out = np.zeros((len(rows), width), np.float64)
+    out = np.zeros((len(rows), width), np.float32)
     for apart in (False, True):
         ids: dict[str, int] = {}
         pairs = np.array([(ids.setdefault(u, len(ids)), k) for k, row in enumerate(rows) for u, a in row if a == apart], np.int64).reshape(-1, 2)
@@ -313,7 +320,7 @@ def disguised(rows: Sequence[list[Unit]]) -> list[list[Unit]]:
     return [r for r in out if r]
 
 
-def fit_machine(texts: Sequence[str], toxic: Sequence[bool], landmarks: int = 256, virtual: int = 1500) -> tuple[np.ndarray, float]:
+def fit_machine(texts: Sequence[str], toxic: Sequence[bool], landmarks: int = 256, virtual: int = 1000) -> tuple[np.ndarray, float]:
     """(table of subsequence weights, bias of a word) from sentences and their texts' labels."""
     bad = np.array(toxic, bool)
     rows = [units_of(t) for t in texts]
@@ -321,7 +328,8 @@ def fit_machine(texts: Sequence[str], toxic: Sequence[bool], landmarks: int = 25
     _, used, narrow = nystrom([], chosen)
     values, vectors = np.linalg.eigh((narrow.T @ narrow).astype(np.float64) + 1e-3 * np.eye(len(chosen)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    embed = lambda r: np.hstack([by_sentence(r, lambda u, apart: nystrom(u, chosen, apart)[0], len(chosen)) @ root, np.ones((len(r), 1))])
+    root32 = root.astype(np.float32)
+    embed = lambda r: np.hstack([by_sentence(r, lambda u, apart: nystrom(u, chosen, apart)[0], len(chosen)) @ root32, np.ones((len(r), 1), np.float32)])
     z = embed(rows)
     on, w = np.ones(len(rows), bool), np.zeros(len(chosen) + 1)
     for turn in range(3):
@@ -370,7 +378,7 @@ def fold(key: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds, F.lit(-1))
 
 
-def train_toxicity(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_docs: int = 6000, max_sentences: int = 15000, landmarks: int = 256) -> ToxicModel:
+def train_toxicity(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_docs: int = 6000, max_sentences: int = 9000, landmarks: int = 256) -> ToxicModel:
     """A model of at most `max_docs` labelled texts and `max_sentences` sentences of each label; a key with several labels is toxic if one of them is.
 
     Executors cut the sentences and pool the words' scores; the driver gets sentences of bounded length and five numbers for each text.
