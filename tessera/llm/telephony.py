@@ -3,7 +3,7 @@
 A media column is a binary column that holds a whole WAV file. ``store_telephony`` packs bytes as
 8-bit G.711 samples or as ADPCM blocks. ``expand_media`` parses stored files, expands them by lookup tables
 (mu-law, A-law) or decodes their ADPCM blocks with numpy across blocks, and stores the resampled
-16-bit PCM as a further column of WAV files. ``media_features`` reads all stored columns back.
+16-bit PCM as a further column of WAV files, with what is read back from these. ``media_features`` reads the stored samples back.
 
 Null samples and null files: null samples count as empty, and an empty input is padded to one block; a null file has null
 results. A file that isn't mono WAV audio of a known format has a null PCM file and its format in `problem`.
@@ -32,7 +32,7 @@ RATE, PCM_RATE = 8000, 16000
 BLOCK = 192
 PAD = 32
 #: Stored bytes that a task holds at once beside its batch, and samples that are resampled at once.
-SLICE, PIECE = 4 << 20, 1 << 18
+SLICE, PIECE = 1 << 20, 1 << 18
 # Format tags of WAV files.
 PCM, A_LAW, MU_LAW, ADPCM = 1, 6, 7, 17
 
@@ -204,8 +204,9 @@ def store_telephony(df: DataFrame, key: str, samples: str, tag: int = MU_LAW) ->
 
 
 def expand_media(df: DataFrame, key: str, media: str = "media", rate: int = PCM_RATE) -> DataFrame:
-    """df with `pcm`, each stored file resampled to 16-bit PCM at `rate` as a WAV file, and `problem`, null where that could be done."""
-    names = [c for c in df.columns if c not in ("pcm", "problem")]
+    """df with `pcm`, each stored file resampled to 16-bit PCM at `rate` as a WAV file, `problem`, null where that could be done, and size, digest and levels of the PCM files as read back."""
+    added = ("pcm", "problem", "pcm_bytes", "pcm_sha256", "pcm_levels")
+    names = [c for c in df.columns if c not in added]
     at = names.index(media)
 
     def expand(batches):
@@ -222,10 +223,13 @@ def expand_media(df: DataFrame, key: str, media: str = "media", rate: int = PCM_
                             why = str(e)
                     pcm.append(made)
                     problem.append(why)
-                yield pa.RecordBatch.from_arrays([*(c[i:j] for c in b.columns), pa.array(pcm, pa.binary()), pa.array(problem, pa.string())], [*names, "pcm", "problem"])
+                back = [None if x is None else f"{levels('pcm', samples_of(x)[2])} pcm_crc={zlib.crc32(x):08x}" for x in pcm]
+                sizes = [None if x is None else len(x) for x in pcm]
+                made = [pa.array(pcm, pa.binary()), pa.array(problem, pa.string()), pa.array(sizes, pa.int64()), pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in pcm], pa.string()), pa.array(back, pa.string())]
+                yield pa.RecordBatch.from_arrays([*(c[i:j] for c in b.columns), *made], [*names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
-    return df.select(*names).mapInArrow(expand, f"{schema}, pcm binary, problem string")
+    return df.select(*names).mapInArrow(expand, f"{schema}, pcm binary, problem string, pcm_bytes long, pcm_sha256 string, pcm_levels string")
 
 
 def blocks_summary(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,38 +256,37 @@ def levels(name: str, pcm: np.ndarray) -> str:
     return f"{name}_n={len(pcm)} {name}_sum={total} {name}_energy={square} {name}_flips={flips} {name}_peak={peak}"
 
 
-def feature(tag: int, rate: int, payload: np.ndarray, adpcm: tuple[int, int], pcm: bytes | None) -> str:
+def feature(tag: int, rate: int, payload: np.ndarray, adpcm: tuple[int, int], pcm: str | None) -> str:
     """A line on a stored file: levels of both laws' readings of its bytes, of their ADPCM reading, and of the stored PCM file."""
-    wide = "pcm=none" if pcm is None else f"{levels('pcm', samples_of(pcm)[2])} pcm_crc={zlib.crc32(pcm):08x}"
-    return f"tag={tag} rate={rate} {levels('mu', TABLES[MU_LAW][payload])} {levels('a', TABLES[A_LAW][payload])} adpcm_abs={adpcm[0]} adpcm_peak={adpcm[1]} {wide}"
+    return f"tag={tag} rate={rate} {levels('mu', TABLES[MU_LAW][payload])} {levels('a', TABLES[A_LAW][payload])} adpcm_abs={adpcm[0]} adpcm_peak={adpcm[1]} {pcm or 'pcm=none'}"
 
 
-def media_features(df: DataFrame, key: str, media: str = "media", pcm: str = "pcm") -> DataFrame:
-    """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm_bytes, pcm_sha256) of stored files.
+def media_features(df: DataFrame, key: str, media: str = "media") -> DataFrame:
+    """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm_bytes, pcm_sha256) of expanded files.
 
-    n_bytes is df's column of that name. The payload is a file's sample bytes; for the ADPCM reading it counts as padded to whole blocks.
+    The payload is a file's sample bytes; for the ADPCM reading it counts as padded to whole blocks.
     """
     names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256"]
     sha = lambda x: hashlib.sha256(x).hexdigest() if x is not None else None
 
     def read(batches):
         for b in batches:
-            for i, j in slices([x + y for x, y in zip(sizes_of(b.column(2)), sizes_of(b.column(3)), strict=True)], SLICE):
-                files, wide = b.column(2)[i:j].to_pylist(), b.column(3)[i:j].to_pylist()
+            for i, j in slices(sizes_of(b.column(2)), SLICE):
+                files, back = b.column(2)[i:j].to_pylist(), b.column(5)[i:j].to_pylist()
                 parts = [parse_wav(x) if x is not None else None for x in files]
                 whole = [padded(x[4]) for x in parts if x is not None]
                 starts = np.cumsum([0, *(len(x) // BLOCK for x in whole)])[:-1]
                 energy, peak = blocks_summary(np.frombuffer(b"".join(whole), np.uint8), starts) if whole else ((), ())
                 loud = iter(zip(map(int, energy), map(int, peak), strict=True))
-                lines = [feature(x[0], x[2], np.frombuffer(x[4], np.uint8), next(loud), y) if x is not None else None for x, y in zip(parts, wide, strict=True)]
+                lines = [feature(x[0], x[2], np.frombuffer(x[4], np.uint8), next(loud), y) if x is not None else None for x, y in zip(parts, back, strict=True)]
                 data = [x[4] if x is not None else None for x in parts]
                 size = lambda xs: pa.array([len(x) if x is not None else None for x in xs], pa.int64())
                 columns = [
                     b.column(0)[i:j], b.column(1)[i:j], size(data), pa.array(map(sha, data), pa.string()), pa.array([zlib.crc32(x[-16:]) if x is not None else None for x in data], pa.int64()),
-                    size(files), pa.array(map(sha, files), pa.string()), pa.array(lines, pa.string()), size(wide), pa.array(map(sha, wide), pa.string()),
+                    size(files), pa.array(map(sha, files), pa.string()), pa.array(lines, pa.string()), b.column(3)[i:j], b.column(4)[i:j],
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
-    return df.select(F.col(key).alias("key"), "n_bytes", media, pcm).mapInArrow(read, schema).withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), "n_bytes", media, "pcm_bytes", "pcm_sha256", "pcm_levels").mapInArrow(read, schema).withColumnRenamed("key", key)
