@@ -30,7 +30,7 @@ from .common import sizes_of, slices
 
 CHUNK, OVERLAP, GUARD = 4096, 512, 64
 #: Pre-tokens whose ids are remembered, and bytes of text that give a batch of results.
-REMEMBERED, SLICE = 1 << 18, 4 << 20
+REMEMBERED, SLICE = 1 << 15, 1 << 20
 
 
 class Codec:
