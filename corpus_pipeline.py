@@ -50,7 +50,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Repeated rows are taken alike.
     """
     mixed = mixing.mix_documents(docs, "doc_id", "source", "text", max_repeats=2.0, budget="cover")
-    return mixed.repartition("epoch", "block").sortWithinPartitions("epoch", "block", "order_key").select(*COLUMNS)
+    # a fixed number of files, so that adaptive execution doesn't join small ones into large ones
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartition(files, "epoch", "block").sortWithinPartitions("epoch", "block", "order_key").select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
