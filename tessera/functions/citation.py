@@ -25,7 +25,7 @@ SHORTEST, LONGEST_PERIODICAL, LONGEST_LAST_PART = 15, 50, 30
 CITY, CITY_OF = f"{NAME}(?: +{NAME})*", rf"{NAME}(?:\s+(?:{PARTICLES}|[{UP}])[{LOW}]*)*"
 #: What follows a host's title: edition, unpaged, carrier or publisher; or pages or a place after a comma.
 IMPRINT, LOCATOR = rf"\d+\.\s*ed\.|s\.\s*p\.|\d+\s+CD\b|{CITY}\s*:", rf"p\.\s*\d|{CITY}\s*,"
-ISSUE = rf"(?i)\b(?:(?:ano|n\.|p\.|v\.)\s*\d|(?:{MONTHS})\b)"
+ISSUE = rf"(?i:\b(?:(?:ano|n\.|p\.|v\.)\s*\d|(?:{MONTHS})\b))"
 #: Segment types, by how a segment starts or ends.
 TYPES = {
     "headline": rf"^(?:(?:\d+\s+)?[{UP}]+|[{UP}]\s+[{UP}]+)\s+[{LOW}]",
@@ -36,6 +36,11 @@ TYPES = {
 }
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _is(segment: Column, kind: str) -> Column:
     return segment.rlike(TYPES[kind])
 
@@ -55,7 +60,7 @@ def title_segment(parts: Column) -> Column:
     other = found(lambda p, i: ~_is(p, "department"))
     fresh = found(lambda p, i: ~_is(F.get(parts, i - 1), "goes_on") & ~_is(p, "surname"))
     begin = F.when(_is(first, "body"), other).otherwise(fresh)
-    return F.when((n == 1) | _is(first, "headline"), 1).otherwise(F.coalesce(F.nullif(begin, F.lit(0)), n)).cast("int")
+    return F.when((n == 1) | _is(first, "headline"), 1).otherwise(let(begin, lambda b: F.when(b > 0, b).otherwise(n))).cast("int")
 
 
 def _bare(text: Column) -> Column:
@@ -64,67 +69,87 @@ def _bare(text: Column) -> Column:
 
 def title_of(text: Column) -> Column:
     """The title of a citation that ends with it."""
-    parts = segments(text)
-    return _bare(F.array_join(F.slice(parts, title_segment(parts), F.size(parts)), " "))
+    return let(segments(text), lambda parts: _bare(F.array_join(F.slice(parts, title_segment(parts), F.size(parts)), " ")))
 
 
 def _before(text: Column, pattern: str) -> Column:
     """The text up to the first place where the pattern starts; null if there is none."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, rf"(?s)^(.*?)(?:{pattern})", 1))
+    return let(F.regexp_instr(text, F.lit(pattern)), lambda at: F.when(at > 0, F.substring(text, F.lit(1), at - 1)))
 
 
 def _host(text: Column) -> Column:
     """Title of the work that a part stands in: what its own authors leave, up to imprint or locator."""
     rest = F.regexp_replace(text, rf"^(?:[{UP}]{{2,}}(?:,\s*[^.]+)?\.\s*)+", "")
-    title = _bare(F.coalesce(_before(rest, rf"\.\s+(?:{IMPRINT})|,\s+(?:{LOCATOR})|\.\s*$"), rest))
+    title = let(rest, lambda r: _bare(F.coalesce(_before(r, rf"\.\s+(?:{IMPRINT})|,\s+(?:{LOCATOR})|\.\s*$"), r)))
+
     # an article's title before a short last part: the part is the periodical
-    last = lambda mark: F.trim(F.substring_index(title, mark, -1))
-    short = lambda mark: F.contains(title, F.lit(mark)) & F.length(last(mark)).between(1, LONGEST_LAST_PART - 1)
-    return F.when(short("? "), last("? ")).when(short(". "), last(". ")).otherwise(title)
+    def last_part(t):
+        last = lambda mark: F.trim(F.substring_index(t, mark, -1))
+        short = lambda mark: F.contains(t, F.lit(mark)) & F.length(last(mark)).between(1, LONGEST_LAST_PART - 1)
+        return F.when(short("? "), last("? ")).when(short(". "), last(". ")).otherwise(t)
+
+    return let(title, last_part)
 
 
 def _online(text: Column) -> Column:
-    before = F.rtrim(F.substring_index(text, ONLINE, 1))
-    bare = F.regexp_replace(before, r"[.?! ]+$", "")
-    title, mark = title_of(F.coalesce(_before(bare, rf"[.,;!?]\s*{NAME}\s*:\s*[{UP}]"), bare)), F.regexp_extract(before, r"[?!]$", 0)
-    return F.when(F.endswith(title, mark), title).otherwise(F.concat(title, mark))
+    def of(before):
+        bare, mark = F.regexp_replace(before, r"[.?! ]+$", ""), F.regexp_extract(before, r"[?!]$", 0)
+        title = let(bare, lambda b: title_of(F.coalesce(_before(b, rf"[.,;!?]\s*{NAME}\s*:\s*[{UP}]"), b)))
+        return let(title, lambda t: F.when(F.endswith(t, mark), t).otherwise(F.concat(t, mark)))
+
+    return let(F.rtrim(F.substring_index(text, ONLINE, 1)), of)
 
 
 def _periodical(text: Column) -> Column:
-    """The last sentence start up to a comma that issue data follow, in a citation without a publisher."""
-    parts = F.split(text, r"(?<=[.?!])\s+")
-    rest = F.transform(parts, lambda p, i: F.when((i > 0) & F.contains(F.array_join(F.slice(parts, i + 1, F.size(parts)), " "), F.lit(",")), F.array_join(F.slice(parts, i + 1, F.size(parts)), " ")))
-    named = F.transform(rest, lambda r: F.struct(F.trim(F.substring_index(r, ",", 1)).alias("name"), F.regexp_replace(r, "^[^,]*,", "").alias("issue")))
-    fits = lambda x: x["name"].rlike(rf"^\p{{Lu}}.{{0,{LONGEST_PERIODICAL - 1}}}$") & x["issue"].rlike(ISSUE)
-    return F.when(~text.rlike(rf"{NAME}\s*:\s*[{UP}]"), F.try_element_at(F.filter(named, fits), F.lit(-1))["name"])
+    """The last sentence start up to a comma that issue data follow, in a citation without a publisher; null if there is none."""
+    name = F.regexp_extract(text, rf"(?s)^.*[.?!]\s+(\p{{Lu}}[^,]{{0,{LONGEST_PERIODICAL - 1}}}),(?=.*?{ISSUE})", 1)
+    return F.when(text.rlike(ISSUE) & ~text.rlike(rf"{NAME}\s*:\s*[{UP}]"), let(name, lambda x: F.when(x != "", F.trim(x))))
 
 
 def _book(text: Column) -> Column:
     place = rf"[.,;!?]\s*(?:\d+\.\s*ed\.\s+)?{CITY_OF}\s*:\s*[{UP}]"
-    head = _before(text, place)
-    # a question or exclamation mark belongs to the title
-    head = F.concat(head, F.regexp_replace(F.substring(F.regexp_extract(text, place, 0), 1, 1), "[^!?]", ""))
-    title = F.regexp_replace(F.trim(F.regexp_replace(title_of(head), r"(?<=.);.*$", "")), r"\.\s+[Ii]lustra.*$", "")
-    return F.when(title_segment(segments(head)) == 1, F.substring_index(title, ". ", -1)).otherwise(title)
+
+    def of(at):
+        # a question or exclamation mark belongs to the title
+        mark = F.regexp_replace(F.substring(text, at, F.lit(1)), "[^!?]", "")
+        return let(segments(F.concat(F.substring(text, F.lit(1), at - 1), mark)), titled)
+
+    def titled(parts):
+        def of_segment(k):
+            title = _bare(F.array_join(F.slice(parts, k, F.size(parts)), " "))
+            title = F.regexp_replace(F.trim(F.regexp_replace(title, r"(?<=.);.*$", "")), r"\.\s+[Ii]lustra.*$", "")
+            return F.when(k == 1, F.substring_index(title, ". ", -1)).otherwise(title)
+
+        return let(title_segment(parts), of_segment)
+
+    return let(F.regexp_instr(text, F.lit(place)), lambda at: F.when(at > 0, of(at)))
 
 
 def emphasised(html: Column, piece: Column) -> Column:
     """The text with the first occurrence of a piece emphasised; null and empty pieces change nothing."""
-    safe = escape_html(piece)
-    at = F.instr(html, safe)
-    marked = F.concat(F.substring(html, F.lit(1), at - 1), F.lit("<em>"), safe, F.lit("</em>"), F.substring(html, at + F.length(safe), F.length(html)))
-    return F.when((F.length(safe) > 0) & (at > 0), marked).otherwise(html)
+    def of(safe):
+        def at_place(at):
+            marked = F.concat(F.substring(html, F.lit(1), at - 1), F.lit("<em>"), safe, F.lit("</em>"), F.substring(html, at + F.length(safe), F.length(html)))
+            return F.when((F.length(safe) > 0) & (at > 0), marked).otherwise(html)
+
+        return let(F.instr(html, safe), at_place)
+
+    return let(escape_html(piece), of)
 
 
 def citation_html(text: Column) -> Column:
     """HTML of a citation; null stays null. The first kind of work that claims a citation names what to emphasise."""
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    html = escape_html(bare)
-    within = rf"\.\s*{WITHIN}\s*"
-    host = emphasised(emphasised(html, F.trim(F.regexp_extract(bare, within, 0))), _host(F.regexp_replace(bare, rf"(?s)^.*?{within}", "")))
-    unpublished = rf"\.\s*{UNPUBLISHED}"
-    out = F.when((F.length(bare) < SHORTEST) | F.lower(bare).isin(*LITERALS), html)
-    out = out.when(bare.rlike(unpublished), emphasised(html, title_of(_before(bare, unpublished))))
-    out = out.when(bare.rlike(within), host)
-    out = out.when(F.contains(bare, F.lit(ONLINE)), emphasised(html, _online(bare)))
-    return out.otherwise(emphasised(html, F.coalesce(_periodical(bare), _book(bare))))
+    within, unpublished = rf"\.\s*{WITHIN}\s*", rf"\.\s*{UNPUBLISHED}"
+
+    def of(bare):
+        def marked(html):
+            host = F.regexp_replace(bare, rf"(?s)^.*?{within}", "")
+            out = F.when((F.length(bare) < SHORTEST) | F.lower(bare).isin(*LITERALS), html)
+            out = out.when(bare.rlike(unpublished), emphasised(html, title_of(_before(bare, unpublished))))
+            out = out.when(bare.rlike(within), let(emphasised(html, F.trim(F.regexp_extract(bare, within, 0))), lambda h: emphasised(h, _host(host))))
+            out = out.when(F.contains(bare, F.lit(ONLINE)), emphasised(html, _online(bare)))
+            return out.otherwise(emphasised(html, F.coalesce(_periodical(bare), _book(bare))))
+
+        return let(escape_html(bare), marked)
+
+    return let(F.regexp_replace(text, r"^\s+|\s+$", ""), of)

@@ -75,7 +75,7 @@ def merge_corrections(general: DataFrame, post_pause: DataFrame) -> DataFrame:
     own = general.withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "word_index").orderBy("seq")))
     over = post_pause.groupBy("page_id", "word_index").agg(F.max_by(F.struct(*(c for c in post_pause.columns if c not in ("page_id", "word_index", "seq"))), "seq").alias("p"))
     both = own.join(over.withColumn("_n", F.lit(1)), ["page_id", "word_index", "_n"], "full_outer")
-    last = F.coalesce(F.col("seq"), F.lit(1_000_000) + F.col("word_index"))
+    last = F.coalesce(F.col("seq"), F.coalesce(F.max("seq").over(Window.partitionBy("page_id")), F.lit(-1)) + 1 + F.col("word_index"))
     names = [c for c in general.columns if c not in ("page_id", "word_index", "seq")]
     return both.select("page_id", last.cast("int").alias("seq"), "word_index", *(F.when(F.col("p").isNotNull(), F.col(f"p.{c}")).otherwise(F.col(c)).alias(c) for c in names), F.col("p").isNotNull().alias("replaced"))
 
@@ -90,7 +90,7 @@ def apply_corrections(words: DataFrame, corrections: DataFrame, least: float = 0
 
 def apply_verifications(aligned: DataFrame, verified: DataFrame, least: float = 0.7, length: float = 0.3) -> DataFrame:
     """Missing words that a check found spoken get its times. verified: (page_id, ref_idx, is_spoken, start_time, end_time, confidence)."""
-    v = verified.where((F.col("confidence") > least) & F.col("is_spoken") & F.col("start_time").isNotNull()).groupBy("page_id", "ref_idx").agg(F.first(F.struct("start_time", "end_time", "confidence")).alias("v"))
+    v = verified.where((F.col("confidence") > least) & F.col("is_spoken") & F.col("start_time").isNotNull()).groupBy("page_id", "ref_idx").agg(F.min(F.struct("start_time", "end_time", "confidence")).alias("v"))
     out = aligned.join(v, ["page_id", "ref_idx"], "left")
     hit = F.col("v").isNotNull()
     end = F.coalesce(F.nullif(F.col("v.end_time"), F.lit(0.0)), F.col("v.start_time") + length)

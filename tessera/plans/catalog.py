@@ -581,6 +581,82 @@ def scored_response(spark, sf_dir):
     return responses.scored_words(body)[1].select("page_id", "word_idx", "word", "start", "end", "confidence")
 
 
+TURNS = "turns AS (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations GROUP BY ALL)"
+
+
+def _by_conversation(spark, sf_dir: str, make) -> DataFrame:
+    """(page_id, json): make(array of turns in order) of each conversation, as JSON."""
+    turns = I.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text"))
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
+    return rows.select(F.col("conv_id").alias("page_id"), F.to_json(make(F.col("ts"))).alias("json"))
+
+
+def _spoken(t) -> list:
+    return [t["role"].alias("word"), t["turn"].cast("double").alias("start"), (t["turn"] + 0.5).cast("double").alias("end")]
+
+
+@query(f"WITH {TURNS} SELECT conv_id AS page_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS word_idx, role AS word, turn::DOUBLE AS start, turn::DOUBLE + 0.5::DOUBLE AS \"end\", 1::DOUBLE AS confidence FROM turns")
+def plain_response(spark, sf_dir):
+    """A response of one list of words, one for each turn."""
+    body = _by_conversation(spark, sf_dir, lambda ts: F.struct(F.lit(9.0).alias("duration"), F.transform(ts, lambda t: F.struct(*_spoken(t))).alias("words")))
+    return responses.plain_words(body)[1].select("page_id", "word_idx", "word", "start", "end", "confidence")
+
+
+@query(f"WITH {TURNS}, w AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, max(turn) OVER (PARTITION BY conv_id) AS last FROM turns) SELECT conv_id AS page_id, last::DOUBLE + 1::DOUBLE AS duration, n::INTEGER AS word_count, sum(CASE WHEN turn % 2 = 0 THEN 0.25 ELSE 1 END)::DOUBLE AS confidence FROM w GROUP BY ALL")
+def segmented_response(spark, sf_dir):
+    """A response of one segment for each turn; every second word is unsure, the others don't say. Its duration is the last segment's end."""
+    segment = lambda t: F.struct((t["turn"] + 1).cast("double").alias("end"), F.array(F.struct(t["role"].alias("text"), *_spoken(t)[1:], F.when(t["turn"] % 2 == 0, 0.25).alias("confidence"))).alias("words"))
+    head, words = responses.segmented_words(_by_conversation(spark, sf_dir, lambda ts: F.struct(F.transform(ts, segment).alias("segments"))))
+    return head.select("page_id", "duration", "word_count").join(words.groupBy("page_id").agg(F.sum("confidence").alias("confidence")), "page_id")
+
+
+@query(f"WITH {TURNS} SELECT conv_id AS page_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS seq, turn::INTEGER AS word_index, role AS word, turn::DOUBLE AS original_start, turn::DOUBLE + 0.5::DOUBLE AS original_end, turn::DOUBLE + 0.25::DOUBLE AS corrected_start, turn::DOUBLE + 1::DOUBLE AS corrected_end, CASE WHEN turn % 2 = 0 THEN 0.5 ELSE 0.8 END::DOUBLE AS confidence, CASE WHEN turn % 3 = 0 THEN text ELSE '' END AS reason FROM turns")
+def correction_response(spark, sf_dir):
+    """Corrections of each turn, some without a confidence or a reason."""
+
+    def one(t):
+        at = t["turn"].cast("double")
+        return F.struct(t["turn"].cast("int").alias("word_index"), t["role"].alias("word"), at.alias("original_start"), (at + 0.5).alias("original_end"), (at + 0.25).alias("corrected_start"), (at + 1).alias("corrected_end"), F.when(t["turn"] % 2 == 0, 0.5).alias("confidence"), F.when(t["turn"] % 3 == 0, t["text"]).alias("reason"))
+
+    return responses.corrections(_by_conversation(spark, sf_dir, lambda ts: F.struct(F.transform(ts, one).alias("corrections"))))
+
+
+@query(f"WITH {TURNS} SELECT conv_id AS page_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS word_idx, CASE WHEN turn % 2 = 0 THEN role ELSE '' END AS word, turn::DOUBLE AS start, turn::DOUBLE + 0.5::DOUBLE AS \"end\" FROM turns")
+def second_source(spark, sf_dir):
+    """A second source's times of each turn; every second word is left out."""
+    body = _by_conversation(spark, sf_dir, lambda ts: F.struct(F.transform(ts, lambda t: F.struct(F.when(t["turn"] % 2 == 0, t["role"]).alias("word"), *_spoken(t)[1:])).alias("words")))
+    return responses.second_timing(body)
+
+
+@query(f"WITH {TURNS} SELECT conv_id AS page_id, coalesce(CASE WHEN conv_id % 2 = 0 THEN false END, true) AS is_spoken, min(text) FILTER (turn = 0) AS actual_first_words, CASE WHEN conv_id % 3 = 0 THEN count(*)::DOUBLE END AS start_time, CASE WHEN conv_id % 5 = 0 THEN 0.25 ELSE 0.8 END::DOUBLE AS confidence FROM turns GROUP BY conv_id")
+def title_response(spark, sf_dir):
+    """Checks of titles, some without an answer or a confidence."""
+    turns = I.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    rows = turns.groupBy("conv_id").agg(F.count("*").cast("double").alias("n"), F.min(F.when(F.col("turn") == 0, F.col("text"))).alias("first"))
+    c = F.col("conv_id")
+    answer = F.struct(F.when(c % 2 == 0, False).alias("is_spoken"), F.col("first").alias("actual_first_words"), F.when(c % 3 == 0, F.col("n")).alias("start_time"), F.when(c % 5 == 0, 0.25).alias("confidence"))
+    return responses.title_checks(rows.select(c.alias("page_id"), F.to_json(answer).alias("json"))).select("page_id", "is_spoken", "actual_first_words", "start_time", "confidence")
+
+
+@query(f"WITH {TURNS}, asked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM turns), told AS (SELECT conv_id, upper(role) AS w, arg_min(turn, turn) AS at FROM turns WHERE turn % 2 = 1 GROUP BY ALL) "
+       "SELECT a.conv_id AS page_id, a.turn::INTEGER AS ref_idx, a.role AS word, n <= 10 AND t.at IS NOT NULL AS is_spoken, CASE WHEN n <= 10 THEN t.at::DOUBLE END AS start_time, CASE WHEN n <= 10 AND t.at IS NOT NULL THEN 0.8 ELSE 0 END::DOUBLE AS confidence FROM asked a LEFT JOIN told t ON t.conv_id = a.conv_id AND t.w = upper(a.role)")
+def missing_response(spark, sf_dir):
+    """Answers on the first ten missing words of a page: every second turn's role was heard."""
+    body = _by_conversation(spark, sf_dir, lambda ts: F.struct(F.transform(F.filter(ts, lambda t: t["turn"] % 2 == 1), lambda t: F.struct(F.lower(t["role"]).alias("word"), t["turn"].cast("double").alias("start_time"))).alias("verifications")))
+    asked = I.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("word")).select(F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("ref_idx"), "word")
+    return responses.missing_checks(body, asked).select("page_id", "ref_idx", "word", "is_spoken", "start_time", "confidence")
+
+
+@query(rf"""{TOK}, t AS (SELECT doc_id AS page_id, unnest(regexp_extract_all(split_part(text, chr(10), 1), '\S+')) AS word, generate_subscripts(regexp_extract_all(split_part(text, chr(10), 1), '\S+'), 1) AS k FROM documents),
+n AS (SELECT page_id, count(*) AS n FROM t GROUP BY page_id)
+SELECT page_id, (k - 1)::INTEGER AS word_idx, word, 0::DOUBLE AS "end" FROM t UNION ALL SELECT w.page_id, (w.word_idx + coalesce(n.n, 0))::INTEGER, w.word, round(e, 6) FROM words w LEFT JOIN n USING (page_id)""")
+def prepended_titles(spark, sf_dir):
+    """Each document's first line as an unspoken title before its words."""
+    titles = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.substring_index("text", "\n", 1).alias("title"))
+    front = pages.unspoken_titles(titles).drop("line_break_after", "is_title")
+    return pages.prepended(front, I.token_words(spark, sf_dir)).select("page_id", "word_idx", "word", r6("end").alias("end"))
+
+
 @query("WITH o AS (SELECT user_id, ts, coalesce(date_diff('microsecond', max(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ts) >= 1800000000, true) AS new FROM events), "
        "k AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 1800000000 AS end_us, count(*) AS n FROM k GROUP BY user_id, k")
 def event_pauses(spark, sf_dir):
@@ -595,11 +671,15 @@ def player_arithmetic(spark, sf_dir):
 
 @query()
 def citations(spark, sf_dir):
-    """Citations made of documents' first lines, formatted."""
-    docs = I.table(spark, sf_dir, "documents")
-    line = F.substring_index("text", "\n", 1)
-    cited = F.concat(F.lit("SOUZA, Ana. "), F.regexp_replace(line, r"[.:;?!]", ""), F.lit(". São Paulo: Editora, 2001."))
-    return docs.select("doc_id", citation_html(cited).alias("html"))
+    """A citation made of each line of each document, of all kinds of works in turns, formatted."""
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    name = lambda a, b: F.concat(F.lit(a), F.col("line"), F.lit(b))
+    kinds = [
+        name("SOUZA, Ana. ", ". São Paulo: Editora, 2001."), name("LIMA, José A. de. ", ". Texto não publicado."), name("DIAS, Eva. Sol. In: MELO, Rui. ", ". 2. ed. Recife: Norte, 1990."),
+        name("BRASIL. Ministério da Cultura. ", ". Disponível em: http://example.org."), name("REIS, Ana. ", "? Folhinha, São Paulo, p. 3, 2 maio 1999."),
+    ]
+    cited = F.element_at(F.array(*kinds), (F.pmod(F.col("doc_id") + F.col("line_no"), F.lit(len(kinds))) + 1).cast("int"))
+    return docs.select("doc_id", "line_no", citation_html(cited).alias("html"))
 
 
 @query()

@@ -49,11 +49,11 @@ TOK_SQL = r"""tok0 AS (SELECT doc_id AS page_id, unnest(regexp_extract_all(text,
 tok1 AS (SELECT *, 40 + 70 * greatest(1, len(regexp_extract_all(regexp_replace(lower(word), '[^\p{L}\p{N}_]', '', 'g'), '[aeiouáéíóúâêôãõàü]+'))) AS dur,
   CASE WHEN regexp_matches(word, '[.!?;:]$') THEN 700 WHEN ends_with(word, ',') THEN 120 ELSE (word_idx * 37) % 90 END AS gap FROM tok0),
 tok2 AS (SELECT *, coalesce(sum(dur + gap) OVER (PARTITION BY page_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS t0 FROM tok1),
-words AS (SELECT page_id, word_idx::INTEGER AS word_idx, word, t0::DOUBLE / 1000::DOUBLE AS s, (t0 + dur + CASE WHEN word_idx % 11 = 4 THEN 200 ELSE 0 END)::DOUBLE / 1000::DOUBLE AS e,
+words AS MATERIALIZED (SELECT page_id, word_idx::INTEGER AS word_idx, word, t0::DOUBLE / 1000::DOUBLE AS s, (t0 + dur + CASE WHEN word_idx % 11 = 4 THEN 200 ELSE 0 END)::DOUBLE / 1000::DOUBLE AS e,
   ((word_idx * 7919) % 100)::DOUBLE / 100::DOUBLE AS confidence, word_idx < 3 AS is_title FROM tok2)"""
 
 #: The gaps of `words`.
-GAPS_SQL = """gaps AS (SELECT * FROM (SELECT page_id, word_idx AS gap_index, word AS word_before, lead(word) OVER w AS word_after, e AS gap_start, lead(s) OVER w AS gap_end, (lead(s) OVER w - e) * 1000::DOUBLE AS ms
+GAPS_SQL = """gaps AS MATERIALIZED (SELECT * FROM (SELECT page_id, word_idx AS gap_index, word AS word_before, lead(word) OVER w AS word_after, e AS gap_start, lead(s) OVER w AS gap_end, (lead(s) OVER w - e) * 1000::DOUBLE AS ms
   FROM words WINDOW w AS (PARTITION BY page_id ORDER BY word_idx)) WHERE ms IS NOT NULL)"""
 
 _LIAISON = "('o','a','os','as','um','uma','uns','umas','de','da','do','das','dos','em','na','no','nas','nos','para','pra','pro')"
@@ -75,7 +75,7 @@ classified AS (SELECT * FROM f2)"""
 NO_ADVICE_SQL = "advised AS (SELECT *, NULL::BOOLEAN AS a_breath, NULL::BOOLEAN AS a_pitch, NULL::BOOLEAN AS a_sentence, NULL::VARCHAR AS a_rec, NULL::DOUBLE AS a_conf FROM gaps)"
 
 #: Advice by heuristics on `gaps`.
-PROSODY_SQL = rf"""prosody AS (SELECT *, ms > 600 AS has_breath, p AS has_pitch_reset, p AND ms > 600 AS is_sentence_boundary,
+PROSODY_SQL = rf"""prosody AS MATERIALIZED (SELECT *, ms > 600 AS has_breath, p AS has_pitch_reset, p AND ms > 600 AS is_sentence_boundary,
   CASE WHEN ms < 50 THEN 'fill' WHEN ms < 150 AND l THEN 'fill' WHEN ms < 400 THEN 'analyze' WHEN ms < 600 THEN CASE WHEN p THEN 'keep' ELSE 'analyze' END ELSE 'keep' END AS recommendation,
   (CASE WHEN ms < 50 THEN 0.95 WHEN ms < 150 AND l THEN 0.85 WHEN ms < 150 THEN 0.6 WHEN ms < 400 THEN 0.5 WHEN ms < 600 THEN CASE WHEN p THEN 0.7 ELSE 0.5 END ELSE 0.85 END)::DOUBLE AS advice_confidence
   FROM (SELECT *, regexp_matches(word_before, '[.!?;:]\s*$') AS p, regexp_replace(lower(word_before), '[.,!?;:]+$', '') IN {_LIAISON} AS l FROM gaps WHERE ms > 0))"""
@@ -84,7 +84,8 @@ PROSODY_SQL = rf"""prosody AS (SELECT *, ms > 600 AS has_breath, p AS has_pitch_
 SHIFTED_SQL = """told AS (SELECT page_id, gap_index AS pg_idx, gap_start + CASE WHEN gap_index % 3 = 0 THEN 0.04 ELSE 0.11 END::DOUBLE AS t0, gap_end + CASE WHEN gap_index % 2 = 0 THEN 0.03 ELSE 0.2 END::DOUBLE AS t1,
   has_breath AS b, has_pitch_reset AS p2, is_sentence_boundary AS sb, recommendation AS rec, advice_confidence + 0.1::DOUBLE AS conf FROM prosody),
 matched AS (SELECT g.page_id, g.gap_index, arg_min(struct_pack(pg_idx := t.pg_idx, b := b, p2 := p2, sb := sb, rec := rec, conf := conf), (CASE WHEN abs(g.gap_end - t1) < 0.1 THEN 0 ELSE 1 END) * 1000000000 + t.pg_idx) AS m
-  FROM gaps g JOIN told t ON g.page_id = t.page_id AND floor(t0 / 0.1)::BIGINT BETWEEN floor(g.gap_start / 0.1)::BIGINT - 1 AND floor(g.gap_start / 0.1)::BIGINT + 1 AND abs(g.gap_start - t0) < 0.1 GROUP BY ALL),
+  FROM (SELECT page_id, gap_index, gap_start, gap_end, unnest([floor(gap_start / 0.1)::BIGINT - 1, floor(gap_start / 0.1)::BIGINT, floor(gap_start / 0.1)::BIGINT + 1]) AS bucket FROM gaps) g
+  JOIN (SELECT *, floor(t0 / 0.1)::BIGINT AS bucket FROM told) t ON g.page_id = t.page_id AND g.bucket = t.bucket AND abs(g.gap_start - t0) < 0.1 GROUP BY ALL),
 advised AS (SELECT g.*, m.pg_idx AS pg_idx, m.b AS a_breath, m.p2 AS a_pitch, m.sb AS a_sentence, m.rec AS a_rec, m.conf AS a_conf FROM gaps g LEFT JOIN matched USING (page_id, gap_index))"""
 
 
