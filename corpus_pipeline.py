@@ -9,6 +9,8 @@ from tessera.llm import bpe, jaccard, mixing, quality, secrets
 from tessera.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of text that a file of mixed rows holds at most, about.
+FILE_BYTES = 64 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,18 +47,19 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents once for each epoch of their source: each at least once, no source more than twice.
 
-    The permutation is the order of the rows: a block of an epoch stands whole in one file, its rows by their order
-    keys. A null source is a source of its own; null and empty texts cost no budget and stay once for each whole epoch.
-    Repeated rows are taken alike.
+    The permutation is the order of the rows: files hold ranges of epochs and order keys, rows stand by epoch and order key
+    in each, so sources are mixed alike everywhere in an epoch. Files are as many as bytes need. A null source is a
+    source of its own; null and empty texts cost no budget and stay once for each whole epoch. Repeated rows are taken alike.
     """
     mixed = mixing.mix_documents(docs, "doc_id", "source", "text", max_repeats=2.0, budget="cover")
-    # a fixed number of files, so that adaptive execution doesn't join small ones into large ones
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartition(files, "epoch", "block").sortWithinPartitions("epoch", "block", "order_key").select(*COLUMNS)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # no fewer than shuffle partitions; no source is taken more than twice
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * size // FILE_BYTES)
+    return mixed.repartitionByRange(files, "epoch", "order_key").sortWithinPartitions("epoch", "order_key").select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document row, in the order that mixing gave: its token ids, and digests of them and of the bytes that they decode to.
+    """One row per document row, in each file's order: its token ids, and digests of them and of the bytes that they decode to.
 
     Null and empty texts have no ids; repeated rows have equal ones.
     """
