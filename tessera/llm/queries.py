@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, licenses, lm, mixing, quality, secrets, suffixes, telephony, toxicity
+from . import bpe, jaccard, lexical, licenses, lm, mixing, negatives, quality, secrets, suffixes, telephony, toxicity, warc
 from .common import table, written
 
 
@@ -64,6 +64,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    noisy = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine_negatives(noisy, "vec_id", "embedding", "label", anchors=F.col("id") % 100 == 0)
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_texts(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", k=20)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = written(warc.write_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html", min_bytes=0), "warc")
+    records = warc.read_archives(archives, payloads=False).where("record_type != 'warcinfo'")
+    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def _sql_text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -114,9 +130,38 @@ SELECT doc_id, source, n AS n_tokens, round(weight, 6) AS weight, epoch, block,
 """
 
 
+_NEGATIVES_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER o)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER o <= 10
+"""
+
+_SEARCH_SQL = rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{lexical.UPPER}', '{lexical.UPPER.lower()}'), '{lexical.TERM}')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM lengths), d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, '{lexical.UPPER}', '{lexical.UPPER.lower()}'), '{lexical.TERM}')) AS term FROM benchmark),
+w AS (SELECT item_id, term, (count(*) * any_value(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))))::BIGINT AS w FROM q JOIN d USING (term), corpus GROUP BY ALL),
+i AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)) AS impact FROM p JOIN lengths USING (doc_id), corpus),
+s AS (SELECT item_id, doc_id, sum(w * impact)::BIGINT AS score FROM w JOIN i USING (term) GROUP BY ALL)
+SELECT item_id, (row_number() OVER o)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 20
+"""
+
+#: Base 32 of a SHA-1, five hexadecimal digits by five.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {5 * k + 1}, 5))::BIGINT >> {s}) & 31), 1)" for k in range(8) for s in (15, 10, 5, 0))
+_WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
 def queries() -> dict:
-    return {"op1_telephony": op1_telephony, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_ngram_join": op5_ngram_join, "op6_bpe": op6_bpe, "op7_lm": op7_lm, "op8_secrets": op8_secrets, "op9_repeats": op9_repeats, "op10_licenses": op10_licenses}
+    return {"op1_telephony": op1_telephony, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_ngram_join": op5_ngram_join, "op6_bpe": op6_bpe, "op7_lm": op7_lm, "op8_secrets": op8_secrets, "op9_repeats": op9_repeats, "op10_licenses": op10_licenses, "op11_negatives": op11_negatives, "op12_search": op12_search, "op13_warc": op13_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": _MIXING_SQL, "op10_licenses": _licenses_sql()}
+    return {"op2_mixing": _MIXING_SQL, "op10_licenses": _licenses_sql(), "op11_negatives": _NEGATIVES_SQL, "op12_search": _SEARCH_SQL, "op13_warc": _WARC_SQL}
