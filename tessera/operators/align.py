@@ -1,122 +1,248 @@
-"""Alignment of reference tokens with recognised words, one dynamic programme for each page."""
+"""Alignment of reference tokens with recognised words, one dynamic programme for each page, in bounded memory.
+
+Distinct words are compared once, all pairs of them at a time as arrays. The programme is filled by anti-diagonals, of which two are
+kept. A large page is filled twice: first only the state before each strip of diagonals is kept, then, from the last strip back, the
+moves of one strip at a time are filled again for the way through it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 from ..functions.similarity import MISMATCH, SCORES, SOUNDS, word_similarity
 
 OPEN, EXTEND = -4, -1
 DIAGONAL, UP, LEFT = 1, 2, 3
 ALIGNMENT = "page_id string, step int, ref_idx int, trans_idx int, op string"
+#: Pairs of words that are compared at once; moves, one byte each, that are kept at once; steps of a batch of results. None changes a result.
+PAIRS, MOVES, STEPS = 1 << 18, 1 << 26, 1 << 16
 
 
-def _clean(word: str) -> str:
+def _clean(word: str | None) -> str:
     return regex.sub(r"[^\p{L}\p{N}_]", "", (word or "").lower())
 
 
-def _edits(a: str, b: str) -> float:
-    if not a and not b:
-        return 1.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return 1 - row[-1] / max(len(a), len(b))
-
-
 def _sound(word: str) -> str:
     for spelling, sound in SOUNDS:
         word = word.replace(spelling, sound)
     return word
 
 
-def similarity(a: str, b: str) -> float:
-    """functions.similarity.clean_similarity on two clean words."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    if a in b or b in a:
-        return min(len(a), len(b)) / max(len(a), len(b))
-    x, y = _sound(a), _sound(b)
-    return max(0.8 * len(set(a) & set(b)) / len(set(a) | set(b)), _edits(a, b), 1.0 if x == y else _edits(x, y))
-
-
-def _score(s: float) -> int:
-    return next((score for least, score in SCORES if s >= least), MISMATCH)
-
-
-def score_matrix(ref: list[str], trans: list[str]) -> np.ndarray:
-    """Scores of all pairs; each distinct pair is compared once."""
-    a, b = [_clean(x) for x in ref], [_clean(x) for x in trans]
-    rows, columns = {w: k for k, w in enumerate(dict.fromkeys(a))}, {w: k for k, w in enumerate(dict.fromkeys(b))}
-    table = np.array([[_score(similarity(x, y)) for y in columns] for x in rows], np.int32)
-    return table[np.ix_([rows[x] for x in a], [columns[y] for y in b])]
-
-
-def trace(scores: np.ndarray) -> np.ndarray:
-    """The move into each cell, filled by anti-diagonals.
+class Words:
+    """Words as arrays: lengths, code points (padded), and the sets of their characters as bits."""
+
+    def __init__(self, words: list[str], bit: dict[str, int] | None = None):
+        self.words, self.lengths = words, np.array([len(w) for w in words], np.int32)
+        self.codes = np.zeros((len(words), max(self.lengths, default=0)), np.int32)
+        for k, w in enumerate(words):
+            self.codes[k, : len(w)] = np.frombuffer(w.encode("utf-32-le"), np.int32)
+        if bit is not None:
+            self.sets = np.zeros((len(words), len(bit) // 64 + 1), np.uint64)
+            for k, w in enumerate(words):
+                for c in set(w):
+                    self.sets[k, bit[c] // 64] |= np.uint64(1 << bit[c] % 64)
+
+
+def edit_distances(a: Words, b: Words, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Edit distance of each pair a[i], b[j], cell by cell of all pairs at once."""
+    la, lb = a.lengths[i], b.lengths[j]
+    kind = np.uint8 if max(la.max(initial=0), lb.max(initial=0)) < 250 else np.int32
+    x, y = np.ascontiguousarray(a.codes[i].T[: la.max(initial=0)]), np.ascontiguousarray(b.codes[j].T[: lb.max(initial=0)])
+    row = np.repeat(np.arange(len(y) + 1, dtype=kind)[:, None], len(i), 1)
+    out = lb.astype(np.int32)
+    for k in range(len(x)):
+        before, row[0] = row[0].copy(), k + 1
+        for n in range(1, len(y) + 1):
+            best = before + (x[k] != y[n - 1])
+            before = row[n].copy()
+            np.minimum(best, np.minimum(row[n], row[n - 1]) + kind(1), out=row[n])
+        done = np.flatnonzero(la == k + 1)
+        out[done] = row[lb[done], done]
+    return out
+
+
+def pair_scores(left: list[str], right: list[str]) -> np.ndarray:
+    """pair_score(clean_similarity(x, y)) of all pairs of clean words, a byte each."""
+    bit = {c: k for k, c in enumerate(sorted({c for w in (*left, *right) for c in w}))}
+    a, b = Words(left, bit), Words(right, bit)
+    heard_a, heard_b = Words([_sound(w) for w in left]), Words([_sound(w) for w in right])
+    out = np.full((len(left), len(right)), MISMATCH, np.int8)
+    least = SCORES[-1][0]
+    for at in range(0, len(left), step := max(1, PAIRS // max(1, len(right)))):
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + step, len(left))), np.arange(len(right)), indexing="ij"))
+        la, lb = a.lengths[i], b.lengths[j]
+        longest = np.maximum(la, lb)
+        full = (la > 0) & (lb > 0)
+        shared, either = (np.bitwise_count(f(a.sets[i], b.sets[j])).sum(1) for f in (np.bitwise_and, np.bitwise_or))
+        best = np.where(full, 0.8 * shared / np.maximum(either, 1), 0.0)
+        for p, q in ((a, b), (heard_a, heard_b)):
+            lp, lq = p.lengths[i], q.lengths[j]
+            most = np.maximum(lp, lq)
+            # more letters too many than may be wrong: no edits reach the least score
+            near = np.flatnonzero(full & (np.abs(lp - lq) <= (1 - least) * most + 1e-9))
+            edits = edit_distances(p, q, i[near], j[near])
+            best[near] = np.maximum(best[near], np.where(most[near] > 0, 1 - edits / np.maximum(most[near], 1), 1.0))
+        # where one word holds the other, the share of lengths counts, whatever else they have in common
+        for k in np.flatnonzero(full & (best >= least) & (shared == np.minimum(np.bitwise_count(a.sets[i]).sum(1), np.bitwise_count(b.sets[j]).sum(1)))):
+            x, y = left[i[k]], right[j[k]]
+            if x in y or y in x:
+                best[k] = min(la[k], lb[k]) / longest[k]
+        score = np.full(len(i), MISMATCH, np.int8)
+        for level, points in reversed(SCORES):
+            score[best >= level] = points
+        out[i, j] = score
+    return out
+
+
+class Scores:
+    """Scores of all pairs of tokens and words; each distinct pair is held once."""
+
+    def __init__(self, ref: list[str], trans: list[str]):
+        a, b = [_clean(x) for x in ref], [_clean(x) for x in trans]
+        rows, columns = {w: k for k, w in enumerate(dict.fromkeys(a))}, {w: k for k, w in enumerate(dict.fromkeys(b))}
+        self.table = pair_scores(list(rows), list(columns)).ravel()
+        self.rows, self.columns = np.array([rows[x] for x in a], np.int64) * len(columns), np.array([columns[y] for y in b], np.int64)
+
+    def at(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.table[self.rows[i] + self.columns[j]].astype(np.int32)
+
+
+class Diagonals:
+    """The last two anti-diagonals of the programme; cells are held by their row i.
 
     A gap costs OPEN, or EXTEND where the cell it comes from was itself entered by the same gap; ties go to the diagonal, then up.
     """
-    m, n = scores.shape
-    best = np.zeros((m + 1, n + 1), np.int32)
-    move = np.zeros((m + 1, n + 1), np.int8)
-    best[1:, 0], best[0, 1:] = OPEN + EXTEND * np.arange(m), OPEN + EXTEND * np.arange(n)
-    move[1:, 0], move[0, 1:] = UP, LEFT
-    for d in range(2, m + n + 1):
-        i = np.arange(max(1, d - n), min(m, d - 1) + 1)
-        j = d - i
-        diagonal = best[i - 1, j - 1] + scores[i - 1, j - 1]
-        up = best[i - 1, j] + np.where(move[i - 1, j] == UP, EXTEND, OPEN)
-        left = best[i, j - 1] + np.where(move[i, j - 1] == LEFT, EXTEND, OPEN)
-        top = np.maximum(np.maximum(diagonal, up), left)
-        best[i, j] = top
-        move[i, j] = np.where(top == diagonal, DIAGONAL, np.where(top == up, UP, LEFT))
-    return move
+
+    def __init__(self, m: int, n: int, scores: Scores):
+        self.m, self.n, self.scores, self.d = m, n, scores, 0
+        self.best, self.move = np.zeros((2, m + 1), np.int32), np.zeros((2, m + 1), np.int8)
+
+    def copy(self) -> Diagonals:
+        out = Diagonals(self.m, self.n, self.scores)
+        out.d, out.best, out.move = self.d, self.best.copy(), self.move.copy()
+        return out
+
+    def advance(self) -> np.ndarray:
+        """Fills the next diagonal; its moves by row."""
+        self.d += 1
+        d, m, n = self.d, self.m, self.n
+        (last, held), (moves, _) = self.best, self.move
+        best, move = held, self.move[1]  # the older diagonal is replaced in place, from copies of what is read
+        low, high = max(1, d - n), min(m, d - 1)
+        if low <= high:
+            i = np.arange(low, high + 1)
+            diagonal = held[low - 1 : high] + self.scores.at(i - 1, d - i - 1)
+            up = last[low - 1 : high] + np.where(moves[low - 1 : high] == UP, EXTEND, OPEN)
+            left = last[low : high + 1] + np.where(moves[low : high + 1] == LEFT, EXTEND, OPEN)
+            top = np.maximum(np.maximum(diagonal, up), left)
+            best[low : high + 1] = top
+            move[low : high + 1] = np.where(top == diagonal, DIAGONAL, np.where(top == up, UP, LEFT))
+        if d <= n:
+            best[0], move[0] = OPEN + EXTEND * (d - 1), LEFT
+        if d <= m:
+            best[d], move[d] = OPEN + EXTEND * (d - 1), UP
+        self.best, self.move = self.best[::-1], self.move[::-1]
+        return self.move[0]
+
+
+def moves_back(m: int, n: int, scores: Scores) -> Iterator[int]:
+    """The moves of the best alignment, from its last."""
+    strip = max(2, MOVES // (m + 1))
+    fill, starts = Diagonals(m, n, scores), []
+    while fill.d + strip < m + n:
+        starts.append(fill.copy())
+        for _ in range(strip):
+            fill.advance()
+    starts.append(fill)
+    i, j = m, n
+    for at in reversed(starts):
+        first = at.d
+        kept = np.empty((min(strip, m + n - first), m + 1), np.int8)
+        for k in range(len(kept)):
+            kept[k] = at.advance()
+        while i + j > first:
+            move = kept[i + j - first - 1, i]
+            yield int(move)
+            i, j = i - (move != LEFT), j - (move != UP)
+
+
+def alignment(ref: list[str], trans: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each step the place in ref and in trans, -1 where it has none."""
+    m, n = len(ref), len(trans)
+    if not m or not n:
+        return np.concatenate([np.arange(m), np.full(n, -1)]), np.concatenate([np.full(m, -1), np.arange(n)])
+    moves = np.fromiter(moves_back(m, n, Scores(ref, trans)), np.int8)[::-1]
+    i, j = moves != LEFT, moves != UP
+    return np.where(i, np.cumsum(i) - 1, -1), np.where(j, np.cumsum(j) - 1, -1)
 
 
 def align_words(ref: list[str], trans: list[str]) -> list[tuple[int | None, int | None, str]]:
     """(ref_idx, trans_idx, op) in order: match, deletion (not recognised) or insertion (not in the reference)."""
-    if not ref or not trans:
-        return [(i, None, "deletion") for i in range(len(ref))] + [(None, j, "insertion") for j in range(len(trans))]
-    move, out, i, j = trace(score_matrix(ref, trans)), [], len(ref), len(trans)
-    while i or j:
-        if i and j and move[i, j] == DIAGONAL:
-            i, j = i - 1, j - 1
-            out.append((i, j, "match"))
-        elif i and (not j or move[i, j] == UP):
-            i -= 1
-            out.append((i, None, "deletion"))
-        else:
-            j -= 1
-            out.append((None, j, "insertion"))
-    return out[::-1]
+    steps = zip(*(x.tolist() for x in alignment(ref, trans)), strict=True)
+    return [(i, j, "match") if i >= 0 <= j else (i, None, "deletion") if j < 0 else (None, j, "insertion") for i, j in steps]
 
 
 def align(ref_tokens: DataFrame, words: DataFrame) -> DataFrame:
     """(page_id, step, ref_idx, trans_idx, op) of every page of either table.
 
-    ref_tokens: (page_id, ref_idx, token); words: (page_id, word_idx, word). A page's matrix of
-    tokens times words (one byte and four for a cell) must fit one task.
+    ref_tokens: (page_id, ref_idx, token); words: (page_id, word_idx, word). A page's words must fit one task, and so must a
+    byte for each pair of distinct ones; beside these a task holds MOVES bytes and a few diagonals.
     """
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("ref_idx"), right.sort_values("word_idx")
-        ref, trans = left["ref_idx"].tolist(), right["word_idx"].tolist()
-        steps = align_words(left["token"].tolist(), right["word"].tolist())
-        rows = [(str(key[0]), k, None if i is None else ref[i], None if j is None else trans[j], op) for k, (i, j, op) in enumerate(steps)]
-        return pd.DataFrame(rows, columns=["page_id", "step", "ref_idx", "trans_idx", "op"]).astype({"ref_idx": "Int32", "trans_idx": "Int32"})
-
-    left = ref_tokens.select(F.col("page_id").cast("string"), "ref_idx", "token")
-    right = words.select(F.col("page_id").cast("string"), "word_idx", "word")
-    return left.groupBy("page_id").cogroup(right.groupBy("page_id")).applyInPandas(run, ALIGNMENT)
+    side = lambda df, idx, word, name: df.groupBy(F.col("page_id").cast("string").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).cast("int").alias("idx"), F.col(word).alias("word")))).alias(name))
+    both = side(ref_tokens, "ref_idx", "token", "ref").join(side(words, "word_idx", "word", "heard"), "page_id", "full_outer")
+    names = np.array(["match", "deletion", "insertion"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, out = 0, []
+            for k in range(batch.num_rows):
+                ref, heard = (batch[c][k].as_py() or [] for c in ("ref", "heard"))
+                i, j = alignment([x["word"] for x in ref], [x["word"] for x in heard])
+                own = [np.append([x["idx"] for x in side], -1).astype(np.int32)[at] for side, at in ((ref, i), (heard, j))]
+                out.append((np.full(len(i), batch["page_id"][k].as_py(), object), np.arange(len(i)), *own, i < 0, j < 0))
+                held += len(i)
+                if held >= STEPS or k == batch.num_rows - 1:
+                    page, step, a, b, no_ref, no_word = (np.concatenate(x) for x in zip(*out, strict=True))
+                    op = names[np.where(no_ref, 2, np.where(no_word, 1, 0))]
+                    yield pa.RecordBatch.from_arrays([pa.array(page, pa.string()), pa.array(step, pa.int32()), pa.array(a, pa.int32(), mask=no_ref), pa.array(b, pa.int32(), mask=no_word), pa.array(op, pa.string())], ["page_id", "step", "ref_idx", "trans_idx", "op"])
+                    held, out = 0, []
+
+    return both.mapInArrow(run, ALIGNMENT)
+
+
+class AlignWords:
+    """align() as a table function: rows (page_id, side, idx, word) of one page, side "ref" or "heard", become steps."""
+
+    def __init__(self) -> None:
+        self.page, self.sides = None, {"ref": [], "heard": []}
+
+    def eval(self, row: Row) -> None:
+        self.page = row["page_id"]
+        self.sides[row["side"]].append((row["idx"], row["word"]))
+
+    def terminate(self) -> Iterator[tuple]:
+        ref, heard = (sorted(self.sides[x], key=lambda r: r[0]) for x in ("ref", "heard"))
+        for k, (i, j, op) in enumerate(align_words([w for _, w in ref], [w for _, w in heard])):
+            yield self.page, k, None if i is None else ref[i][0], None if j is None else heard[j][0], op
+
+
+def register_align(spark: SparkSession, name: str = "align_words") -> UserDefinedTableFunction:
+    """Makes the table function known to SQL: SELECT * FROM align_words(TABLE(sides) PARTITION BY page_id)."""
+    made = F.udtf(AlignWords, returnType=ALIGNMENT)
+    return spark.udtf.register(name, made)
+
+
+def sides(ref_tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """Both tables of align() as rows of the table function."""
+    page = F.col("page_id").cast("string").alias("page_id")
+    return ref_tokens.select(page, F.lit("ref").alias("side"), F.col("ref_idx").cast("int").alias("idx"), F.col("token").alias("word")).unionByName(words.select(page, F.lit("heard").alias("side"), F.col("word_idx").cast("int").alias("idx"), "word"))
 
 
 def aligned_words(alignment: DataFrame, ref_tokens: DataFrame, words: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Operators on neighbours within a page: windows where a row reads its neighbours, folds where it changes them.
+"""Operators on neighbours within a page: windows where a row reads its neighbours, scans where it changes them.
 
 Tables have (page_id, word_idx, word, start, end, confidence); times are seconds. Rows of a page
 are dealt to one task by page; windows and folds of one table share that exchange.
@@ -6,12 +6,11 @@ are dealt to one task by page; windows and folds of one table share that exchang
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import let, scan, two_state
+
 PAGE, IDX = "page_id", "word_idx"
 #: Confidence of interpolated words.
 INTERPOLATED = 0.3
@@ -59,83 +58,65 @@ def runs(words: DataFrame, flag: Column) -> DataFrame:
     return words.withColumn("run_id", F.when(flag, breaks))
 
 
-def _fold(words: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """A fold over each page's rows in order; a page must fit one task."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        return step(page.sort_values(IDX, kind="stable").reset_index(drop=True))
-
-    return words.groupBy(PAGE).applyInPandas(run, words.schema)
-
-
 def repair_overlaps(words: DataFrame, least_gap: float = 0.01, keep: float = 0.15) -> DataFrame:
-    """From a page's last word back: a word too close to the one before starts later, or if it would get too short, ends the one before."""
-
-    def step(page: pd.DataFrame) -> pd.DataFrame:
-        start, end = page["start"].tolist(), page["end"].tolist()
-        for i in range(len(start) - 1, 0, -1):
-            gap = start[i] - end[i - 1]
-            if gap < least_gap:
-                need = least_gap - gap
-                if (end[i] - start[i]) - need >= keep:
-                    start[i] += need
-                else:
-                    end[i - 1] = start[i] - least_gap
-        return page.assign(start=start, end=end)
+    """From a page's last word back: a word too close to the one before starts later, or if it would get too short, ends the one before.
 
-    return _fold(words, step)
+    Whether a word's end was moved is all that a step hands on; it is found by windows.
+    """
+    back = Window.partitionBy(PAGE).orderBy(F.col(IDX).desc())
+    start, end, least = F.col("start"), F.col("end"), F.lit(least_gap)
+    need = least - (start - F.lead("end").over(back))
+    moved_end = F.lag("start").over(back) - least
+    tight = start - F.lead("end").over(back) < least_gap
+    fits = lambda own: (own - start) - need >= keep
+    out = two_state(words, back, tight & ~fits(end), tight & ~fits(moved_end), "_moved", "_moves")
+    out = out.withColumn("_end", F.when(F.col("_moved"), moved_end).otherwise(end)).withColumn("_start", F.when(tight & fits(F.col("_end")), start + need).otherwise(start))
+    return out.withColumns({"start": F.col("_start"), "end": F.col("_end")}).select(*words.columns)
 
 
 def fill_midpoints(words: DataFrame, keep: float = 0.15) -> DataFrame:
-    """Where `fill` holds after a word, it and the next meet in the middle of their gap, if both keep enough length."""
-
-    def step(page: pd.DataFrame) -> pd.DataFrame:
-        start, end, fill = page["start"].tolist(), page["end"].tolist(), page["fill"].fillna(False).tolist()
-        for k in range(len(start) - 1):
-            middle = (end[k] + start[k + 1]) / 2
-            if fill[k] and middle - start[k] >= keep and end[k + 1] - middle >= keep:
-                end[k] = start[k + 1] = middle
-        return page.assign(start=start, end=end)
+    """Where `fill` holds after a word, it and the next meet in the middle of their gap, if both keep enough length.
 
-    return _fold(words, step)
+    Whether a word's start was moved is all that a step hands on; it is found by windows.
+    """
+    w = in_page()
+    start, end = F.col("start"), F.col("end")
+    middle, moved_start = (end + F.lead("start").over(w)) / 2, (F.lag("end").over(w) + start) / 2
+    fits = lambda own: F.col("fill") & (middle - own >= keep) & (F.lead("end").over(w) - middle >= keep)
+    out = two_state(words, w, fits(start), fits(moved_start), "_moved", "_moves")
+    out = out.withColumn("_end", F.when(F.col("_moves"), middle).otherwise(end)).withColumn("_start", F.when(F.col("_moved"), moved_start).otherwise(start))
+    return out.withColumns({"start": F.col("_start"), "end": F.col("_end")}).select(*words.columns)
 
 
 def interpolate(words: DataFrame, keep: float = 0.15, guess: float = 0.3) -> DataFrame:
     """Times of runs of missing words, by syllables. Needs columns missing, syllables and duration.
 
     Each missing word is given its part of what the run has left, and the rest of the run is dealt
-    anew from its end, so lengths fall and the last word takes what remains.
+    anew from its end, so lengths fall and the last word takes what remains. Runs that no word with an
+    end stands between follow each other; a scan goes over the missing words of one such chain.
     """
-
-    def step(page: pd.DataFrame) -> pd.DataFrame:
-        start, end = page["start"].tolist(), page["end"].tolist()
-        missing, weight = page["missing"].tolist(), page["syllables"].tolist()
-        n, last_end, k = len(start), 0.0, 0
-        total = float(page["duration"].iloc[0]) if n else 0.0
-        while k < n:
-            if not missing[k]:
-                last_end = end[k] if end[k] > 0 else last_end
-                k += 1
-                continue
-            stop = k
-            while stop < n and missing[stop]:
-                stop += 1
-            after = next((start[j] for j in range(stop, n) if not missing[j] and start[j] > 0), total)
-            left, at, rate = sum(weight[k:stop]), last_end, 0.0
-            for j in range(k, stop):
-                if j == k:
-                    room = after - at if after - at > 0 else guess * (stop - k)
-                elif j == stop - 1:
-                    room = after - at if after - at > 0 else guess
-                else:
-                    # what the deal before left free up to the next word of the run
-                    room = max(keep, weight[j] * rate)
-                rate = room / left
-                length = max(keep, weight[j] * rate)
-                start[j], end[j], at = at, at + length, at + length
-                left -= weight[j]
-            last_end, k = at, stop
-        out = page.assign(start=start, end=end)
-        return out.assign(confidence=page["confidence"].where(~page["missing"], INTERPOLATED)) if "confidence" in page else out
-
-    return _fold(words, step)
+    w = in_page()
+    told, before, after = ~F.coalesce("missing", F.lit(False)), w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    ends = F.when(told & (F.col("end") > 0), F.col("end"))
+    rows = words.withColumn("_run", F.sum(F.when(told, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumns({
+        "_chain": F.coalesce(F.count(ends).over(before), F.lit(0)), "_from": F.coalesce(F.last(ends, ignorenulls=True).over(before), F.lit(0.0)),
+        "_until": F.coalesce(F.first(F.when(told & (F.col("start") > 0), F.col("start")), ignorenulls=True).over(after), F.first("duration").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("double")),
+    })
+    gone = rows.where("missing")
+    run = Window.partitionBy(PAGE, "_run").orderBy(IDX)
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gone = gone.withColumns({"_k": F.row_number().over(run), "_n": F.count("*").over(whole), "_left": F.sum("syllables").over(run.rowsBetween(0, Window.unboundedFollowing)).cast("double")})
+    item = F.struct(IDX, F.struct(*words.columns).alias("row"), F.col("syllables").cast("double").alias("weight"), "_k", "_n", "_left", "_until")
+    chains = gone.groupBy(PAGE, "_chain", "_from").agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a[IDX] < b[IDX], -1).when(a[IDX] > b[IDX], 1).otherwise(0)).alias("items"))
+
+    def step(s: Column, x: Column) -> Column:
+        free = x["_until"] - s["end"]
+        # what the deal before left free up to the next word of the run
+        room = F.when(x["_k"] == 1, F.when(free > 0, free).otherwise(guess * x["_n"])).when(x["_k"] == x["_n"], F.when(free > 0, free).otherwise(guess)).otherwise(F.greatest(F.lit(keep), x["weight"] * s["rate"]))
+        return let(room / x["_left"], lambda rate: F.struct(s["end"].alias("start"), (s["end"] + F.greatest(F.lit(keep), x["weight"] * rate)).alias("end"), rate.alias("rate")))
+
+    zero = F.struct(F.lit(0.0).alias("start"), F.col("_from").alias("end"), F.lit(0.0).alias("rate"))
+    each = chains.select(F.explode(F.arrays_zip(F.col("items"), scan(F.col("items"), zero, step).alias("times"))).alias("x"))
+    fixed = {"start": F.col("x.times.start"), "end": F.col("x.times.end")} | ({"confidence": F.lit(INTERPOLATED)} if "confidence" in words.columns else {})
+    filled = each.select(*(fixed.get(c, F.col("x.items.row")[c]).alias(c) for c in words.columns))
+    return words.where(told).unionByName(filled)

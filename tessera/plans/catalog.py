@@ -438,7 +438,7 @@ def word_similarity(spark, sf_dir):
     return pairs.withColumn("s", s).select("a", "b", r6("s").alias("similarity"), similarity.pair_score(F.col("s")).alias("score"))
 
 
-def _turns(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def turns(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Each turn of a conversation as a reference page `conversation/turn`; what was heard are its words without some, others changed."""
     conv = I.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     ref = conv.select(F.concat_ws("/", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit(""))).alias("page_id"), F.posexplode(text.tokens(F.col("text"))).alias("ref_idx", "token"))
@@ -448,17 +448,17 @@ def _turns(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def align_turns(spark, sf_dir):
-    return align.align(*_turns(spark, sf_dir))
+    return align.align(*turns(spark, sf_dir))
 
 
 @query()
 def align_stats(spark, sf_dir):
-    return align.alignment_counts(align.align(*_turns(spark, sf_dir)))
+    return align.alignment_counts(align.align(*turns(spark, sf_dir)))
 
 
 @query()
 def aligned_words(spark, sf_dir):
-    ref, heard = _turns(spark, sf_dir)
+    ref, heard = turns(spark, sf_dir)
     return align.flag_uncertain(align.aligned_words(align.align(ref, heard), ref, heard)).select("page_id", "word_idx", "word", r6("start").alias("start"), r6("end").alias("end"), r6("confidence").alias("confidence"), "op", r6("similarity").alias("similarity"), "status")
 
 
@@ -524,7 +524,10 @@ def word_changes(spark, sf_dir):
     return playback.word_changes(*_ticks(spark, sf_dir)).select("page_id", r6("t").alias("t"), "word_idx", "before")
 
 
-@query()
+@query(f"{SPOKEN}, v AS (SELECT *, coalesce(lag(word_idx) OVER (PARTITION BY page_id ORDER BY t), -1) AS b FROM spoken), c AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY page_id ORDER BY t), -1) AS o FROM v WHERE word_idx <> b), "
+       "x AS (SELECT page_id, t, 'read' AS action, greatest(b, o) + 1 AS f, word_idx - 1 AS u FROM c WHERE word_idx >= 0 AND greatest(b, o) >= 0 AND word_idx > greatest(b, o) + 1 UNION ALL SELECT page_id, t, 'read', b, b FROM c WHERE b >= 0 "
+       "UNION ALL SELECT page_id, t, 'active', word_idx, word_idx FROM c WHERE word_idx >= 0 UNION ALL SELECT page_id, t, 'clear', word_idx + 1, b FROM c WHERE word_idx >= 0 AND word_idx < b) "
+       "SELECT page_id::VARCHAR AS session_id, t, action, f::INTEGER AS from_idx, u::INTEGER AS to_idx FROM x")
 def highlight_states(spark, sf_dir):
     return playback.highlight(*_ticks(spark, sf_dir))
 
@@ -700,14 +703,17 @@ def index_page(spark, sf_dir):
 @query()
 def sync(spark, sf_dir):
     """All stages on conversations: alignment, interpolation, repairs, gaps, minimum lengths, issues, quality."""
-    ref, heard = _turns(spark, sf_dir)
+    ref, heard = turns(spark, sf_dir)
     lines = ref.select("page_id", "ref_idx", "token", (F.col("ref_idx") % 8 == 7).alias("is_line_end"), (F.col("ref_idx") < 2).alias("is_title"))
     return sync_tables(lines, heard, ref.groupBy("page_id").agg((F.count("*") * 0.4 + 1).alias("duration")))["quality"]
 
 
 def queries() -> dict:
+    from . import turns  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    queries()
     return dict(SQL)
