@@ -685,14 +685,6 @@ def citations(spark, sf_dir):
     return docs.select("doc_id", "line_no", citation_html(cited).alias("html"))
 
 
-@query()
-def html_pages(spark, sf_dir):
-    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    words = joins.transfer_line_breaks(I.token_words(spark, sf_dir), _ref_tokens(spark, sf_dir))
-    head = docs.select("page_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("full_text"), F.concat(F.lit("livro"), F.col("page_id") % 9, F.lit(".mp3")).alias("audio_file"), F.lit(60.0).alias("duration"), F.lit(None).cast("string").alias("citation"))
-    return sinks.html_pages(words, head)
-
-
 @query(f"{QUALITY} SELECT q.page_id, 'Doc ' || q.page_id AS title, '1:05' AS duration, word_count, round_even(round(av * 100, 6), 0)::INTEGER AS confidence, q.page_id || '/index.html' AS url FROM q")
 def index_page(spark, sf_dir):
     q = _quality(spark, sf_dir)
@@ -709,7 +701,7 @@ def sync(spark, sf_dir):
 
 
 def queries() -> dict:
-    from . import turns  # noqa: F401  registers its own
+    from . import rendering, turns  # noqa: F401  they register their own
 
     return dict(QUERIES)
 

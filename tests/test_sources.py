@@ -74,7 +74,7 @@ def test_result_round_trip(spark, words, tmp_path):
     back = pages.words_of(pages.results(spark, str(tmp_path / "p" / "timestamps.json"))).orderBy("word_idx").collect()
     assert [(r.page_id, r.word, r.end, r.line_break_after, r.is_title) for r in back] == [("p", "a", 1.235, False, False), ("p", "b", 3.0, True, False)]
     head = spark.createDataFrame([("p", "T<", "t\nx", "livro4.mp3", 65.0, None)], "page_id string, title string, full_text string, audio_file string, duration double, citation string")
-    page = sinks.html_pages(df, head).first().html
+    page = sinks.html_pages(sinks.page_context(df, head)).first().html
     assert "T&lt;" in page and "book-4" in page and "1:05" in page and 'data-end="1.235">a </span>' in page and "b </span><br></div>" in page
     uri = spark.range(1).select(sinks.data_uri(F.lit("audio/wav"), F.lit(b"abc")).alias("u")).first().u
     assert uri == "data:audio/wav;base64,YWJj"
@@ -94,14 +94,3 @@ def test_sync(spark):
     assert w[4].line_break_after and w[1].is_title and out["quality"].first().word_count == 5
     assert schemas.RESULT
     assert pytest
-
-
-def test_site(spark, words, tmp_path):
-    from pyspark.sql import functions as F
-
-    df = words({"p": [("a", 0, 1)], "q": [("b", 0, 1)]}).withColumn("line_break_after", F.lit(False))
-    head = spark.createDataFrame([(p, "T", "T", "livro3.mp3", 2.0, None) for p in "pq"], "page_id string, title string, full_text string, audio_file string, duration double, citation string")
-    sinks.build_site(df, head, head.select("page_id", "title"), str(tmp_path))
-    assert spark.read.text(str(tmp_path / "html")).count() == 2 and spark.read.json(str(tmp_path / "index")).count() == 2
-    sinks.copy_assets(spark.createDataFrame([("p", "audio.mp3", b"x")], "page_id string, name string, content binary"), str(tmp_path))
-    assert bytes(spark.read.parquet(str(tmp_path / "assets")).first().content) == b"x"
