@@ -206,6 +206,7 @@ def rank_texts(docs: DataFrame, key: str, text: str, items: DataFrame, item: str
                         out[2].append(score)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], b["queries"].type.value_type.field("item").type), b["docs"][r].values.take(pa.array(out[1], pa.int64())), pa.array(out[2], pa.int64())], ["item", "doc", "score"])
 
-    found = blocks.join(to_each, "shard").select("docs", "data", "queries").mapInArrow(search, f"item {item_kind}, doc {kind}, score long")
+    # not broadcast: what each shard gets grows with the shards
+    found = blocks.join(to_each.hint("merge"), "shard").select("docs", "data", "queries").mapInArrow(search, f"item {item_kind}, doc {kind}, score long")
     rank = F.row_number().over(W.Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc").asc_nulls_last()))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("item").alias("item_id"), F.col("rank").cast("int").alias("rank"), F.col("doc").alias("doc_id"), "score")
