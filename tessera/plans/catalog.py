@@ -446,22 +446,6 @@ def turns(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return ref, heard
 
 
-@query()
-def align_turns(spark, sf_dir):
-    return align.align(*turns(spark, sf_dir))
-
-
-@query()
-def align_stats(spark, sf_dir):
-    return align.alignment_counts(align.align(*turns(spark, sf_dir)))
-
-
-@query()
-def aligned_words(spark, sf_dir):
-    ref, heard = turns(spark, sf_dir)
-    return align.flag_uncertain(align.aligned_words(align.align(ref, heard), ref, heard)).select("page_id", "word_idx", "word", r6("start").alias("start"), r6("end").alias("end"), r6("confidence").alias("confidence"), "op", r6("similarity").alias("similarity"), "status")
-
-
 QUALITY = f"""{TOK}, {I.PROSODY_SQL}, {I.NO_ADVICE_SQL}, {I.CLASSIFY_SQL}, k AS (SELECT DISTINCT p.page_id, p.gap_index FROM prosody p JOIN classified c ON p.page_id = c.page_id AND c.action = 'keep' AND floor(c.gap_start / 0.1)::BIGINT BETWEEN floor(p.gap_start / 0.1)::BIGINT - 1 AND floor(p.gap_start / 0.1)::BIGINT + 1 AND abs(c.gap_start - p.gap_start) < 0.1 WHERE p.recommendation = 'keep'),
 sc AS (SELECT p.page_id, count(k.gap_index)::DOUBLE / count(*) AS score FROM prosody p LEFT JOIN k USING (page_id, gap_index) GROUP BY p.page_id), g AS (SELECT page_id, count(*) FILTER (action = 'keep') AS kp, count(*) FILTER (action = 'fill') AS fl, count(*) FILTER (action = 'review') AS rv FROM classified GROUP BY page_id),
 q AS (SELECT w.page_id, count(*) AS word_count, avg(confidence) AS av, any_value(coalesce(kp, 0)) AS gaps_preserved, any_value(coalesce(fl, 0)) AS gaps_filled, any_value(coalesce(rv, 0)) AS gaps_review, count(*) FILTER (confidence < 0.8) AS low, any_value(coalesce(score, 0)) AS score, least(50, 0.1::DOUBLE * avg((e - s) * 1000::DOUBLE)) AS tp FROM words w LEFT JOIN g USING (page_id) LEFT JOIN sc USING (page_id) GROUP BY w.page_id)"""

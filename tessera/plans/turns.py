@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.similarity import MISMATCH, SCORES, SOUNDS
 from ..operators import align, walks
-from . import inputs as I  # noqa: E812
-from .catalog import query, turns
+from .catalog import query, r6, turns
 
 #: Turns as pages: tokens, and the words that were heard of them.
 TURNS_SQL = r"""toks AS (SELECT coalesce(conv_id::VARCHAR, '') || '/' || coalesce(turn::VARCHAR, '') AS page_id, unnest(regexp_extract_all(text, '\S+')) AS token, (generate_subscripts(regexp_extract_all(text, '\S+'), 1) - 1)::INTEGER AS ref_idx FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL)),
@@ -48,8 +48,61 @@ def prompt_batches(spark, sf_dir) -> DataFrame:
     return walks.prompts(words, 200)
 
 
-@query()
+# letters as single bytes, as SQL's edit distance counts bytes
+_BYTES = "translate({}, 'áàâãäåæçèéêëìíîïñòóôõöùúûüß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ#')".format
+_EDITS = lambda a, b: f"CASE WHEN {a} = {b} THEN 1 ELSE 1 - levenshtein({_BYTES(a)}, {_BYTES(b)})::DOUBLE / greatest(length({a}), length({b})) END"
+
+
+def _sound_sql(word: str) -> str:
+    for spelling, sound in SOUNDS:
+        word = f"replace({word}, '{spelling}', '{sound}')"
+    return word
+
+
+#: Similarities and scores of the words of each turn, as a matrix of scores; best and move of each cell by anti-diagonals (cells by row); the way back.
+ALIGN_SQL = f"""WITH RECURSIVE {TURNS_SQL},
+r AS (SELECT page_id, ref_idx, token, {CLEAN("token")} AS c FROM toks), h AS (SELECT *, {CLEAN("word")} AS c, row_number() OVER (PARTITION BY page_id ORDER BY word_idx) AS k FROM heard),
+pairs AS (SELECT DISTINCT r.c AS a, h.c AS b FROM r JOIN h USING (page_id)), heard_pairs AS (SELECT a, b, {_sound_sql("a")} AS x, {_sound_sql("b")} AS y FROM pairs),
+alike AS MATERIALIZED (SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b))::DOUBLE / greatest(length(a), length(b))
+  ELSE greatest(0.8::DOUBLE * len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, ''))))::DOUBLE / len(list_distinct(string_split(a || b, ''))), {_EDITS("a", "b")}, {_EDITS("x", "y")}) END AS s FROM heard_pairs),
+scored AS (SELECT a, b, s, CASE {" ".join(f"WHEN s >= {least}::DOUBLE THEN {points}" for least, points in SCORES)} ELSE {MISMATCH} END AS score FROM alike),
+lines AS (SELECT r.page_id, r.ref_idx, list(score ORDER BY h.k) AS line FROM r JOIN h USING (page_id) JOIN scored ON scored.a = r.c AND scored.b = h.c GROUP BY ALL),
+page AS MATERIALIZED (SELECT page_id, count(*) AS m, any_value(len(line)) AS n, list(line ORDER BY ref_idx) AS s FROM lines GROUP BY page_id),
+walk AS (SELECT page_id, 0::BIGINT AS d, list_transform(range(0, m + 1), lambda i: 0) AS b1, list_transform(range(0, m + 1), lambda i: 0) AS v1, list_transform(range(0, m + 1), lambda i: 0) AS b2 FROM page
+  UNION ALL SELECT page_id, d, list_transform(cells, lambda x: x.b), list_transform(cells, lambda x: x.v), b1 FROM (SELECT w.page_id, w.d + 1 AS d, w.b1, list_transform(list_transform(range(0, m + 1), lambda i:
+    CASE WHEN i = 0 OR i = w.d + 1 THEN struct_pack(g := -4 - w.d::INTEGER, u := CASE WHEN i = 0 THEN -1000000 ELSE -4 - w.d::INTEGER END, l := CASE WHEN i = 0 THEN -4 - w.d::INTEGER ELSE -1000000 END, e := true)
+    WHEN i > w.d + 1 OR i < w.d + 1 - n THEN struct_pack(g := 0, u := 0, l := 0, e := false)
+    ELSE struct_pack(g := w.b2[i] + s[i][w.d + 1 - i], u := w.b1[i] + CASE WHEN w.v1[i] = 2 THEN -1 ELSE -4 END, l := w.b1[i + 1] + CASE WHEN w.v1[i + 1] = 3 THEN -1 ELSE -4 END, e := false) END),
+    lambda x: struct_pack(b := CASE WHEN x.e THEN greatest(x.u, x.l) ELSE greatest(x.g, x.u, x.l) END, v := CASE WHEN x.e THEN CASE WHEN x.u > x.l THEN 2 ELSE 3 END WHEN x.g >= x.u AND x.g >= x.l THEN 1 WHEN x.u >= x.l THEN 2 ELSE 3 END)) AS cells
+    FROM walk w JOIN page p ON p.page_id = w.page_id WHERE w.d < m + n)),
+moves AS MATERIALIZED (SELECT page_id, d, v1 FROM walk),
+back AS (SELECT page_id, 0::BIGINT AS k, m AS i, n AS j, 0 AS move FROM page
+  UNION ALL SELECT b.page_id, b.k + 1, b.i - (v1[b.i + 1] <> 3)::INTEGER, b.j - (v1[b.i + 1] <> 2)::INTEGER, v1[b.i + 1] FROM back b JOIN moves w ON w.page_id = b.page_id AND w.d = b.i + b.j WHERE b.i + b.j > 0),
+steps AS (SELECT b.page_id, (max(b.k) OVER (PARTITION BY b.page_id) - b.k)::INTEGER AS step, CASE WHEN move <> 3 THEN b.i::INTEGER END AS ref_idx, CASE WHEN move <> 2 THEN h.word_idx END::INTEGER AS trans_idx, ['match', 'deletion', 'insertion'][move] AS op
+  FROM back b LEFT JOIN h ON h.page_id = b.page_id AND h.k = b.j + 1 AND move <> 2 WHERE b.k > 0)"""
+
+
+@query(f"{ALIGN_SQL} SELECT * FROM steps")
+def align_turns(spark, sf_dir) -> DataFrame:
+    return align.align(*turns(spark, sf_dir))
+
+
+@query(f"{ALIGN_SQL} SELECT * FROM steps")
 def align_udtf(spark, sf_dir) -> DataFrame:
     """The alignment of every turn by the table function, from SQL."""
     align.register_align(spark)
     return spark.sql("SELECT * FROM align_words(TABLE(SELECT * FROM {sides}) PARTITION BY page_id)", sides=align.sides(*turns(spark, sf_dir)))
+
+
+@query(f"{ALIGN_SQL} SELECT page_id, count(*) FILTER (op = 'match') AS matched, count(*) FILTER (op = 'deletion') AS deleted, count(*) FILTER (op = 'insertion') AS inserted, count(*) AS steps FROM steps GROUP BY page_id")
+def align_stats(spark, sf_dir) -> DataFrame:
+    return align.alignment_counts(align.align(*turns(spark, sf_dir)))
+
+
+@query(f"""{ALIGN_SQL} SELECT r.page_id, r.ref_idx AS word_idx, r.token AS word, coalesce(round(h.s, 6), 0) AS start, coalesce(round(h.e, 6), 0) AS "end", round(CASE WHEN op = 'match' THEN 0.9::DOUBLE * a.s ELSE 0.3 END, 6)::DOUBLE AS confidence, op,
+  round(coalesce(CASE WHEN op = 'match' THEN a.s END, 0), 6)::DOUBLE AS similarity, CASE WHEN CASE WHEN op = 'match' THEN 0.9::DOUBLE * a.s ELSE 0.3 END < 0.6 THEN 'needs_review' ELSE 'matched' END AS status
+  FROM steps JOIN r ON r.page_id = steps.page_id AND r.ref_idx = steps.ref_idx LEFT JOIN h ON h.page_id = steps.page_id AND h.word_idx = steps.trans_idx LEFT JOIN alike a ON a.a = r.c AND a.b = h.c""")
+def aligned_words(spark, sf_dir) -> DataFrame:
+    ref, heard = turns(spark, sf_dir)
+    out = align.flag_uncertain(align.aligned_words(align.align(ref, heard), ref, heard))
+    return out.select("page_id", "word_idx", "word", *(r6(c).alias(c) for c in ("start", "end", "confidence")), "op", r6("similarity").alias("similarity"), "status")
