@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions.text import clean_token
 from .folds import let, scan
@@ -71,3 +72,27 @@ def prompts(words: DataFrame, budget: int, cost: Column | None = None) -> DataFr
     packed = pack_prompts(prompt_words(words), F.ceil(F.length("word") / 4) + 5 if cost is None else cost, budget)
     rows = F.array_sort(F.collect_list(F.struct("word_idx", line.alias("line"))))
     return packed.groupBy("page_id", "prompt").agg(F.min("word_idx").alias("first_idx"), F.max("word_idx").alias("last_idx"), F.count("*").alias("n_words"), F.sum("cost").alias("cost"), F.array_join(rows["line"], "\n").alias("text"))
+
+
+# How many rows of a page go into a prompt or a report.
+PREFIXES = {"gaps": 20, "missing words": 10, "issues": 10, "words": 50, "issues shown": 5, "low words shown": 10, "words shown": 20}
+
+
+def first_rows(rows: DataFrame, idx: str, most: int) -> DataFrame:
+    """Each page's first rows by idx, `most` of them, with their rank from 1."""
+    rank = F.row_number().over(W.Window.partitionBy("page_id").orderBy(idx))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def gap_prompt(gaps: DataFrame, most: int = PREFIXES["gaps"]) -> DataFrame:
+    """(page_id, n, text): a line for each of a page's first positive gaps, as a model is asked about them."""
+    line = F.format_string("%s | %s: %.3f-%.3f (%.0f ms)", "word_before", "word_after", "gap_start", "gap_end", "duration_ms")
+    own = first_rows(gaps.where("duration_ms > 0"), "gap_index", most)
+    rows = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
+    return own.groupBy("page_id").agg(F.count("*").alias("n"), F.array_join(rows["line"], "\n").alias("text"))
+
+
+def word_prompt(words: DataFrame, most: int = PREFIXES["words"]) -> DataFrame:
+    """(page_id, n, text): a page's first words, quoted."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit('"'), "word", F.lit('"')).alias("word"))))
+    return first_rows(words, "word_idx", most).groupBy("page_id").agg(F.count("*").alias("n"), F.array_join(rows["word"], ", ").alias("text"))

@@ -685,7 +685,7 @@ def sync(spark, sf_dir):
 
 
 def queries() -> dict:
-    from . import rendering, turns  # noqa: F401  they register their own
+    from . import answers, rendering, turns  # noqa: F401  they register their own
 
     return dict(QUERIES)
 
