@@ -118,10 +118,44 @@ RULES = [
     ("LGPL-3.0", ["lgpl3-title"]),
     ("AGPL-3.0", ["agpl3-title"]),
 ]
-# An identifier line of a source file names its licence by itself.
-for _name in dict.fromkeys(name for name, _ in RULES):
-    SENTENCES[f"spdx-{_name}"] = "spdx license identifier " + re.sub("[^a-z0-9]+", " ", _name.lower())
-    RULES.append((_name, [f"spdx-{_name}"]))
+# Further sentences that name a licence by themselves.
+SENTENCES |= {
+    "gpl2-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl3-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation",
+    "ccby-the-work": "this work is licensed under the creative commons attribution 4 0 international license",
+    "ccbysa-the-work": "this work is licensed under the creative commons attribution sharealike 4 0 international license",
+    "ccbync-the-work": "this work is licensed under the creative commons attribution noncommercial 4 0 international license",
+}
+RULES += [
+    ("GPL-2.0-only", ["gpl2-only", "gpl-hope"]),
+    ("GPL-3.0-only", ["gpl3-only", "gpl-hope"]),
+    ("GPL-2.0-only", ["gpl2-only"]),
+    ("GPL-3.0-only", ["gpl3-only"]),
+    ("CC-BY-4.0", ["ccby-the-work"]),
+    ("CC-BY-SA-4.0", ["ccbysa-the-work"]),
+    ("CC-BY-NC-4.0", ["ccbync-the-work"]),
+]
+# How notices of one line begin, and what they call a licence.
+NOTICES = ("licensed under the", "released under the", "distributed under the", "available under the", "this project is licensed under the", "this software is licensed under the", "this library is licensed under the", "this code is licensed under the", "this project is released under the", "this software is released under the", "licensed under the terms of the", "distributed under the terms of the")
+CALLED = {
+    "MIT": ("mit license", "mit licence"), "Apache-2.0": ("apache license 2 0", "apache 2 0 license", "apache license version 2 0"), "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license"),
+    "BSD-3-Clause": ("bsd 3 clause license", "3 clause bsd license", "new bsd license"), "ISC": ("isc license",), "MPL-2.0": ("mozilla public license 2 0", "mozilla public license version 2 0"), "Unlicense": ("unlicense",),
+    "GPL-3.0": ("gnu general public license v3 0", "gnu general public license version 3"), "GPL-2.0": ("gnu general public license v2 0", "gnu general public license version 2"), "BSL-1.0": ("boost software license 1 0",), "Zlib": ("zlib license",),
+}
+for _name, _names in CALLED.items():
+    for _k, _notice in enumerate(f"{x} {y}" for x in NOTICES for y in _names):
+        if _notice not in SENTENCES.values():
+            SENTENCES[f"notice-{_name}-{_k}"] = _notice
+            RULES.append((_name, [f"notice-{_name}-{_k}"]))
+# An identifier line of a source file names its licence by itself; so do expressions of two of the most common ones.
+SPDX_ONLY = ("GPL-2.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "BSD-4-Clause", "Artistic-2.0", "OFL-1.1", "EUPL-1.2", "PostgreSQL", "WTFPL", "CC-BY-NC-SA-4.0")
+SPDX_JOINED = ("MIT", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "CC0-1.0")
+SPDX_EXCEPTIONS = {"GPL-2.0-only": "Linux-syscall-note", "GPL-2.0-or-later": "Classpath-exception-2.0", "GPL-3.0-or-later": "GCC-exception-3.1", "Apache-2.0": "LLVM-exception"}
+_expressions = [*dict.fromkeys([name for name, _ in RULES] + list(SPDX_ONLY))]
+_expressions += [f"{x} {op} {y}" for op in ("OR", "AND") for x in SPDX_JOINED for y in SPDX_JOINED if x != y] + [f"{x} WITH {y}" for x, y in SPDX_EXCEPTIONS.items()]
+for _name in _expressions:
+    SENTENCES[f"spdx-{_name.replace(' ', '-')}"] = "spdx license identifier " + re.sub("[^a-z0-9]+", " ", _name.lower())
+    RULES.append((_name, [f"spdx-{_name.replace(' ', '-')}"]))
 #: Words that a star in a known sentence may stand for, at most.
 FREE_WORDS = 12
 # A text becomes lower-case words with one separator between neighbours: a blank inside a line, SOFT where a sentence may end, HARD where one must.

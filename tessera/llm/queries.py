@@ -85,13 +85,9 @@ def _sql_text(x: str) -> str:
 
 
 def _licenses_sql() -> str:
-    # each rule takes away what it matches; its flag stays as a column
-    steps, rest = "SELECT doc_id, n, ids, '|' || replace(ids, '|', '||') || '|' AS r0 FROM found", "r0"
-    for k, (_, ids) in enumerate(licenses.RULES, 1):
-        run = _sql_text("".join(f"|{x}|" for x in ids))
-        steps = f"SELECT *, contains(r{k - 1}, {run}) AS m{k}, replace(r{k - 1}, {run}, '-') AS r{k} FROM ({steps})"
-    rule = " ".join(f"WHEN m{k} THEN {k}" for k in range(1, len(licenses.RULES) + 1))
-    names = ", ".join(f"CASE WHEN m{k} THEN {_sql_text(name)} END" for k, (name, _) in enumerate(licenses.RULES, 1))
+    # each rule takes away what it matches, and leaves its number
+    rules = ", ".join(f"struct_pack(rest := '', found := [{k}], ids := {_sql_text(''.join(f'|{x}|' for x in ids))})" for k, (_, ids) in enumerate(licenses.RULES, 1))
+    use = "struct_pack(rest := CASE WHEN contains(a.rest, x.ids) THEN replace(a.rest, x.ids, '-') ELSE a.rest END, found := CASE WHEN contains(a.rest, x.ids) THEN a.found || x.found ELSE a.found END, ids := '')"
     listed = ", ".join(_sql_text(name) for name, _ in licenses.RULES)
     known = ", ".join(f"({_sql_text(s)}, {_sql_text(name)})" for name, s in licenses.SENTENCES.items() if "*" not in s)
     starred = ", ".join(f"({_sql_text(licenses.sentence_pattern(s, ' '))}, {_sql_text(name)})" for name, s in licenses.SENTENCES.items() if "*" in s)
@@ -102,9 +98,9 @@ lines AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''),
 plain AS (SELECT doc_id, k, trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM lines),
 named AS (SELECT doc_id, k, id FROM plain JOIN known USING (sentence) UNION ALL SELECT doc_id, k, id FROM plain JOIN starred ON regexp_full_match(sentence, pattern) WHERE contains(sentence, 'neither the name of')),
 found AS (SELECT doc_id, count(*) AS n, string_agg(id, '|' ORDER BY k) AS ids FROM named GROUP BY doc_id),
-ruled AS ({steps}),
-told AS (SELECT doc_id, n, ids, CASE {rule} END AS rule, array_to_string(list_distinct_in_order, '|') AS licenses FROM
-  (SELECT *, list_filter([{names}], lambda x, i: x IS NOT NULL AND (i = 1 OR NOT coalesce(list_contains([{names}][1:i - 1], x), false))) AS list_distinct_in_order FROM ruled))
+ruled AS (SELECT doc_id, n, ids, list_reduce([{rules}], lambda a, x: {use}, struct_pack(rest := '|' || replace(ids, '|', '||') || '|', found := []::INTEGER[], ids := '')).found AS found FROM found),
+named_by AS (SELECT *, list_transform(found, lambda k: [{listed}][k]) AS names FROM ruled),
+told AS (SELECT doc_id, n, ids, found[1] AS rule, array_to_string(list_filter(names, lambda x, i: i = 1 OR NOT list_contains(names[1:i - 1], x)), '|') AS licenses FROM named_by)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, rule::INTEGER AS rule, [{listed}][rule] AS license, coalesce(licenses, '') AS licenses
 FROM documents d LEFT JOIN told USING (doc_id)"""
 

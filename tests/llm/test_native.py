@@ -283,3 +283,15 @@ def test_wrapped_licenses(spark):
     got = {r.doc_id: (r.license, r.sentence_ids, r.n_sentences) for r in licenses.scan_licenses(df, "doc_id", "text").collect()}
     for i, _, name, ids in rows:
         assert got[i] == (name, ids, len(ids.split("|")) if ids else 0), rows[i]
+
+
+def test_licence_notices_of_one_line(spark):
+    rows = [
+        ("Licensed under the MIT license.", "MIT"), ("text\nThis project is licensed under the MIT License\ntext", "MIT"), ("// SPDX-License-Identifier: MIT OR Apache-2.0\n", "MIT OR Apache-2.0"), ("# SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note)\n", "GPL-2.0-only WITH Linux-syscall-note"),
+        ("/* SPDX-License-Identifier: GPL-2.0-only */\nint x;", "GPL-2.0-only"), ("This work is licensed under the Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"), ("Licensed under the BSD 3-Clause License", "BSD-3-Clause"), ("Distributed under the terms of the\nApache License 2.0.", "Apache-2.0"),
+        (wrapped("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.") + "\n\n" + wrapped(HOPE), "GPL-2.0-only"),
+        ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("SPDX-License-Identifier: MIT AND Unknown-1.0", ""), ("We never licensed under the MIT license", ""),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(df, "doc_id", "text").collect()}
+    assert [(rows[k][0], got[k]) for k in range(len(rows))] == [(t, w) for t, w in rows]
