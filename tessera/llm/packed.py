@@ -139,6 +139,13 @@ def drop_stored_blocks(result: DataFrame) -> None:
         spark.sql(f"DROP TABLE IF EXISTS tessera_blocks_{name}")
 
 
+def settled(result: DataFrame, name: str) -> DataFrame:
+    """The result, written; the tables of blocks that it was read from are dropped. For narrow results: they are computed at once."""
+    out = written(result, name)
+    drop_stored_blocks(result)
+    return out
+
+
 def bucket_bits(text_size: int) -> int:
     return max(4, (max(1, text_size // BUCKET_BYTES) - 1).bit_length())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lexical, licenses, lm, mixing, negatives, quality, secrets, suffixes, telephony, toxicity, warc
+from . import bpe, jaccard, lexical, licenses, lm, mixing, negatives, packed, quality, secrets, suffixes, telephony, toxicity, warc
 from .common import table, written
 
 
@@ -49,7 +49,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text", folds=7, fold=2)
+    return packed.settled(lm.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text", folds=7, fold=2), "lm-scores")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packed.settled(suffixes.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text"), "repeats")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

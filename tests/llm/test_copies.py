@@ -155,6 +155,16 @@ def test_repeats_with_other_keys(spark):
     assert {order[k]: v for k, v in got.items()} == want
 
 
+def test_queries_leave_no_blocks_behind(spark, tmp_path):
+    from tessera.llm import queries
+
+    spark.createDataFrame([(i, f"a b c {i % 3} " * 20) for i in range(20)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    before = {t.name for t in spark.catalog.listTables()}
+    out = {n: queries.queries()[n](spark, str(tmp_path)) for n in ("op7_lm", "op9_repeats")}
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert [df.count() for df in out.values()] == [20, 20] and out["op9_repeats"].where("n_removed > 0").count() > 0
+
+
 def test_cover():
     assert {(a - b) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.PERIOD))
     assert suffixes.SEED + suffixes.PERIOD - 1 == suffixes.WINDOW
