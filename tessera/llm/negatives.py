@@ -29,6 +29,8 @@ from .common import written
 BLOCK_ROWS, BUCKET_ROWS, LEAF_ROWS, BATCH = 8192, 128, 16384, 512
 #: Leaves that are visited before a bound is known, and leaves at most. The routing tree is fitted on some SAMPLE rows, taken by hash.
 NEAR, LEAVES, SAMPLE = 2, 1024, 16384
+#: Components of a block, and of the sample, at most: of long vectors both have fewer rows.
+BLOCK_NUMBERS, SAMPLE_NUMBERS = 1 << 20, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -208,16 +210,17 @@ def points_of(rows: DataFrame, key: str, vector: str, label: str, scale: int) ->
 
 
 def build_index(points: DataFrame) -> Index:
-    """Every row of a written table (id, label, v) in blocks. Rows of equal vectors and labels share a cell, whose blocks hold BLOCK_ROWS of them, dealt by hash."""
+    """Every row of a written table (id, label, v) in blocks. Rows of equal vectors and labels share a cell, whose blocks hold BLOCK_ROWS of them (BLOCK_NUMBERS components) or fewer, about, dealt by hash."""
     square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
     n, m2, width = points.agg(F.count("*"), F.max(square), F.max(F.size("v"))).first()
     n, m2, width = n, float(m2 or 0.0), max(1, width or 0)
+    in_sample, in_block = max(1, min(SAMPLE, SAMPLE_NUMBERS // width)), max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // width))
     if m2 >= 2.0**55:
         raise ValueError("components are too large: windows of scores would not fit 64 bits")
     depth = max(0, min(n // LEAF_ROWS, LEAVES).bit_length() - 1)
     space = Space(m2, np.zeros((0, width + 1)), np.zeros(0))
     if depth:
-        some = points.where(F.xxhash64("id").bitwiseAND(0xFFFFFFFF) < F.lit(int(min(1.0, SAMPLE / n) * 2**32))).limit(2 * SAMPLE).select("v").toArrow()["v"].combine_chunks()
+        some = points.where(F.xxhash64("id").bitwiseAND(0xFFFFFFFF) < F.lit(int(min(1.0, in_sample / n) * 2**32))).limit(2 * in_sample).select("v").toArrow()["v"].combine_chunks()
         space = fit_space(vectors(some, width).astype(np.float64), m2, depth, width)
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +236,7 @@ def build_index(points: DataFrame) -> Index:
     # as many rows as leaves
     for r in cells.groupBy("leaf").agg(*(f(f"{name}{k}").alias(f"{name}{k}") for k in range(depth) for f, name in ((F.min, "low"), (F.max, "high"))), F.count("*")).collect():
         low[r["leaf"]], high[r["leaf"]] = [r[f"low{k}"] for k in range(depth)], [r[f"high{k}"] for k in range(depth)]
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / in_block))
     dealt = placed.drop("far").join(cells.select("label", "leaf", "n"), ["label", "leaf"]).withColumn("part", part).select("label", "leaf", "part", "id", "v")
 
     def build(rows: pa.Table) -> pa.Table:

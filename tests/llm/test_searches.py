@@ -48,7 +48,7 @@ def clustered(n, width, seed):
 
 @pytest.mark.parametrize("block, leaf, bucket", [(40, 60, 8), (8192, 16384, 128)])
 def test_negatives(spark, monkeypatch, block, leaf, bucket):
-    for name, value in (("BLOCK_ROWS", block), ("LEAF_ROWS", leaf), ("BUCKET_ROWS", bucket), ("BATCH", 7)):
+    for name, value in (("BLOCK_ROWS", block), ("LEAF_ROWS", leaf), ("BUCKET_ROWS", bucket), ("BATCH", 7), ("SAMPLE_NUMBERS", 8 * leaf)):
         monkeypatch.setattr(negatives, name, value)
     nan, inf = float("nan"), float("inf")
     odd = [(None, [1.0, 2.0], 1, 1, "x"), (1000, None, 1, 1, "x"), (1010, [1.0, None], 1, 1, "x"), (1020, [nan, 1.0], 1, 1, "x"), (1030, [1.0, -inf], 1, 1, "x"), (1040, [1.0] * 8, None, 1, "x"), (1050, [], 2, None, None), (1060, [2.0, 1.0], 77, 1, "x"), (1070, [-1.0] * 8, 78, 1, "x"), (1071, [1.0] * 8, 78, 1, "x")]
