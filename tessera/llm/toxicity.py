@@ -124,8 +124,9 @@ def nystrom(words: Sequence[str], landmarks: Sequence[str], apart: bool = False)
     place = np.full(CELLS, -1, np.int32)
     place[used] = np.arange(len(used))
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for a in range(0, len(words), 500):
-        word, cell, weight = subsequences(words[a : a + 500], apart)
+    step = max(16, 500 * 256 // max(256, len(landmarks)))
+    for a in range(0, len(words), step):
+        word, cell, weight = subsequences(words[a : a + step], apart)
         hit = place[cell] >= 0
         word, rows, weight = word[hit], place[cell[hit]], weight[hit]
         order = np.argsort(word, kind="stable")
