@@ -12,6 +12,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 from itertools import groupby
 
 from pyarrow import fs
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
-STAGING = "_staging"
+STAGING, STALE = "_staging", timedelta(days=1)
 #: A name of a page or a file; parts of a file's name may stand behind each other with /.
 NAME = re.compile(r"(?!\.{1,2}(/|$))[^/\x00]+(/(?!\.{1,2}(/|$))[^/\x00]+)*")
 
@@ -33,8 +34,8 @@ class Written(WriterCommitMessage):
 
 
 class PageFilesWriter(DataSourceWriter):
-    def __init__(self, folder: str, overwrite: bool):
-        self.folder, self.overwrite, self.job = folder.rstrip("/"), overwrite, uuid.uuid4().hex
+    def __init__(self, folder: str):
+        self.folder = folder.rstrip("/")
 
     def place(self) -> tuple[fs.FileSystem, str]:
         """The file system, and the folder's path in it."""
@@ -44,43 +45,52 @@ class PageFilesWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> Written:
         store, folder = self.place()
-        own = f"{folder}/{STAGING}/{self.job}/{uuid.uuid4().hex}"
+        own = f"{folder}/{STAGING}/{uuid.uuid4().hex}"
         out = Written(0, 0, 0)
-        for page, rows in groupby(iterator, key=lambda r: r["page_id"]):
-            if page is not None and (not NAME.fullmatch(page) or "/" in page or page.startswith("_")):
-                raise ValueError(f"no name of a page: {page!r}")
-            staged = f"{own}/{hashlib.sha256((page or '').encode()).hexdigest()}"
-            store.create_dir(staged)
-            names = []
-            for r in rows:
-                if not r["name"] or not NAME.fullmatch(r["name"]):
-                    raise ValueError(f"no name of a file: {r['name']!r}")
-                if "/" in r["name"]:
-                    store.create_dir(f"{staged}/{r['name'].rpartition('/')[0]}")
-                data = bytes(r["content"] or b"")
-                with store.open_output_stream(f"{staged}/{r['name']}") as f:
-                    f.write(data)
-                names.append(r["name"])
-                out.files, out.bytes = out.files + 1, out.bytes + len(data)
-            if page is None:  # files of the whole folder, each of them for itself
-                for name in names:
-                    if "/" in name:
-                        store.create_dir(f"{folder}/{name.rpartition('/')[0]}")
-                    store.move(f"{staged}/{name}", f"{folder}/{name}")
-            else:
-                final = f"{folder}/{page}"
-                if store.get_file_info(final).type != fs.FileType.NotFound:
-                    store.move(final, f"{staged}-old")
-                store.move(staged, final)
-            out.pages += page is not None
+        try:
+            for page, rows in groupby(iterator, key=lambda r: r["page_id"]):
+                if page is not None and (not NAME.fullmatch(page) or "/" in page or page.startswith("_")):
+                    raise ValueError(f"no name of a page: {page!r}")
+                staged = f"{own}/{hashlib.sha256((page or '').encode()).hexdigest()}"
+                store.create_dir(staged)
+                names = []
+                for r in rows:
+                    if not r["name"] or not NAME.fullmatch(r["name"]):
+                        raise ValueError(f"no name of a file: {r['name']!r}")
+                    if "/" in r["name"]:
+                        store.create_dir(f"{staged}/{r['name'].rpartition('/')[0]}")
+                    data = bytes(r["content"] or b"")
+                    with store.open_output_stream(f"{staged}/{r['name']}") as f:
+                        f.write(data)
+                    names.append(r["name"])
+                    out.files, out.bytes = out.files + 1, out.bytes + len(data)
+                if page is None:  # files of the whole folder, each of them for itself
+                    for name in names:
+                        if "/" in name:
+                            store.create_dir(f"{folder}/{name.rpartition('/')[0]}")
+                        store.move(f"{staged}/{name}", f"{folder}/{name}")
+                else:
+                    final = f"{folder}/{page}"
+                    if store.get_file_info(final).type != fs.FileType.NotFound:
+                        store.move(final, f"{staged}-old")
+                    store.move(staged, final)
+                out.pages += page is not None
+        finally:
+            if store.get_file_info(own).type == fs.FileType.Directory:
+                store.delete_dir(own)
         return out
 
     def clean(self) -> None:
         store, folder = self.place()
-        for name in (f"{folder}/{STAGING}/{self.job}", f"{folder}/{STAGING}"):
-            found = store.get_file_info(name)
-            if found.type == fs.FileType.Directory and (name.endswith(self.job) or not store.get_file_info(fs.FileSelector(name))):
-                store.delete_dir(name)
+        staging = f"{folder}/{STAGING}"
+        if store.get_file_info(staging).type != fs.FileType.Directory:
+            return
+        left = store.get_file_info(fs.FileSelector(staging))
+        for found in left:
+            if found.mtime is not None and datetime.now(UTC) - found.mtime > STALE:
+                store.delete_dir(found.path)
+        if not left:
+            store.delete_dir(staging)
 
     def commit(self, messages: list[Written | None]) -> None:
         self.clean()
@@ -99,7 +109,7 @@ class PageFiles(DataSource):
             raise ValueError(f"columns are missing: {sorted(gone)}")
         if overwrite:
             raise ValueError("pages replace pages of their names one by one; use append")
-        return PageFilesWriter(self.options["path"], overwrite)
+        return PageFilesWriter(self.options["path"])
 
 
 def register(spark: SparkSession) -> None:
