@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions import similarity, text
+from ..functions import text
 from ..functions.citation import citation_html
 from ..operators import align, checks, gaps, joins, ordered, playback, quality
 from ..sources import pages, responses, sinks
@@ -418,26 +418,6 @@ def prose_flag(spark, sf_dir):
     return I.table(spark, sf_dir, "documents").select("doc_id", text.is_prose(F.col("text")).alias("prose"))
 
 
-PAIRS = r"""e AS (SELECT DISTINCT regexp_replace(lower(t), '[^a-z]', '', 'g') AS w FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS t FROM benchmark) WHERE regexp_full_match(t, '[ -~]+')), n AS (SELECT w, left(w, 1) AS c, row_number() OVER (PARTITION BY left(w, 1) ORDER BY w) AS k FROM e WHERE w <> ''),
-p AS (SELECT a.w AS a, b.w AS b FROM n a JOIN n b ON a.c = b.c AND b.k BETWEEN a.k + 1 AND a.k + 9)"""
-SOUND = lambda c: "replace(" * len(similarity.SOUNDS) + c + "".join(f", '{x}', '{y}')" for x, y in similarity.SOUNDS)
-
-
-@query(f"WITH {PAIRS}, q AS (SELECT *, {SOUND('a')} AS x, {SOUND('b')} AS y FROM p), s AS (SELECT a, b, CASE WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b))::DOUBLE / greatest(length(a), length(b)) "
-       "ELSE greatest(0.8::DOUBLE * len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, ''))))::DOUBLE / len(list_distinct(list_concat(string_split(a, ''), string_split(b, '')))), 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), "
-       "CASE WHEN x = y THEN 1 WHEN greatest(length(x), length(y)) = 0 THEN 1 ELSE 1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) END) END AS sim FROM q) "
-       "SELECT a, b, round(sim, 6) AS similarity, (CASE WHEN sim >= 0.95 THEN 10 WHEN sim >= 0.8 THEN 7 WHEN sim >= 0.6 THEN 5 ELSE -3 END)::INTEGER AS score FROM s")
-def word_similarity(spark, sf_dir):
-    tokens = I.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("t")).where("t rlike '^[ -~]+$'")
-    words = tokens.select(F.regexp_replace(F.lower("t"), "[^a-z]", "").alias("w")).where("w <> ''").distinct()
-    # each word with the nine after it, in order, of the same initial
-    near = W.Window.partitionBy(F.substring("w", 1, 1)).orderBy("w")
-    following = words.select(F.col("w").alias("a"), F.array(*(F.lead("w", k).over(near) for k in range(1, 10))).alias("next"))
-    pairs = following.select("a", F.explode("next").alias("b")).where("b IS NOT NULL")
-    s = similarity.word_similarity(F.col("a"), F.col("b"))
-    return pairs.withColumn("s", s).select("a", "b", r6("s").alias("similarity"), similarity.pair_score(F.col("s")).alias("score"))
-
-
 def turns(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Each turn of a conversation as a reference page `conversation/turn`; what was heard are its words without some, others changed."""
     conv = I.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
+from ..functions import similarity, text
 from ..functions.similarity import MISMATCH, SCORES, SOUNDS
 from ..operators import align, walks
+from . import inputs as I  # noqa: E812
 from .catalog import query, r6, turns
 
 #: Turns as pages: tokens, and the words that were heard of them.
@@ -59,13 +62,31 @@ def _sound_sql(word: str) -> str:
     return word
 
 
+#: Similarity of clean words a and b whose sounds are x and y.
+_ALIKE = f"""CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b))::DOUBLE / greatest(length(a), length(b))
+  ELSE greatest(0.8::DOUBLE * len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, ''))))::DOUBLE / len(list_distinct(string_split(a || b, ''))), {_EDITS("a", "b")}, {_EDITS("x", "y")}) END"""
+_POINTS = f"CASE {' '.join(f'WHEN s >= {least}::DOUBLE THEN {points}' for least, points in SCORES)} ELSE {MISMATCH} END"
+
+
+@query(f"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(text, '\\S+')) AS t, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) AS k FROM benchmark), c AS (SELECT item_id, k, {CLEAN("t")} AS w FROM t),
+n AS (SELECT w AS a, unnest([lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o]) AS b FROM c WINDOW o AS (PARTITION BY item_id ORDER BY k)), p AS (SELECT DISTINCT a, b, {_sound_sql("a")} AS x, {_sound_sql("b")} AS y FROM n WHERE b IS NOT NULL), q AS (SELECT a, b, {_ALIKE} AS s FROM p)
+SELECT a, b, round(s, 6)::DOUBLE AS similarity, {_POINTS} AS score FROM q""")
+def word_similarity(spark, sf_dir) -> DataFrame:
+    """Each word of the benchmark's texts with the three that follow it."""
+    tokens = I.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.tokens(F.col("text"))).alias("k", "t"))
+    order = W.Window.partitionBy("item_id").orderBy("k")
+    following = tokens.select("item_id", "k", text.clean_token(F.col("t")).alias("a")).select("a", F.array(*(F.lead("a", k).over(order) for k in (1, 2, 3))).alias("next"))
+    pairs = following.select("a", F.explode("next").alias("b")).where("b IS NOT NULL").distinct()
+    s = similarity.word_similarity(F.col("a"), F.col("b"))
+    return pairs.select("a", "b", r6(s).alias("similarity"), similarity.pair_score(s).alias("score"))
+
+
 #: Similarities and scores of the words of each turn, as a matrix of scores; best and move of each cell by anti-diagonals (cells by row); the way back.
 ALIGN_SQL = f"""WITH RECURSIVE {TURNS_SQL},
 r AS (SELECT page_id, ref_idx, token, {CLEAN("token")} AS c FROM toks), h AS (SELECT *, {CLEAN("word")} AS c, row_number() OVER (PARTITION BY page_id ORDER BY word_idx) AS k FROM heard),
 pairs AS (SELECT DISTINCT r.c AS a, h.c AS b FROM r JOIN h USING (page_id)), heard_pairs AS (SELECT a, b, {_sound_sql("a")} AS x, {_sound_sql("b")} AS y FROM pairs),
-alike AS MATERIALIZED (SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b))::DOUBLE / greatest(length(a), length(b))
-  ELSE greatest(0.8::DOUBLE * len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, ''))))::DOUBLE / len(list_distinct(string_split(a || b, ''))), {_EDITS("a", "b")}, {_EDITS("x", "y")}) END AS s FROM heard_pairs),
-scored AS (SELECT a, b, s, CASE {" ".join(f"WHEN s >= {least}::DOUBLE THEN {points}" for least, points in SCORES)} ELSE {MISMATCH} END AS score FROM alike),
+alike AS MATERIALIZED (SELECT a, b, {_ALIKE} AS s FROM heard_pairs),
+scored AS (SELECT a, b, s, {_POINTS} AS score FROM alike),
 lines AS (SELECT r.page_id, r.ref_idx, list(score ORDER BY h.k) AS line FROM r JOIN h USING (page_id) JOIN scored ON scored.a = r.c AND scored.b = h.c GROUP BY ALL),
 page AS MATERIALIZED (SELECT page_id, count(*) AS m, any_value(len(line)) AS n, list(line ORDER BY ref_idx) AS s FROM lines GROUP BY page_id),
 walk AS (SELECT page_id, 0::BIGINT AS d, list_transform(range(0, m + 1), lambda i: 0) AS b1, list_transform(range(0, m + 1), lambda i: 0) AS v1, list_transform(range(0, m + 1), lambda i: 0) AS b2 FROM page
