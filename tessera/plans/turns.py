@@ -84,9 +84,13 @@ def word_similarity(spark, sf_dir) -> DataFrame:
 #: Similarities and scores of the words of each turn, as a matrix of scores; best and move of each cell by anti-diagonals (cells by row); the way back.
 ALIGN_SQL = f"""WITH RECURSIVE {TURNS_SQL},
 r AS (SELECT page_id, ref_idx, token, {CLEAN("token")} AS c FROM toks), h AS (SELECT *, {CLEAN("word")} AS c, row_number() OVER (PARTITION BY page_id ORDER BY word_idx) AS k FROM heard),
-pairs AS (SELECT DISTINCT r.c AS a, h.c AS b FROM r JOIN h USING (page_id)), heard_pairs AS (SELECT a, b, {_sound_sql("a")} AS x, {_sound_sql("b")} AS y FROM pairs),
-alike AS MATERIALIZED (SELECT a, b, {_ALIKE} AS s FROM heard_pairs),
-scored AS (SELECT a, b, s, {_POINTS} AS score FROM alike),
+known AS MATERIALIZED (SELECT c, length(c) AS n, list_distinct(string_split(c, '')) AS letters, {_sound_sql("c")} AS x FROM (SELECT c FROM r UNION SELECT c FROM h)),
+coded AS MATERIALIZED (SELECT *, {_BYTES("c")} AS cb, {_BYTES("x")} AS xb, length(x) AS xn, len(letters) AS k FROM known),
+pairs AS (SELECT DISTINCT r.c AS a, h.c AS b FROM r JOIN h USING (page_id)),
+scored AS MATERIALIZED (SELECT a, b, {_POINTS} AS score FROM (SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN least(p.n, q.n)::DOUBLE / greatest(p.n, q.n) ELSE greatest(0,
+  CASE WHEN least(p.k, q.k) >= 0.75 * greatest(p.k, q.k) THEN 0.8::DOUBLE * len(list_intersect(p.letters, q.letters))::DOUBLE / (p.k + q.k - len(list_intersect(p.letters, q.letters))) END,
+  CASE WHEN abs(p.n - q.n) <= 0.4 * greatest(p.n, q.n) THEN 1 - levenshtein(p.cb, q.cb)::DOUBLE / greatest(p.n, q.n) END,
+  CASE WHEN p.x = q.x THEN 1 WHEN abs(p.xn - q.xn) <= 0.4 * greatest(p.xn, q.xn) THEN 1 - levenshtein(p.xb, q.xb)::DOUBLE / greatest(p.xn, q.xn) END) END AS s FROM pairs JOIN coded p ON p.c = a JOIN coded q ON q.c = b)),
 lines AS (SELECT r.page_id, r.ref_idx, list(score ORDER BY h.k) AS line FROM r JOIN h USING (page_id) JOIN scored ON scored.a = r.c AND scored.b = h.c GROUP BY ALL),
 page AS MATERIALIZED (SELECT page_id, count(*) AS m, any_value(len(line)) AS n, list(line ORDER BY ref_idx) AS s FROM lines GROUP BY page_id),
 walk AS (SELECT page_id, 0::BIGINT AS d, list_transform(range(0, m + 1), lambda i: 0) AS b1, list_transform(range(0, m + 1), lambda i: 0) AS v1, list_transform(range(0, m + 1), lambda i: 0) AS b2 FROM page
@@ -120,9 +124,10 @@ def align_stats(spark, sf_dir) -> DataFrame:
     return align.alignment_counts(align.align(*turns(spark, sf_dir)))
 
 
-@query(f"""{ALIGN_SQL} SELECT r.page_id, r.ref_idx AS word_idx, r.token AS word, coalesce(round(h.s, 6), 0) AS start, coalesce(round(h.e, 6), 0) AS "end", round(CASE WHEN op = 'match' THEN 0.9::DOUBLE * a.s ELSE 0.3 END, 6)::DOUBLE AS confidence, op,
-  round(coalesce(CASE WHEN op = 'match' THEN a.s END, 0), 6)::DOUBLE AS similarity, CASE WHEN CASE WHEN op = 'match' THEN 0.9::DOUBLE * a.s ELSE 0.3 END < 0.6 THEN 'needs_review' ELSE 'matched' END AS status
-  FROM steps JOIN r ON r.page_id = steps.page_id AND r.ref_idx = steps.ref_idx LEFT JOIN h ON h.page_id = steps.page_id AND h.word_idx = steps.trans_idx LEFT JOIN alike a ON a.a = r.c AND a.b = h.c""")
+@query(f"""{ALIGN_SQL} SELECT r.page_id, r.ref_idx AS word_idx, r.token AS word, coalesce(round(h.s, 6), 0) AS start, coalesce(round(h.e, 6), 0) AS "end", round(CASE WHEN op = 'match' THEN 0.9::DOUBLE * m.s ELSE 0.3 END, 6)::DOUBLE AS confidence, op,
+  round(coalesce(m.s, 0), 6)::DOUBLE AS similarity, CASE WHEN CASE WHEN op = 'match' THEN 0.9::DOUBLE * m.s ELSE 0.3 END < 0.6 THEN 'needs_review' ELSE 'matched' END AS status
+  FROM steps JOIN r ON r.page_id = steps.page_id AND r.ref_idx = steps.ref_idx LEFT JOIN h ON h.page_id = steps.page_id AND h.word_idx = steps.trans_idx
+  LEFT JOIN (SELECT a, b, {_ALIKE} AS s FROM (SELECT DISTINCT r.c AS a, h.c AS b, {_sound_sql("r.c")} AS x, {_sound_sql("h.c")} AS y FROM steps JOIN r ON r.page_id = steps.page_id AND r.ref_idx = steps.ref_idx JOIN h ON h.page_id = steps.page_id AND h.word_idx = steps.trans_idx)) m ON m.a = r.c AND m.b = h.c""")
 def aligned_words(spark, sf_dir) -> DataFrame:
     ref, heard = turns(spark, sf_dir)
     out = align.flag_uncertain(align.aligned_words(align.align(ref, heard), ref, heard))
