@@ -8,8 +8,9 @@ same way, and all that survive are verified on the whole sets. Nothing is emitte
 gives a spanning forest, verification gives each node its count of links and a root.
 
 A bucket or cluster larger than a part is dealt into parts, and each two parts meet in a task of
-their own, so no task holds a group of any size and no link is lost. Joins on a band, a cluster or a node
-deal hot keys first (see spread_join).
+their own, so no task holds a group of any size and no link is lost. Totals of a band, a cluster or a node
+come to the rows of hot keys where they stand (see with_total); copies of a text are dealt first (see spread_join).
+Texts are shuffled only where a filter of the keys with candidates lets them pass.
 
 A text of fewer than n words has one n-gram, all of its words; a text without words has none and
 is linked to texts of the same bytes only. Null is the empty text. Repeated rows are copies; a similarity
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import discard, mix64, slices, spread_join, text_bytes, with_total, word_hashes, written
+from .common import mix64, slices, spread_join, text_bytes, with_total, word_hashes, written
 from .components import components
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -38,6 +39,8 @@ COMPARED, BATCH = 128, 32
 #: Members of a bucket, and n-grams of a cluster, that one task takes from each of two parts.
 BUCKET_PART, CLUSTER_PART = 2048, 500_000
 SLICE = 1 << 20
+#: Bits of the filter that keeps most texts without candidates from being shuffled; it is broadcast.
+FILTER = 1 << 23
 _rng = np.random.default_rng(20)
 XOR, ODD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32), _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -162,6 +165,31 @@ def dealt(df: DataFrame, group: str, parts, salt) -> DataFrame:
     return out.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "parts")
 
 
+def group_edges(t: pa.Table, by: tuple[str, ...]) -> np.ndarray:
+    """Where groups start among rows that are sorted by whole numbers, and the end of the last."""
+    new = np.ones(t.num_rows + 1, bool)
+    new[1:-1] = np.any([np.diff(np.array(t[c])) != 0 for c in by], axis=0)
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches, by: tuple[str, ...]):
+    """Tables of sorted rows in which each group is whole: a batch's last group waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edge = group_edges(pa.Table.from_batches([batch]), by)
+        if held and any(held[0][c][0] != batch[c][0] for c in by):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        if len(edge) > 2:
+            yield pa.Table.from_batches([*held, batch.slice(0, edge[-2])]).combine_chunks()
+            held = []
+        held.append(batch.slice(edge[-2]))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def link_documents(df: DataFrame, key: str, text: str, words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(key, class_id, n_links, n_linked_texts), one row for each row of df. Runs jobs at once.
 
@@ -195,28 +223,35 @@ def _linked(df: DataFrame, key: str, text: str, words: int, threshold: float, to
 
     # buckets of two nodes or more
     banded = nodes.where("n > 0").select("node", F.explode("bands").alias("band"))
-    shared = with_total(banded, "band", "node", F.count("*"), F.sum, "members").where("members > 1")
+    shared = with_total(banded, "band", F.count("*"), "members").where("members > 1")
     entries = shared.join(nodes.select("node", "compared"), "node")
     parts = F.ceil(F.col("members") / BUCKET_PART)
     entries = dealt(entries.select("band", "node", "compared", "members"), "band", parts, F.xxhash64("node"))
 
-    def bucket(group):
-        own, node = np.array(group["own"]), np.array(group["node"])
-        values = np.frombuffer(b"".join(group["compared"].to_pylist()), np.uint8).reshape(-1, COMPARED)
-        low, high = group["low"][0].as_py(), group["high"][0].as_py()
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        roots = matched_roots(values, left, left if low == high else right, fewest)
-        some = roots != np.arange(len(roots))
-        return pa.table({"a": pa.array(node[some]), "b": pa.array(node[roots[some]])})
+    def buckets(batches):
+        for t in whole_groups(batches, ("band", "low", "high")):
+            own, node, edge = np.array(t["own"]), np.array(t["node"]), group_edges(t, ("band", "low", "high"))
+            values = np.frombuffer(b"".join(t["compared"].to_pylist()), np.uint8).reshape(-1, COMPARED)
+            low, high = np.array(t["low"]), np.array(t["high"])
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                # trees hang on a bucket's least node
+                order = i + np.argsort(node[i:j], kind="stable")
+                left, right = np.flatnonzero(own[order] == low[i]), np.flatnonzero(own[order] == high[i])
+                roots = matched_roots(values[order], left, left if low[i] == high[i] else right, fewest)
+                some = roots != np.arange(len(roots))
+                a.append(node[order][some])
+                b.append(node[order][roots[some]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     # comparing takes long for its bytes, so tasks stay as many as shuffle partitions
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    alike = entries.repartition(tasks, "band", "low", "high").groupBy("band", "low", "high").applyInArrow(bucket, "a long, b long")
-    clusters = written(components(alike.distinct()), "jaccard-clusters")
+    alike = entries.repartition(tasks, "band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(buckets, "a long, b long")
+    clusters = written(components(alike), "jaccard-clusters")
 
     # the sets of clustered nodes, one text for each node
     members = clusters.join(nodes.select("node", "key", "n", "copies", "compared"), "node")
-    members = written(with_total(members, "root", "node", F.sum("n"), F.sum, "total"), "jaccard-members")
+    members = written(with_total(members, "root", F.sum("n"), "total"), "jaccard-members")
 
     def sets(batches):
         for b in batches:
@@ -227,7 +262,13 @@ def _linked(df: DataFrame, key: str, text: str, words: int, threshold: float, to
                 node = np.array([int(mix64(np.add.reduce(mix64(g ^ np.uint64(0x165667B19E3779F9)), keepdims=True) + np.uint64(len(g)))[0]) if len(g) else 0 for g in own], np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array([g.tobytes() for g in own], pa.binary())], ["node", "grams"])
 
-    wanted = docs.join(members.select(F.col("key").alias("k")).distinct(), F.col("key").eqNullSafe(F.col("k")), "left_semi")
+    # most other texts fall to a filter where they stand, so only these texts and a few more are joined by key
+    keys = members.select(F.col("key").alias("k")).distinct()
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
+    marks = keys.select(place("k").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS INT))")).alias("bits"))
+    near = docs.withColumn("bit", place("key")).join(F.broadcast(marks), F.shiftright("bit", 6) == F.col("word")).where("shiftrightunsigned(bits, cast(bit & 63 AS INT)) & 1 = 1")
+    # an inner join with distinct keys: a semi join would be moved before the filter
+    wanted = near.join(keys, F.col("key").eqNullSafe(F.col("k")))
     full = wanted.select("key", "text").mapInArrow(sets, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
     full = members.select("root", "node", "copies", "total", "compared").join(full, "node")
     full = dealt(full, "root", F.ceil(F.col("total") / CLUSTER_PART), F.xxhash64("node"))
@@ -266,14 +307,16 @@ def _linked(df: DataFrame, key: str, text: str, words: int, threshold: float, to
             texts[at] += 1
             forest.join(i, at)
         roots = forest.roots()
-        return pa.table({"node": pa.array(node), "peer": pa.array(node[roots]), "links": pa.array(links), "texts": pa.array(texts)})
+        least = node.copy()
+        np.minimum.at(least, roots, node)
+        return pa.table({"node": pa.array(node), "peer": pa.array(least[roots]), "links": pa.array(links), "texts": pa.array(texts)})
 
     verified = written(full.repartition(tasks, "root", "low", "high").groupBy("root", "low", "high").applyInArrow(verify, "node long, peer long, links long, texts long"), "jaccard-links")
     classes = components(verified.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     counts = verified.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    told = nodes.select("node", "key", "copies").join(classes, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    told = with_total(told, "root", "node", F.min("key"), F.min, "class_id")
-    told = told.select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_linked_texts"))
+    classed = with_total(classes.join(nodes.select("node", "key"), "node"), "root", F.min("key"), "class_id")
+    told = nodes.select("node", "key", "copies").join(classed.drop("key"), "node", "left").join(counts, "node", "left")
+    told = told.select("node", F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_linked_texts"))
     # copies of one node are dealt by their keys
     rows = sketched.select("key", "node", "spare", F.coalesce(F.col("key").cast("string"), "spare").alias("_item"))
     return spread_join(rows, told, "node", "_item").select(F.col("key").alias(key), "class_id", "n_links", "n_linked_texts", "spare")

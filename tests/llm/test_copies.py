@@ -5,10 +5,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, packed, quality, suffixes
+from tessera.llm import common, jaccard, packed, quality, suffixes
+from tessera.llm import components as components_module
 from tessera.llm.components import components
 
 
@@ -107,6 +109,58 @@ def test_components(spark):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_components_that_come_as_stars_take_no_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components_module, "written", lambda df, name: rounds.append(name) or common.written(df, name))
+    edges = [(10 * k + j, 10 * k) for k in range(20) for j in (1, 2, 3)]
+    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {10 * k + j: 10 * k for k in range(20) for j in range(4)}
+    assert len(rounds) == 1
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1024])
+def test_totals(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    rows = [(k % 7 and k % 3, k) for k in range(50)]
+    got = common.with_total(spark.createDataFrame(rows, "a long, b long"), "a", F.min("b"), "m").collect()
+    assert sorted((x.a, x.b, x.m) for x in got) == sorted((a, b, min(y for x, y in rows if x == a)) for a, b in rows)
+
+
+def test_groups_across_batches():
+    keys = [1, 1, 2, 2, 2, 2, 2, 3, 4, 4]
+    batch = pa.record_batch({"a": pa.array(keys, pa.int64()), "n": pa.array(range(10), pa.int64())})
+    for size in range(1, 11):
+        parts = [batch.slice(k, size) for k in range(0, 10, size)]
+        got = list(jaccard.whole_groups(parts, ("a",)))
+        assert [x for t in got for x in t["n"].to_pylist()] == list(range(10))
+        assert sum(len(set(t["a"].to_pylist())) for t in got) == 4
+
+
+def shuffled_bytes(spark):
+    """Bytes that the session's stages have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_without_candidates_are_not_shuffled(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=40))
+    rows = [(k, " ".join(word() for _ in range(1000))) for k in range(100)]
+    rows.append((100, rows[0][1] + " one more"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_bytes(spark)
+        got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard.link_documents(df, "doc_id", "text").collect()}
+        shuffled = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {k: (0, 1) if k in (0, 100) else (k, 0) for k in range(101)}
+    assert shuffled < 1_000_000  # of 4 MB of texts
+
+
 def brute_repeats(rows):
     seen, out = set(), collections.Counter()
     for i, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
