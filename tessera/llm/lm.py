@@ -2,7 +2,7 @@
 
 States are the empty history, each word, and each pair of neighbouring words that the training texts hold. A state has an
 arc for each word that follows it there, to the longest history that then stands, and one failure arc to the
-history without its first word. An n-gram's probability is smoothed by the shorter ones':
+history without its first word. A block numbers its n-grams, and an n-gram's number names its arc. An n-gram's probability is smoothed by the shorter ones':
 
     p(w) = (c(w) + 1) / (N + V + 1),
     p(w | h) = b(h) c(hw) / c(h) + (1 - b(h)) p(w | h without its first word);
@@ -54,6 +54,27 @@ def held_out(keys: list, folds: int, fold: int) -> np.ndarray:
     return np.array([k is None or zlib.crc32(str(k).encode()) % folds == fold for k in keys], bool)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct hashes, a place of each, the number of each value's hash).
+
+    Places ride in the low bits of what is sorted, as plain sorting is much faster than sorting places. Only
+    if hashes that differ share all other bits, places are sorted.
+    """
+    n = len(values)
+    bits = np.uint64(max(1, (max(1, n) - 1).bit_length()))
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    order = (np.sort(values & ~mask | np.arange(n, dtype=np.uint64)) & mask).astype(np.int64)
+    flat = values[order]
+    if (flat[1:] < flat[:-1]).any():
+        order = np.argsort(values)
+        flat = values[order]
+    new = np.ones(n, bool)
+    np.not_equal(flat[1:], flat[:-1], out=new[1:])
+    own = np.empty(n, np.int64)
+    own[order] = np.cumsum(new) - 1
+    return flat[new], order[new], own
+
+
 class Tokens:
     """The tokens of a block's texts, each text's end included, and the n-grams that end at each."""
 
@@ -84,10 +105,10 @@ class Tokens:
         triples = mix64(pairs[at - 1] * STEP + (self.tokens[at] ^ START))
         self.out = held_out(block.keys.to_pylist(), folds, fold)
         self.learn = np.repeat(~self.out, self.counts)
-        #: Of each kind: distinct hashes, the number of each token's, the token at which each is first met.
+        #: Of each kind: distinct hashes, the number of each token's, a token at which each is met.
         self.grams = []
         for values, places in ((self.tokens, None), (pairs, None), (triples, at)):
-            keys, first, own = np.unique(values, return_index=True, return_inverse=True)
+            keys, first, own = distinct(values)
             self.grams.append((keys, own, first if places is None else places[first]))
 
     def sums(self, values: np.ndarray) -> np.ndarray:
@@ -103,7 +124,7 @@ def totals(keys: list[np.ndarray], extra: list[bytes | None], block: np.ndarray)
     """The sum of each hash's counts over all messages. The first answer also tells how many hashes have counts, and their sum."""
     sizes = np.array([len(k) for k in keys])
     flat, counts = np.concatenate(keys), np.concatenate([packed.unpack(x) for x in extra]).astype(np.int64)
-    _, own = np.unique(flat, return_inverse=True)
+    own = distinct(flat)[2]
     sums = np.bincount(own, counts).astype(np.int64)
     out = [packed.pack(x) for x in np.split(sums[own], np.cumsum(sizes)[:-1])]
     told = int((sums > 0).sum()).to_bytes(8, "big") + int(sums.sum()).to_bytes(8, "big")
@@ -145,7 +166,7 @@ class Automaton:
     """
 
     def __init__(self, t: Tokens, counts: list[np.ndarray], tokens: int, types: int, texts: int, weights: np.ndarray):
-        (_, word, _), (_, pair, pair_at), (_, _, triple_at) = t.grams
+        (_, word, _), (_, pair, pair_at), (_, triple, triple_at) = t.grams
         n1, n2, n3 = counts
         self.width = width = len(n1)
         start, pairs = width + 1, width + 2
@@ -163,12 +184,12 @@ class Automaton:
         before, then = pair[triple_at - 1], pair[triple_at]
         b2 = np.where(n2[before] > 0, weights[1][level(n2[before])], 0.0)
         p3 = b2 * n3 / np.maximum(n2[before], 1) + (1 - b2) * p2[then]
-        keep2, keep3 = n2 > 0, n3 > 0
-        key = np.concatenate((left[keep2] * width + second[keep2], (pairs + before[keep3]) * width + word[triple_at][keep3]))
-        order = np.argsort(key)
-        self.key = np.append(key[order], np.iinfo(np.int64).max)
-        self.weight = np.append(np.log10(np.concatenate((p2[keep2], p3[keep3])))[order], 0.0)
-        self.target = np.append(np.concatenate((pairs + np.flatnonzero(keep2), pairs + then[keep3]))[order], 0)
+        # a history's arcs are its n-grams that training texts hold, and are known by their numbers: a token's own pair or triple
+        # is the arc that its word takes from the pair or word before it. An n-gram without an arc weighs 1
+        self.arc2, self.arc3 = (np.log10(np.where(n > 0, p, 10.0)) for n, p in ((n2, p2), (n3, p3)))
+        self.word, self.pair, self.triple = word, pair, np.zeros(len(t.tokens), np.int64)
+        self.triple[t.later] = triple
+        self.pairs = pairs
         # failure arcs: from a pair to its second word, from a word or a start to no history
         gone = lambda n, w: np.log10(1 - np.where(n > 0, w[level(n)], 0.0))
         self.fail = np.concatenate((np.zeros(width + 2, np.int64), 1 + second))
@@ -177,27 +198,26 @@ class Automaton:
         #: The state that each token leads to, by which walks that start inside a text take over.
         self.after = np.where(n2[pair] > 0, pairs + pair, self.root[1][word])
 
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log probabilities, next states) of words read in states."""
-        gain, after = np.zeros(len(state)), np.empty(len(state), np.int64)
-        open_ = np.arange(len(state))
-        for _ in range(2):
-            key = state[open_] * self.width + word[open_]
-            at = np.searchsorted(self.key, key)
-            hit = (self.key[at] == key) & (state[open_] > 0)
-            done = open_[hit]
-            gain[done] += self.weight[at[hit]]
-            after[done] = self.target[at[hit]]
-            open_ = open_[~hit]
-            gain[open_] += self.loss[state[open_]]
-            state[open_] = self.fail[state[open_]]
-        gain[open_] += self.root[0][word[open_]]
-        after[open_] = self.root[1][word[open_]]
-        return gain, after
+    def step(self, state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log probabilities, next states) of the tokens at these places, read in states."""
+        pair = self.pair[at]
+        gain, after = np.zeros(len(state)), self.pairs + pair
+        open_ = np.ones(len(state), bool)
+        # arcs of pairs, then those of words and starts; what finds none follows its failure arc
+        for arc, number, has in ((self.arc3, self.triple[at], state >= self.pairs), (self.arc2, pair, None)):
+            weight = arc[number] if len(arc) else np.ones(len(state))
+            here = open_ & (state > 0) if has is None else has
+            hit = here & (weight <= 0)
+            gain += np.where(hit, weight, 0.0)
+            open_ &= ~hit
+            fails = here & ~hit
+            gain += np.where(fails, self.loss[state], 0.0)
+            state = np.where(fails, self.fail[state], state)
+        word = self.word[at]
+        return gain + np.where(open_, self.root[0][word], 0.0), np.where(open_, self.root[1][word], after)
 
     def walk(self, t: Tokens) -> np.ndarray:
         """The log probability of each token: all texts are walked beside each other, long ones segment by segment."""
-        word = t.grams[WORDS][1]
         pieces = -(-t.counts // SEGMENT)
         number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin = np.repeat(t.first, pieces) + SEGMENT * number
@@ -205,10 +225,10 @@ class Automaton:
         state = np.where(number == 0, self.start, self.after[np.maximum(begin - 1, 0)])
         order = np.argsort(-size, kind="stable")
         begin, size, state = begin[order], size[order], state[order]
-        out = np.empty(len(word))
+        out = np.empty(len(t.tokens))
         for k in range(int(size.max(initial=0))):
             on = int(np.searchsorted(-size, -k, "left"))
-            out[begin[:on] + k], state[:on] = self.step(state[:on].copy(), word[begin[:on] + k])
+            out[begin[:on] + k], state[:on] = self.step(state[:on], begin[:on] + k)
         return out
 
 

@@ -41,7 +41,9 @@ def pack(values: np.ndarray, ascending: bool = False) -> bytes:
     least = values.min() if len(values) else np.uint64(0)
     values = np.diff(values, prepend=least) if ascending else values - least
     width = max(1, int(values.max() if len(values) else 0).bit_length())
-    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little", count=None)[:, :width]
+    # bits are taken from one row of bytes: row by row of a table takes many times as long
+    size = (width + 7) // 8
+    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8)[:, :size].ravel(), bitorder="little").reshape(-1, 8 * size)[:, :width]
     return bytes([width, ascending]) + len(values).to_bytes(6, "little") + int(least).to_bytes(8, "little") + np.packbits(bits.ravel()).tobytes()
 
 
@@ -53,9 +55,12 @@ def packed_size(data: bytes) -> int:
 def unpack(data: bytes) -> np.ndarray:
     width, count = data[0], int.from_bytes(data[2:8], "little")
     raw = np.frombuffer(data, np.uint8, offset=16) if len(data) > 16 else np.empty(0, np.uint8)
-    bits = np.zeros((count, 64), np.uint8)
+    size = (width + 7) // 8
+    bits = np.zeros((count, 8 * size), np.uint8)
     bits[:, :width] = np.unpackbits(raw, count=width * count).reshape(count, width)
-    out = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel() if count else np.empty(0, np.uint64)
+    whole = np.zeros((count, 8), np.uint8)
+    whole[:, :size] = np.packbits(bits.ravel(), bitorder="little").reshape(count, size)
+    out = whole.view(np.uint64).ravel()
     out = np.cumsum(out, dtype=np.uint64) if data[1] else out
     return out + np.uint64(int.from_bytes(data[8:16], "little"))
 

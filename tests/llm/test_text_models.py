@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -312,6 +313,35 @@ def test_packing(values, more):
     assert packed.unpack(d + more).tolist() == sorted(values) and packed.packed_size(d) == len(d)
 
 
+@given(st.lists(st.integers(0, 3) | st.integers(0, 2**64 - 1) | st.integers(2**63, 2**63 + 5), max_size=60))
+def test_distinct_hashes(values):
+    v = np.array(values, np.uint64)
+    keys, first, own = lm.distinct(v)
+    assert keys.tolist() == sorted(set(values)) and keys[own].tolist() == values and v[first].tolist() == keys.tolist()
+
+
+def test_packed_numbers_of_every_width():
+    for width in range(1, 65):
+        v = np.array([0, 2**width - 1, 2 ** (width - 1), 1], np.uint64)
+        assert packed.unpack(packed.pack(v)).tolist() == v.tolist()
+        assert packed.unpack(packed.pack(np.sort(v), True)).tolist() == sorted(v.tolist())
+
+
+def test_arcs_are_known_by_the_numbers_of_their_ngrams(monkeypatch):
+    """A walk of pieces scores tokens as one walk does."""
+    r = random.Random(4)
+    texts = [" ".join(r.choices("a b c d e f".split(), k=k)).encode() for k in (0, 1, 2, 700, 3)]
+    row = {"keys": pa.array(range(len(texts))), "ranks": np.arange(len(texts), dtype=np.uint64).tobytes(), "lengths": np.array([len(x) for x in texts], np.int64).tobytes(), "data": b"".join(texts)}
+    t = lm.Tokens(packed.Block(row), 7, 2)
+    counts = [t.learned(k) for k in range(3)]
+    automaton = lm.Automaton(t, counts, int(t.learn.sum()), int((counts[0] > 0).sum()), int((~t.out).sum()), np.full((2, 64), 0.5))
+    assert len(automaton.arc2) == len(t.grams[1][0]) and len(automaton.arc3) == len(t.grams[2][0])
+    whole = automaton.walk(t)
+    for segment in (1, 2, 5, 10_000):
+        monkeypatch.setattr(lm, "SEGMENT", segment)
+        assert np.allclose(automaton.walk(t), whole)
+
+
 def slow_scores(rows, out):
     """Scores of the automaton, by dictionaries of n-grams and one token after the other."""
     toks = [(i, ["<s>", *re.sub("[A-Z]", lambda m: m.group().lower(), t or "").encode().split(), "</s>"]) for i, t in rows]
