@@ -18,7 +18,7 @@ def dealt_again(df):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", """
-    mean_deviation nearest_match prosody_band_match
+    mean_deviation nearest_match prosody_band_match validated_merge
 """.split())
 def test_dealt_once(spark, name):
     assert not dealt_again(catalog.queries()[name](spark, SF))
@@ -49,3 +49,10 @@ def test_first_near_advice(spark, words):
     own = joins.advice_words(told.drop("word_before", "word_after").where("pg_idx = 0"), words({"p": [("a", 0, 1), ("b", 0.5, 1.01), ("c", 3, 4)]})).first()
     assert (own.word_before, own.word_after) == ("a", "b")
     assert quality.preserved_score(told, gaps.classify_gaps(rows).withColumnRenamed("action", "_a").selectExpr("*", "'keep' AS action")).first().prosody_preserved_score == 1.0
+
+
+def test_merge_by_page(spark, words):
+    df = words({"p": [("a", 0, 1), ("b", 1, 2)], "q": [("a", 0, 1)]}, confidence=0.5)
+    v = checks.cross_validate(joins.nearest_position_join(df, words({"p": [("a", 0.02, 1.02), ("b", 1.04, 2.04)]})))
+    got = sorted((r.page_id, r.word_idx, round(r.start, 3), r.confidence) for r in joins.merge_validated(df, v).collect())
+    assert got == [("p", 0, 0.01, 0.98), ("p", 1, 1.02, 0.98), ("q", 0, 0.0, 0.5)]
