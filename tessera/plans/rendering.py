@@ -11,10 +11,9 @@ from . import inputs as I  # noqa: E812
 from .catalog import LINES, query
 
 
-def _pages(spark, sf_dir) -> DataFrame:
+def _pages(spark, sf_dir, docs: DataFrame) -> DataFrame:
     """Documents as pages: their tokens as words, first lines as titles."""
-    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    words = joins.transfer_line_breaks(I.token_words(spark, sf_dir), pages.ref_tokens(pages.lines_of(docs)))
+    words = joins.transfer_line_breaks(I.token_words(spark, sf_dir, docs), pages.ref_tokens(pages.lines_of(docs)))
     head = docs.select("page_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("full_text"), F.concat(F.lit("livro"), F.col("page_id") % 9, F.lit(".mp3")).alias("audio_file"), F.lit(65.5).alias("duration"))
     return sinks.page_context(words, head, project="Pages")
 
@@ -38,12 +37,12 @@ SELECT y.page_id, '<title>' || {_escaped("coalesce(nullif(split_part(text, chr(1
 @query(PLAIN_SQL)
 def html_pages(spark, sf_dir) -> DataFrame:
     """Each document by the short template."""
-    return sinks.html_pages(_pages(spark, sf_dir), template="plain")
+    return sinks.html_pages(_pages(spark, sf_dir, I.page_texts(spark, sf_dir)), template="plain")
 
 
 @query()
 def site_pages(spark, sf_dir) -> DataFrame:
     """Each document by the site's template, every third by the short one, every fifth under a name of its own."""
-    page = _pages(spark, sf_dir)
-    own = page.select("page_id", F.when(F.col("page_id") % 3 == 0, "plain").alias("template"), F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("Doc "), F.col("page_id"))).alias("title"))
-    return sinks.html_pages(page, overrides=own)
+    docs = I.page_texts(spark, sf_dir)
+    own = docs.select("page_id", F.when(F.col("page_id") % 3 == 0, "plain").alias("template"), F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("Doc "), F.col("page_id"))).alias("title"))
+    return sinks.html_pages(_pages(spark, sf_dir, docs), overrides=own)
