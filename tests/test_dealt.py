@@ -18,7 +18,7 @@ def dealt_again(df):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", """
-    mean_deviation nearest_match prosody_band_match validated_merge advice_words cross_validate gap_classify_advised site_pages html_pages preserved_score quality_rollup
+    mean_deviation nearest_match prosody_band_match validated_merge advice_words cross_validate gap_classify_advised site_pages html_pages preserved_score quality_rollup apply_corrections
 """.split())
 def test_dealt_once(spark, name):
     assert not dealt_again(catalog.queries()[name](spark, SF))
