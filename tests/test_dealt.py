@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tessera.operators import checks, gaps, joins, ordered, quality
+from tessera.operators import align, checks, gaps, joins, ordered, quality
 from tessera.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -56,3 +56,14 @@ def test_merge_by_page(spark, words):
     v = checks.cross_validate(joins.nearest_position_join(df, words({"p": [("a", 0.02, 1.02), ("b", 1.04, 2.04)]})))
     got = sorted((r.page_id, r.word_idx, round(r.start, 3), r.confidence) for r in joins.merge_validated(df, v).collect())
     assert got == [("p", 0, 0.01, 0.98), ("p", 1, 1.02, 0.98), ("q", 0, 0.0, 0.5)]
+
+
+def test_aligned_words_stay_dealt(spark):
+    """Tables that are dealt by page give aligned words without a join or another exchange."""
+    ref = spark.createDataFrame([("p", 0, "a"), ("p", 1, "b")], "page_id string, ref_idx int, token string").repartition(3, "page_id")
+    heard = spark.createDataFrame([("p", 4, "a", 1.0, 2.0, 0.9)], "page_id string, word_idx int, word string, start double, end double, confidence double").repartition(3, "page_id")
+    steps = spark.createDataFrame([("p", 0, 0, 4, "match"), ("p", 1, 1, None, "deletion"), ("p", 2, None, 7, "insertion")], align.ALIGNMENT).repartition(3, "page_id")
+    out = align.aligned_words(steps, ref, heard)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and not dealt_again(out)
+    assert sorted((r.ref_idx, r.word, r.start, r.confidence, r.status) for r in out.collect()) == [(0, "a", 1.0, 0.9, "matched"), (1, "b", 0.0, 0.3, "needs_verification")]
